@@ -238,9 +238,13 @@ def missing_from_store_q(spark, sf):
 
 # --- streaming -------------------------------------------------------------
 
+STREAM_FILES = 16
+
+
 def _write_payload_files(spark, sf, path: str) -> None:
+    """The payloads as text files, one payload per line."""
     (fx.sec_payload(spark, sf).select("value")
-     .repartition(4).write.mode("overwrite").text(path))
+     .repartition(STREAM_FILES).write.mode("overwrite").text(path))
 
 
 def ingest_stream(spark, sf):
@@ -248,7 +252,8 @@ def ingest_stream(spark, sf):
     work = new_work_dir(spark, "ingest")
     _write_payload_files(spark, sf, f"{work}/in")
     for _ in range(2):  # the second run from the same checkpoint adds nothing
-        stream = read_event_stream(spark, "text", f"{work}/in", maxFilesPerTrigger=1)
+        stream = read_event_stream(spark, "text", f"{work}/in",
+                                   maxFilesPerTrigger=STREAM_FILES // 2)
         q = run_ingest(spark, stream, f"{work}/store", f"{work}/checkpoint",
                        trigger={"availableNow": True})
         q.awaitTermination()
@@ -259,7 +264,8 @@ def replay_dead_letters(spark, sf):
     """Ingest, then replay the dead letters with the documented order; compact."""
     work = new_work_dir(spark, "replay")
     _write_payload_files(spark, sf, f"{work}/in")
-    stream = read_event_stream(spark, "text", f"{work}/in", maxFilesPerTrigger=2)
+    stream = read_event_stream(spark, "text", f"{work}/in",
+                               maxFilesPerTrigger=STREAM_FILES // 2)
     q = run_ingest(spark, stream, f"{work}/store", f"{work}/checkpoint",
                    trigger={"availableNow": True})
     q.awaitTermination()

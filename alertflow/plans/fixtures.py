@@ -35,7 +35,19 @@ FIXED_INGEST_TS = _dt.datetime(2026, 1, 1, tzinfo=_dt.timezone.utc)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read one input table.
+
+    A table stored as one unsplittable file (one parquet row group) is read
+    by a single task; when the scan has fewer splits than the cluster has
+    cores, spread it round-robin so the per-row work (JSON, regexes) uses
+    every core.  On large inputs the scan already has more splits than cores
+    and this adds nothing.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def criticality_of(value: Column) -> Column:

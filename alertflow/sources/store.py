@@ -58,8 +58,15 @@ def batch_path(root: str, source: str, batch_id: int, area: str = "log") -> str:
 
 
 def write_store(rows: DataFrame, root: str, source: str, batch_id: int) -> None:
-    """Write one batch of store rows, replacing that batch if it was written before."""
+    """Write one batch of store rows, replacing that batch if it was written before.
+
+    ``rebalance`` on the partition columns: without it every task writes a
+    file into every (date, severity) directory it meets; with it AQE sizes
+    the output partitions and splits a hot date or severity over several
+    tasks instead of sending it to one.
+    """
     (rows.select(*_DATA_COLS, *STORE_PARTITIONS)
+     .hint("rebalance", *STORE_PARTITIONS)
      .write.mode("overwrite").partitionBy(*STORE_PARTITIONS)
      .parquet(batch_path(root, source, batch_id)))
 
@@ -171,5 +178,6 @@ def compact_store(spark: SparkSession, root: str) -> str | None:
                       & ~((F.col("source") == REPLAY) & (F.col("batch_id") > r)))
     out = f"{root}/base/{k}-{r}"
     (latest_wins(rows).select(*_STORED_COLS)
+     .hint("rebalance", *STORE_PARTITIONS)
      .write.mode("overwrite").partitionBy(*STORE_PARTITIONS).parquet(out))
     return out

@@ -76,7 +76,7 @@ def dead_letter_rows(rejected: DataFrame, source: str, batch_id: int,
 
 
 def write_dead_letters(rows: DataFrame, root: str, source: str, batch_id: int) -> None:
-    (rows.drop("source", "batch_id").write.mode("overwrite")
+    (rows.drop("source", "batch_id").hint("rebalance").write.mode("overwrite")
      .parquet(batch_path(root, source, batch_id, area="deadletter")))
 
 
