@@ -53,7 +53,11 @@ def filter_since(df: DataFrame, since) -> DataFrame:
     if since.year <= 1:
         return df
     bound = F.lit(since.isoformat(sep=" ")).cast(df.schema["time"].dataType)
-    return df.where(F.col("time") > bound)
+    out = df.where(F.col("time") > bound)
+    if "event_date" in df.columns:
+        # implied by the time bound (event_date = date of time, UTC); prunes partitions
+        out = out.where(F.col("event_date") >= F.lit(since.date().isoformat()).cast("date"))
+    return out
 
 
 def query_events(store: DataFrame, min_criticality: int, limit: int, since=None,
@@ -68,11 +72,43 @@ def query_events(store: DataFrame, min_criticality: int, limit: int, since=None,
     merges at most k × tasks rows.
     """
     n, k = validate_query(min_criticality, limit)
-    rows = _resolve(store, resolve, severities_at_least(n) if resolve else None)
+    rows = _resolve(store, resolve, severities_at_least(n))
     rows = filter_since(rows.where(F.col("criticality") >= n), since)
     return result_columns(rows.orderBy(*newest_first()).limit(k))
 
 
+def query_store_newest_first(spark: SparkSession, root: str, min_criticality: int,
+                             limit: int, since=None, first_days: int = 1) -> DataFrame:
+    """The reader query over a stored table, reading the newest dates first.
+
+    Rows come back newest first and a row's date is part of its identity, so
+    the top k of the whole store are the top k of the newest dates that hold
+    at least k matching rows.  We try the newest ``first_days`` date
+    partitions, and double the range until k rows are found or the dates run
+    out; each attempt returns at most k rows to the driver.  The returned
+    frame is the final, exact query restricted to that date range, so a
+    100-day store answers a top-10 from its last day or two instead of from
+    every file.
+    """
+    from ..sources.store import list_dates, read_store
+    n, k = validate_query(min_criticality, limit)
+    dates = sorted(list_dates(spark, root), reverse=True)
+
+    def attempt(bound):
+        store = read_store(spark, root)
+        if bound is not None:
+            store = store.where(F.col("event_date") >= F.lit(bound).cast("date"))
+        return query_events(store, n, k, since=since, resolve=False)
+
+    span = max(1, first_days)
+    while span < len(dates):
+        bound = dates[span - 1]
+        if len(attempt(bound).collect()) >= k:
+            return attempt(bound)
+        span *= 2
+    return attempt(None)
+
+
 def query_events_sql(spark: SparkSession, view: str, min_criticality: int,
                      limit: int) -> DataFrame:
     """The same query as SQL text with bound parameters, over a resolved view."""

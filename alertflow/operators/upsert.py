@@ -37,5 +37,10 @@ def latest_wins(df: DataFrame, identity: Sequence[str] = IDENTITY,
         order = [c for c in ARRIVAL_ORDER if c in df.columns]
     if not order:
         raise ValueError("latest_wins needs at least one arrival-order column")
-    w = Window.partitionBy(*identity).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    keys = list(identity)
+    if "event_date" in df.columns and "time" in keys and "event_date" not in keys:
+        # event_date is a function of time, so the groups are the same; having
+        # it in the key lets date filters (partition pruning) go below the window
+        keys.append("event_date")
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

@@ -16,7 +16,7 @@ from ..functions import (clamp_criticality, color_band, parse_event_time, redact
                          redact_columns, sanitize_message, severity)
 from ..operators.process import SANITIZE_FIRST, STORED, process, route
 from ..operators.query import (count_events, latest_events, query_events, query_events_sql,
-                               response_envelope, severity_events)
+                               query_store_newest_first, response_envelope, severity_events)
 from ..operators.report import (error_summary, heatmap_matrix, heatmap_rows, ingest_counters,
                                 missing_from_store)
 from ..operators.upsert import latest_wins
@@ -25,6 +25,7 @@ from ..sources.codec import decode_events, encode_events
 from ..sources.store import compact_store, read_store, read_store_log
 from ..streaming.ingest import read_event_stream, replay, run_ingest
 from . import fixtures as fx
+from . import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,11 +46,13 @@ def _result_ntz(df: DataFrame) -> DataFrame:
 
 
 def _sec_store(spark, sf):
-    return fx.store_rows(fx.sec(spark, sf))
+    """B1 as the reader sees it: the stored table, latest write per identity."""
+    return read_store(spark, stores.sec_store(spark, sf))
 
 
 def _redelivered_store(spark, sf):
-    return fx.store_rows(fx.sec_redelivered(spark, sf))
+    """B2 as the reader sees it (base + newer log, resolved)."""
+    return read_store(spark, stores.redelivered_store(spark, sf))
 
 
 def _payload_processed(spark, sf, order="validate_first"):
@@ -59,50 +62,62 @@ def _payload_processed(spark, sf, order="validate_first"):
 # --- reader queries -------------------------------------------------------
 
 def reader_query(spark, sf):
-    """G1 + U1 + T1: ``criticality >= 5 ORDER BY time DESC LIMIT 10`` — the flagship."""
-    return _result_ntz(query_events(_sec_store(spark, sf), 5, 10))
+    """G1 + U1 + T1: ``criticality >= 5 ORDER BY time DESC LIMIT 10`` — the flagship,
+    over the stored table, newest date partitions first."""
+    return _result_ntz(query_store_newest_first(spark, stores.sec_store(spark, sf), 5, 10))
 
 
 def reader_query_sql(spark, sf):
-    """T1 as SQL text with bound parameters over a resolved temp view."""
-    latest_wins(_sec_store(spark, sf)).createOrReplaceTempView("alertflow_store_resolved")
+    """T1 as SQL text with bound parameters over the resolved store as a view."""
+    _sec_store(spark, sf).createOrReplaceTempView("alertflow_store_resolved")
     return _result_ntz(query_events_sql(spark, "alertflow_store_resolved", 5, 10))
 
 
+def reader_query_unstored(spark, sf):
+    """G1 + U1 + T1 straight from ``events``: validate, clean, classify and
+    resolve in one plan (no stored table)."""
+    return _result_ntz(query_events(fx.store_rows(fx.sec(spark, sf)), 5, 10))
+
+
 def since_events(spark, sf):
     """P3 + T1: strictly after 2024-01-15, criticality >= 5, limit 100."""
-    return _result_ntz(query_events(_sec_store(spark, sf), 5, 100, since="2024-01-15T00:00:00Z"))
+    return _result_ntz(query_events(_sec_store(spark, sf), 5, 100, since="2024-01-15T00:00:00Z",
+                                    resolve=False))
 
 
 def latest_events_q(spark, sf):
     """T2 over the redelivered store: newest 10 after latest-wins."""
-    return _store_cols(latest_events(_redelivered_store(spark, sf), 10))
+    return _store_cols(latest_events(_redelivered_store(spark, sf), 10, resolve=False))
 
 
 def critical_events(spark, sf):
     """Severity 'critical', newest first, no limit."""
-    return _store_cols(severity_events(_redelivered_store(spark, sf), "critical"))
+    return _store_cols(severity_events(_redelivered_store(spark, sf), "critical", resolve=False))
 
 
 def count_events_q(spark, sf):
-    """U1 + A1: count after latest-wins."""
-    return count_events(_redelivered_store(spark, sf))
+    """U1 + A1: count after latest-wins (distinct identities of the log)."""
+    return count_events(read_store_log(spark, stores.redelivered_store(spark, sf)))
 
 
 def latest_wins_q(spark, sf):
     """One row per identity, the last arrival."""
-    return _store_cols(latest_wins(_redelivered_store(spark, sf)))
+    return _store_cols(_redelivered_store(spark, sf))
+
+
+def latest_wins_unstored(spark, sf):
+    """U1 on the redelivered frame in one plan (window with a group limit)."""
+    return _store_cols(latest_wins(fx.store_rows(fx.sec_redelivered(spark, sf))))
 
 
 def latest_wins_filtered(spark, sf):
     """U1 then ``criticality >= 8`` above it: stale copies must not come back."""
-    return (_store_cols(latest_wins(_redelivered_store(spark, sf)))
-            .where(F.col("criticality") >= 8))
+    return _store_cols(_redelivered_store(spark, sf)).where(F.col("criticality") >= 8)
 
 
 def response_total(spark, sf):
     """S8 + A2: envelope of the flagship result; total = rows returned."""
-    env = response_envelope(query_events(_sec_store(spark, sf), 5, 10))
+    env = response_envelope(query_events(_sec_store(spark, sf), 5, 10, resolve=False))
     return env.select(F.col("total"),
                       F.col("events")[0]["criticality"].alias("first_criticality"),
                       _ntz(F.element_at("events", -1)["timestamp"]).alias("last_timestamp"))
@@ -184,7 +199,7 @@ def sanitize_first(spark, sf):
 def severity_rollup_q(spark, sf):
     """F3 + A5: count, first and last time per severity."""
     from ..operators.report import severity_rollup
-    r = severity_rollup(latest_wins(_sec_store(spark, sf)))
+    r = severity_rollup(_sec_store(spark, sf))
     return r.select("severity", "n", _ntz("first_time").alias("first_time"),
                     _ntz("last_time").alias("last_time"))
 
@@ -205,12 +220,12 @@ def heatmap_rows_q(spark, sf):
 
 def heatmap_matrix_q(spark, sf):
     """H2: message × criticality counts."""
-    return heatmap_matrix(latest_wins(_sec_store(spark, sf)))
+    return heatmap_matrix(_sec_store(spark, sf))
 
 
 def heatmap_matrix_daily(spark, sf):
     """H2 with a daily time bucket."""
-    m = heatmap_matrix(latest_wins(_sec_store(spark, sf)), bucket="day")
+    m = heatmap_matrix(_sec_store(spark, sf), bucket="day")
     return m.withColumn("bucket_start", _ntz("bucket_start"))
 
 
@@ -230,7 +245,7 @@ def redacted_columns(spark, sf):
 
 def missing_from_store_q(spark, sf):
     """Valid source events whose identity never reached the store."""
-    source = _sec_store(spark, sf)
+    source = fx.store_rows(fx.sec(spark, sf))
     stored, _ = route(_payload_processed(spark, sf))
     store = latest_wins(fx.to_store_rows(stored, "stream", 0, fx.FIXED_INGEST_TS))
     return _store_cols(missing_from_store(source, store))
@@ -297,11 +312,13 @@ def dedup_stream_q(spark, sf):
 QUERIES: dict[str, Query] = {
     "reader_query": reader_query,
     "reader_query_sql": reader_query_sql,
+    "reader_query_unstored": reader_query_unstored,
     "since_events": since_events,
     "latest_events": latest_events_q,
     "critical_events": critical_events,
     "count_events": count_events_q,
     "latest_wins": latest_wins_q,
+    "latest_wins_unstored": latest_wins_unstored,
     "latest_wins_filtered": latest_wins_filtered,
     "response_total": response_total,
     "encoded_events": encoded_events,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import latest_wins
-from ..schema import STORED_SCHEMA, STORE_PARTITIONS
+from ..schema import IDENTITY, STORED_SCHEMA, STORE_PARTITIONS
 
 STREAM = "stream"
 REPLAY = "replay"
@@ -97,6 +97,22 @@ def list_batches(spark: SparkSession, root: str) -> dict[str, list[int]]:
     return out
 
 
+def list_dates(spark: SparkSession, root: str) -> list[str]:
+    """Distinct ``event_date`` partition values in the base and the log
+    (directory listing only)."""
+    dates: set[str] = set()
+    base = newest_base(spark, root)
+    dirs = [base[0]] if base else []
+    above = {STREAM: base[1], REPLAY: base[2]} if base else {}
+    for src, ids in list_batches(spark, root).items():
+        dirs += [batch_path(root, src, i) for i in ids if i > above.get(src, -(1 << 62))]
+    for d in dirs:
+        for name in _list_dirs(spark, d):
+            if name.startswith("event_date="):
+                dates.add(name.split("=", 1)[1])
+    return sorted(dates)
+
+
 def newest_base(spark: SparkSession, root: str) -> tuple[str, int, int] | None:
     """The newest complete compaction: (path, K, R), or None."""
     best = None
@@ -155,9 +171,42 @@ def read_store_log(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
+def _read_log_above(spark: SparkSession, root: str, k: int, r: int) -> DataFrame | None:
+    log = _read(spark, f"{root}/log")
+    if log is None:
+        return None
+    return log.where(((F.col("source") == STREAM) & (F.col("batch_id") > k))
+                     | ((F.col("source") == REPLAY) & (F.col("batch_id") > r))
+                     | ~F.col("source").isin(STREAM, REPLAY)).select(*_STORED_COLS)
+
+
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    """The store as readers see it: latest write per identity."""
-    return latest_wins(read_store_log(spark, root))
+    """The store as readers see it: latest write per identity.
+
+    Without a compaction: latest-wins over the whole log (one shuffle).
+    With one: the base already holds one row per identity, and every log
+    batch above it arrived later, so a log row replaces a base row with the
+    same identity.  The base is read with no shuffle at all and only loses
+    the identities present in the recent log (a left-anti join whose small
+    side Spark broadcasts when its measured size allows), plus latest-wins
+    over the recent log alone.  Filters on severity, time or event_date
+    reach both scans as partition filters.
+    """
+    base = newest_base(spark, root)
+    if base is None:
+        return latest_wins(read_store_log(spark, root))
+    path, k, r = base
+    b = _read(spark, path)
+    recent = _read_log_above(spark, root, k, r)
+    if b is None:
+        return latest_wins(recent) if recent is not None else _empty(spark)
+    b = b.select(*_STORED_COLS)
+    if recent is None:
+        return b
+    keys = list(IDENTITY) + ["event_date"]
+    recent_won = latest_wins(recent)
+    return (b.join(recent.select(*keys), on=keys, how="left_anti")
+            .unionByName(recent_won.select(*_STORED_COLS)))
 
 
 def compact_store(spark: SparkSession, root: str) -> str | None:
