@@ -67,6 +67,12 @@ def reader_query(spark, sf):
     return _result_ntz(query_store_newest_first(spark, stores.sec_store(spark, sf), 5, 10))
 
 
+def reader_query_wide(spark, sf):
+    """T1 with ``criticality >= 9 LIMIT 100``: the newest day is not enough, so the
+    newest-first search widens its date range until 100 rows are found."""
+    return _result_ntz(query_store_newest_first(spark, stores.sec_store(spark, sf), 9, 100))
+
+
 def reader_query_sql(spark, sf):
     """T1 as SQL text with bound parameters over the resolved store as a view."""
     _sec_store(spark, sf).createOrReplaceTempView("alertflow_store_resolved")
@@ -311,6 +317,7 @@ def dedup_stream_q(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "reader_query": reader_query,
+    "reader_query_wide": reader_query_wide,
     "reader_query_sql": reader_query_sql,
     "reader_query_unstored": reader_query_unstored,
     "since_events": since_events,

@@ -23,12 +23,26 @@ DECODED_COLS = ("raw", "criticality", "timestamp", "event_message", "malformed")
 _ARRAY_SCHEMA = "array<struct<criticality:bigint,timestamp:string,eventMessage:string>>"
 
 
-def _key_type_ok(obj: Column, key: str, type_name: str) -> Column:
-    t = F.schema_of_variant(F.try_variant_get(obj, f"$.v.{key}", "variant"))
-    return t.isNull() | t.isin(type_name, "VOID")
+def _key_variant(obj: Column, key: str, ignore_case: bool) -> Column:
+    """The JSON value of ``key`` as a variant (SQL NULL when absent).
+
+    The exact key is looked up first; only when it is absent, and
+    ``ignore_case`` is on, is a key equal to it ignoring case taken instead
+    (the wire decoder matches keys that way).  The fallback walks the
+    object's entries, so it costs something only on rows without the exact
+    key.
+    """
+    exact = F.try_variant_get(obj, f"$.v.{key}", "variant")
+    if not ignore_case:
+        return exact
+    entries = F.filter(F.map_entries(F.try_variant_get(obj, "$.v", "map<string,variant>")),
+                       lambda e: F.lower(e["key"]) == key.lower())
+    return F.when(exact.isNotNull(), exact).otherwise(
+        F.try_element_at(entries, F.lit(-1))["value"])
 
 
-def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True) -> DataFrame:
+def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
+                  ignore_key_case: bool = True) -> DataFrame:
     """Decode JSON text into ``criticality, timestamp, event_message, malformed``.
 
     Two parses per payload: wrapped as ``[v]`` it must be an array of exactly
@@ -36,8 +50,10 @@ def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True) ->
     quotes, empty text); wrapped as ``{"v": v}`` it must parse as well (catches
     ``{..}]`` and ``NaN``) and gives each key's JSON type.  ``raw`` keeps the
     text, ``ingest_seq`` the arrival position when the input has none.
-    Requires ``spark.sql.variant.allowDuplicateKeys=true`` (set here), so a
-    duplicate key reads as its last value rather than failing the parse.
+    Keys match ignoring case when the exact key is absent
+    (``ignore_key_case=False`` for strict matching).  Requires
+    ``spark.sql.variant.allowDuplicateKeys=true`` (set here), so a duplicate
+    key reads as its last value rather than failing the parse.
     """
     ensure_conf(df.sparkSession)
     v = F.col(value_col).cast("string")
@@ -49,25 +65,33 @@ def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True) ->
     parsed = fence(df.select(*others, v.alias("raw"), arr.alias("_arr"), obj.alias("_obj")),
                    ["_arr", "_obj"])
     arr, obj = F.col("_arr"), F.col("_obj")
+    parsed = parsed.withColumns({f"_var_{key}": _key_variant(obj, key, ignore_key_case)
+                                 for key, _ in KEY_TYPES})
     first = arr.getItem(0)
     types_ok = None
     for key, type_name in KEY_TYPES:
-        ok = _key_type_ok(obj, key, type_name)
+        t = F.schema_of_variant(F.col(f"_var_{key}"))
+        ok = t.isNull() | t.isin(type_name, "VOID")
         types_ok = ok if types_ok is None else types_ok & ok
     well_formed = (F.col("raw").isNotNull() & arr.isNotNull() & (F.size(arr) == 1)
                    & obj.isNotNull() & types_ok)
     parsed = parsed.withColumn("malformed", ~F.coalesce(well_formed, F.lit(False)))
     malformed = F.col("malformed")
 
-    def field(name: str, zero) -> Column:
-        # literal null decodes to a NULL element: zero values, as for absent keys
-        return F.when(malformed, F.lit(None)).otherwise(F.coalesce(first[name], F.lit(zero)))
+    def field(key: str, type_name: str, zero) -> Column:
+        # the exact key's value as parsed; a key in another case from the variant;
+        # absent keys and the literal null give zero values
+        value = F.coalesce(first[key],
+                           F.try_variant_get(F.col(f"_var_{key}"), "$", type_name.lower()),
+                           F.lit(zero))
+        return F.when(malformed, F.lit(None)).otherwise(value)
 
+    types = dict(KEY_TYPES)
     out = {
         "raw": F.col("raw"),
-        "criticality": field("criticality", 0).cast("bigint"),
-        "timestamp": field("timestamp", ""),
-        "event_message": field("eventMessage", ""),
+        "criticality": field("criticality", types["criticality"], 0).cast("bigint"),
+        "timestamp": field("timestamp", types["timestamp"], ""),
+        "event_message": field("eventMessage", types["eventMessage"], ""),
         "malformed": malformed,
     }
     if "ingest_seq" not in df.columns and not df.isStreaming:

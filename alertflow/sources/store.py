@@ -171,16 +171,22 @@ def read_store_log(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def _read_log_above(spark: SparkSession, root: str, k: int, r: int) -> DataFrame | None:
+def _read_log_above(spark: SparkSession, root: str, k: int, r: int,
+                    upto: tuple[int, int] | None = None) -> DataFrame | None:
     log = _read(spark, f"{root}/log")
     if log is None:
         return None
-    return log.where(((F.col("source") == STREAM) & (F.col("batch_id") > k))
-                     | ((F.col("source") == REPLAY) & (F.col("batch_id") > r))
-                     | ~F.col("source").isin(STREAM, REPLAY)).select(*_STORED_COLS)
+    log = log.where(((F.col("source") == STREAM) & (F.col("batch_id") > k))
+                    | ((F.col("source") == REPLAY) & (F.col("batch_id") > r))
+                    | ~F.col("source").isin(STREAM, REPLAY))
+    if upto is not None:
+        log = log.where(~((F.col("source") == STREAM) & (F.col("batch_id") > upto[0]))
+                        & ~((F.col("source") == REPLAY) & (F.col("batch_id") > upto[1])))
+    return log.select(*_STORED_COLS)
 
 
-def read_store(spark: SparkSession, root: str) -> DataFrame:
+def read_store(spark: SparkSession, root: str,
+               upto: tuple[int, int] | None = None) -> DataFrame:
     """The store as readers see it: latest write per identity.
 
     Without a compaction: latest-wins over the whole log (one shuffle).
@@ -194,10 +200,11 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     """
     base = newest_base(spark, root)
     if base is None:
-        return latest_wins(read_store_log(spark, root))
+        recent = _read_log_above(spark, root, -1, -1, upto)
+        return latest_wins(recent) if recent is not None else _empty(spark)
     path, k, r = base
     b = _read(spark, path)
-    recent = _read_log_above(spark, root, k, r)
+    recent = _read_log_above(spark, root, k, r, upto)
     if b is None:
         return latest_wins(recent) if recent is not None else _empty(spark)
     b = b.select(*_STORED_COLS)
@@ -214,7 +221,9 @@ def compact_store(spark: SparkSession, root: str) -> str | None:
 
     K and R come from a directory listing; batches written while this runs
     stay in the log above K and R and are still read.  The new base becomes
-    visible only when its ``_SUCCESS`` marker exists.
+    visible only when its ``_SUCCESS`` marker exists.  Built the way reads
+    are: the previous base needs no shuffle; only the log batches since it
+    go through latest-wins.
     """
     batches = list_batches(spark, root)
     k = max(batches.get(STREAM, [-1]), default=-1)
@@ -222,11 +231,9 @@ def compact_store(spark: SparkSession, root: str) -> str | None:
     base = newest_base(spark, root)
     if base is not None and (base[1], base[2]) == (k, r):
         return base[0]
-    rows = read_store_log(spark, root)
-    rows = rows.where(~((F.col("source") == STREAM) & (F.col("batch_id") > k))
-                      & ~((F.col("source") == REPLAY) & (F.col("batch_id") > r)))
     out = f"{root}/base/{k}-{r}"
-    (latest_wins(rows).select(*_STORED_COLS)
+    # the previous base carried forward without a shuffle, plus the batches above it
+    (read_store(spark, root, upto=(k, r)).select(*_STORED_COLS)
      .hint("rebalance", *STORE_PARTITIONS)
      .write.mode("overwrite").partitionBy(*STORE_PARTITIONS).parquet(out))
     return out

@@ -37,6 +37,10 @@ CASES = [
     (' \t{"criticality":3}\n', False, (3, "", "")),
     ('{"criticality":-0}', False, (0, "", "")),
     (None, True, None),
+    ('{"Criticality":7}', False, (7, "", "")),
+    ('{"CRITICALITY":4,"TimeStamp":"2024-01-15T10:30:00Z","eventmessage":"m"}', False,
+     (4, "2024-01-15T10:30:00Z", "m")),
+    ('{"Criticality":"7"}', True, None),
 ]
 
 
@@ -72,3 +76,9 @@ def test_encode_wire_order_and_roundtrip(spark):
     back = decode_events(enc.select("value")).collect()
     assert [(r["criticality"], r["event_message"], r["malformed"]) for r in back] == \
         [(7, 'say "hi"', False), (1, "plain", False)]
+
+
+def test_strict_key_case_option(spark):
+    df = spark.createDataFrame([('{"Criticality":7}',)], "value string")
+    r = decode_events(df, ignore_key_case=False).collect()[0]
+    assert (r["malformed"], r["criticality"]) == (False, 0)

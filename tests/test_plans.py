@@ -83,3 +83,13 @@ def test_decode_filter_stays_above_the_fence(spark):
     assert opt.count("from_json(") == 1
     filters = [line for line in opt.split("\n") if "Filter" in line]
     assert filters and not any("json" in f for f in filters)
+
+
+def test_newest_first_matches_full_scan(spark, store):
+    from alertflow.operators.query import query_store_newest_first
+    from alertflow.sources.store import read_store
+    for n, k in ((9, 5), (9, 40), (1, 1000), (10, 1000)):
+        fast = [tuple(r) for r in query_store_newest_first(spark, store, n, k).collect()]
+        full = [tuple(r) for r in query_events(read_store(spark, store), n, k,
+                                               resolve=False).collect()]
+        assert fast == full, (n, k)

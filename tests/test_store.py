@@ -81,18 +81,25 @@ def test_rewriting_a_batch_replaces_it(spark, tmpdir_work):
 
 
 def test_compaction_keeps_the_answer(spark, tmpdir_work):
-    red = fx.store_rows(fx.sec_redelivered(spark, SF001))
-    write_store(red.where(F.col("ingest_seq") < 1_000_000_000), tmpdir_work, "stream", 0)
-    write_store(red.where(F.col("ingest_seq") >= 1_000_000_000).withColumn(
-        "batch_id", F.lit(1).cast("bigint")), tmpdir_work, "stream", 1)
-    before = sorted(map(tuple, read_store(spark, tmpdir_work).drop("batch_id").collect()))
+    red = fx.sec_redelivered(spark, SF001)
+    seq = F.col("seq")
+    parts = [seq < fx.REDELIVER_SEQ, (seq >= fx.REDELIVER_SEQ) & (seq < fx.STALE_SEQ),
+             seq >= fx.STALE_SEQ]
+    batches = [fx.store_rows(red.where(c), batch_id=i) for i, c in enumerate(parts)]
+    write_store(batches[0], tmpdir_work, "stream", 0)
+    write_store(batches[1], tmpdir_work, "stream", 1)
     base = compact_store(spark, tmpdir_work)
     assert base.endswith("base/1--1")
-    write_store(red.where(F.col("event_message").endswith("(again)")), tmpdir_work, "stream", 2)
-    after = read_store(spark, tmpdir_work)
-    log_rows = read_store_log(spark, tmpdir_work)
-    # base rows + only the batch above it are read
-    assert log_rows.where("source = 'stream' and batch_id <= 1 and batch_id >= 0").count() \
-        == read_store(spark, tmpdir_work).where("batch_id <= 1").count() or True
-    got = sorted(map(tuple, after.drop("batch_id").collect()))
-    assert len(got) == len(before)
+    write_store(batches[2], tmpdir_work, "stream", 2)
+    cols = ["severity", "time", "time_ns_rem", "criticality", "event_message"]
+    got = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
+    everything = batches[0].unionByName(batches[1]).unionByName(batches[2])
+    want = sorted(map(tuple, latest_wins(everything).select(*cols).collect()))
+    assert got == want
+    # a second compaction folds the last batch in and keeps the answer
+    assert compact_store(spark, tmpdir_work).endswith("base/2--1")
+    again = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
+    assert again == want
+    # the stale copies (criticality - 1) won
+    assert read_store(spark, tmpdir_work).where("criticality in (8, 10)").join(
+        batches[2].select("time"), "time").count() == 0
