@@ -97,37 +97,58 @@ def list_batches(spark: SparkSession, root: str) -> dict[str, list[int]]:
     return out
 
 
-def list_dates(spark: SparkSession, root: str) -> list[str]:
-    """Distinct ``event_date`` partition values in the base and the log
-    (directory listing only)."""
-    dates: set[str] = set()
-    base = newest_base(spark, root)
-    dirs = [base[0]] if base else []
-    above = {STREAM: base[1], REPLAY: base[2]} if base else {}
-    for src, ids in list_batches(spark, root).items():
-        dirs += [batch_path(root, src, i) for i in ids if i > above.get(src, -(1 << 62))]
-    for d in dirs:
-        for name in _list_dirs(spark, d):
-            if name.startswith("event_date="):
-                dates.add(name.split("=", 1)[1])
-    return sorted(dates)
+def _dates_in(spark: SparkSession, path: str) -> list[str]:
+    return [n.split("=", 1)[1] for n in _list_dirs(spark, path) if n.startswith("event_date=")]
 
 
-def newest_base(spark: SparkSession, root: str) -> tuple[str, int, int] | None:
-    """The newest complete compaction: (path, K, R), or None."""
-    best = None
+def _log_dirs_above(spark: SparkSession, root: str, k: int, r: int,
+                    upto: tuple[int, int] | None = None) -> list[str]:
+    above = {STREAM: k, REPLAY: r}
+    top = {STREAM: upto[0], REPLAY: upto[1]} if upto else {}
+    return [batch_path(root, src, i) for src, ids in list_batches(spark, root).items()
+            for i in ids if i > above.get(src, -1) and i <= top.get(src, 1 << 62)]
+
+
+def complete_bases(spark: SparkSession, root: str) -> list[tuple[str, int, int]]:
+    """Complete compactions (``_SUCCESS`` present), oldest first: (path, K, R)."""
+    found = []
     for name in _list_dirs(spark, f"{root}/base"):
         m = _BASE_RE.match(name)
         if not m:
             continue
         path = f"{root}/base/{name}"
         fs, p = _fs(spark, f"{path}/_SUCCESS")
-        if not fs.exists(p):
-            continue
-        k, r = int(m.group(1)), int(m.group(2))
-        if best is None or (k, r) > (best[1], best[2]):
-            best = (path, k, r)
-    return best
+        if fs.exists(p):
+            found.append((path, int(m.group(1)), int(m.group(2))))
+    return sorted(found, key=lambda b: (b[1], b[2]))
+
+
+def newest_base(spark: SparkSession, root: str) -> tuple[str, int, int] | None:
+    """The newest complete compaction: (path, K, R), or None."""
+    bases = complete_bases(spark, root)
+    return bases[-1] if bases else None
+
+
+def base_layout(spark: SparkSession, root: str) -> tuple[dict[str, str], int, int]:
+    """For each event date, the newest complete base that holds it; and the
+    newest (K, R).  A compaction rewrites only the dates its log batches
+    touched, so a date's newest base holds all of that date up to (K, R)."""
+    owner: dict[str, str] = {}
+    k = r = -1
+    for path, bk, br in complete_bases(spark, root):
+        for d in _dates_in(spark, path):
+            owner[d] = path
+        k, r = bk, br
+    return owner, k, r
+
+
+def list_dates(spark: SparkSession, root: str) -> list[str]:
+    """Distinct ``event_date`` values of the store (directory listing only)."""
+    owner, k, r = base_layout(spark, root)
+    dates = set(owner)
+    for d in _log_dirs_above(spark, root, k, r):
+        dates.update(_dates_in(spark, d))
+    return sorted(dates)
 
 
 def _empty(spark: SparkSession) -> DataFrame:
@@ -143,31 +164,33 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _read_base(spark: SparkSession, owner: dict[str, str]) -> DataFrame | None:
+    """The bases' rows, each date from the newest base that holds it."""
+    by_base: dict[str, list[str]] = {}
+    for d, path in owner.items():
+        by_base.setdefault(path, []).append(f"{path}/event_date={d}")
+    out = None
+    for path, dirs in sorted(by_base.items()):
+        part = (spark.read.schema(STORED_SCHEMA).option("basePath", path)
+                .parquet(*sorted(dirs)).select(*_STORED_COLS))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_store_log(spark: SparkSession, root: str) -> DataFrame:
-    """The unresolved store: newest base plus the log batches above it.
+    """The unresolved store: the bases plus the log batches above the newest.
 
     An absent store is an empty frame, not an error (S6); only the
     path-not-found condition is swallowed.
     """
-    base = newest_base(spark, root)
-    log = _read(spark, f"{root}/log")
-    parts = []
-    if base is not None:
-        path, k, r = base
-        b = _read(spark, path)
-        if b is not None:
-            parts.append(b)
-        if log is not None:
-            log = log.where(((F.col("source") == STREAM) & (F.col("batch_id") > k))
-                            | ((F.col("source") == REPLAY) & (F.col("batch_id") > r))
-                            | ~F.col("source").isin(STREAM, REPLAY))
-    if log is not None:
-        parts.append(log.select(*_STORED_COLS))
+    owner, k, r = base_layout(spark, root)
+    parts = [p for p in (_read_base(spark, owner), _read_log_above(spark, root, k, r))
+             if p is not None]
     if not parts:
         return _empty(spark)
-    out = parts[0].select(*_STORED_COLS)
+    out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p.select(*_STORED_COLS))
+        out = out.unionByName(p)
     return out
 
 
@@ -198,16 +221,11 @@ def read_store(spark: SparkSession, root: str,
     over the recent log alone.  Filters on severity, time or event_date
     reach both scans as partition filters.
     """
-    base = newest_base(spark, root)
-    if base is None:
-        recent = _read_log_above(spark, root, -1, -1, upto)
-        return latest_wins(recent) if recent is not None else _empty(spark)
-    path, k, r = base
-    b = _read(spark, path)
+    owner, k, r = base_layout(spark, root)
+    b = _read_base(spark, owner)
     recent = _read_log_above(spark, root, k, r, upto)
     if b is None:
         return latest_wins(recent) if recent is not None else _empty(spark)
-    b = b.select(*_STORED_COLS)
     if recent is None:
         return b
     keys = list(IDENTITY) + ["event_date"]
@@ -217,23 +235,29 @@ def read_store(spark: SparkSession, root: str,
 
 
 def compact_store(spark: SparkSession, root: str) -> str | None:
-    """Write the resolved store up to the newest log batches into ``base/K-R``.
-
-    K and R come from a directory listing; batches written while this runs
-    stay in the log above K and R and are still read.  The new base becomes
-    visible only when its ``_SUCCESS`` marker exists.  Built the way reads
-    are: the previous base needs no shuffle; only the log batches since it
-    go through latest-wins.
+    """Fold the log batches above the newest base into a new base ``base/K-R``.
+
+    Only the event dates those batches touched are rewritten (the identity
+    includes the date, so other dates cannot change): the new base holds,
+    for each touched date, the resolved rows of that date; untouched dates
+    stay in the older bases.  A stream of current events therefore rewrites
+    about a day per compaction, not the whole store.  K and R come from a
+    directory listing; batches written meanwhile stay in the log above them.
+    The new base becomes visible only when its ``_SUCCESS`` marker exists.
     """
     batches = list_batches(spark, root)
     k = max(batches.get(STREAM, [-1]), default=-1)
     r = max(batches.get(REPLAY, [-1]), default=-1)
-    base = newest_base(spark, root)
-    if base is not None and (base[1], base[2]) == (k, r):
-        return base[0]
+    owner, bk, br = base_layout(spark, root)
+    if owner and (bk, br) == (k, r):
+        return newest_base(spark, root)[0]
+    touched = set()
+    for d in _log_dirs_above(spark, root, bk, br, upto=(k, r)):
+        touched.update(_dates_in(spark, d))
     out = f"{root}/base/{k}-{r}"
-    # the previous base carried forward without a shuffle, plus the batches above it
-    (read_store(spark, root, upto=(k, r)).select(*_STORED_COLS)
-     .hint("rebalance", *STORE_PARTITIONS)
+    rows = read_store(spark, root, upto=(k, r)).select(*_STORED_COLS)
+    rows = rows.where(F.col("event_date").isin([F.lit(d).cast("date") for d in sorted(touched)])
+                      if touched else F.lit(False))
+    (rows.hint("rebalance", *STORE_PARTITIONS)
      .write.mode("overwrite").partitionBy(*STORE_PARTITIONS).parquet(out))
     return out

@@ -103,3 +103,22 @@ def test_compaction_keeps_the_answer(spark, tmpdir_work):
     # the stale copies (criticality - 1) won
     assert read_store(spark, tmpdir_work).where("criticality in (8, 10)").join(
         batches[2].select("time"), "time").count() == 0
+
+
+def test_compaction_rewrites_only_touched_dates(spark, tmpdir_work):
+    from alertflow.sources.store import base_layout, _dates_in
+    rows = fx.store_rows(fx.sec(spark, SF001))
+    write_store(rows, tmpdir_work, "stream", 0)
+    first = compact_store(spark, tmpdir_work)
+    all_dates = set(_dates_in(spark, first))
+    last = max(all_dates)
+    write_store(rows.where(F.col("event_date") == F.lit(last).cast("date"))
+                .withColumn("criticality", F.lit(10).cast("bigint")), tmpdir_work, "stream", 1)
+    second = compact_store(spark, tmpdir_work)
+    assert set(_dates_in(spark, second)) == {last}
+    owner, k, r = base_layout(spark, tmpdir_work)
+    assert owner[last] == second and all(owner[d] == first for d in all_dates - {last})
+    got = read_store(spark, tmpdir_work)
+    assert got.count() == rows.count()
+    assert got.where(F.col("event_date") == F.lit(last).cast("date")) \
+        .where("criticality <> 10").count() == 0
