@@ -93,3 +93,19 @@ def test_newest_first_matches_full_scan(spark, store):
         full = [tuple(r) for r in query_events(read_store(spark, store), n, k,
                                                resolve=False).collect()]
         assert fast == full, (n, k)
+
+
+def test_response_json_shape(spark, store):
+    import json
+
+    from alertflow.operators.query import response_envelope, response_json
+    from alertflow.sources.store import read_store
+    env = response_envelope(query_events(read_store(spark, store), 5, 3, resolve=False))
+    doc = json.loads(response_json(env).collect()[0]["json"])
+    assert doc["total"] == 3 and len(doc["events"]) == 3
+    assert list(doc["events"][0]) == ["criticality", "timestamp", "eventMessage"]
+    times = [e["timestamp"] for e in doc["events"]]
+    assert times == sorted(times, reverse=True) and all(t.endswith("Z") for t in times)
+    empty = response_envelope(query_events(read_store(spark, store).where("false"), 5, 3,
+                                           resolve=False))
+    assert json.loads(response_json(empty).collect()[0]["json"]) == {"events": [], "total": 0}
