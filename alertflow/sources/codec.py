@@ -20,25 +20,18 @@ from ..session import ensure_conf
 # variant type names); JSON null (VOID) is accepted for every key.
 KEY_TYPES = (("criticality", "BIGINT"), ("timestamp", "STRING"), ("eventMessage", "STRING"))
 DECODED_COLS = ("raw", "criticality", "timestamp", "event_message", "malformed")
-_ARRAY_SCHEMA = "array<struct<criticality:bigint,timestamp:string,eventMessage:string>>"
 
 
-def _key_variant(obj: Column, key: str, ignore_case: bool) -> Column:
-    """The JSON value of ``key`` as a variant (SQL NULL when absent).
+def _exact_variant(obj: Column, key: str) -> Column:
+    """The JSON value of ``key`` as a variant (SQL NULL when absent)."""
+    return F.try_variant_get(obj, f"$.v.{key}", "variant")
 
-    The exact key is looked up first; only when it is absent, and
-    ``ignore_case`` is on, is a key equal to it ignoring case taken instead
-    (the wire decoder matches keys that way).  The fallback walks the
-    object's entries, so it costs something only on rows without the exact
-    key.
-    """
-    exact = F.try_variant_get(obj, f"$.v.{key}", "variant")
-    if not ignore_case:
-        return exact
-    entries = F.filter(F.map_entries(F.try_variant_get(obj, "$.v", "map<string,variant>")),
-                       lambda e: F.lower(e["key"]) == key.lower())
-    return F.when(exact.isNotNull(), exact).otherwise(
-        F.try_element_at(entries, F.lit(-1))["value"])
+
+def _folded_lookup(entries: Column, key: str) -> Column:
+    """The last entry whose key equals ``key`` ignoring case (the wire decoder
+    matches keys that way when the exact spelling is absent)."""
+    hits = F.filter(entries, lambda e: F.lower(e["key"]) == key.lower())
+    return F.try_element_at(hits, F.lit(-1))["value"]
 
 
 def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
@@ -46,9 +39,12 @@ def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
     """Decode JSON text into ``criticality, timestamp, event_message, malformed``.
 
     Two parses per payload: wrapped as ``[v]`` it must be an array of exactly
-    one object-or-null (catches syntax errors, trailing text, arrays, single
-    quotes, empty text); wrapped as ``{"v": v}`` it must parse as well (catches
-    ``{..}]`` and ``NaN``) and gives each key's JSON type.  ``raw`` keeps the
+    one element (``json_array_length``, a streaming parse that builds nothing;
+    catches syntax errors, trailing text, single quotes, ``{..},{..}`` and
+    empty text); wrapped as ``{"v": v}`` it must parse as a variant (catches
+    ``{..}]`` and ``NaN``), which gives each key's JSON type and value.  The
+    value must be an object or null: once the text is known to parse, its
+    first non-blank character tells.  ``raw`` keeps the
     text, ``ingest_seq`` the arrival position when the input has none.
     Keys match ignoring case when the exact key is absent
     (``ignore_key_case=False`` for strict matching).  Requires
@@ -57,32 +53,41 @@ def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
     """
     ensure_conf(df.sparkSession)
     v = F.col(value_col).cast("string")
-    arr = F.from_json(F.concat(F.lit("["), v, F.lit("]")), _ARRAY_SCHEMA,
-                      {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    one = F.json_array_length(F.concat(F.lit("["), v, F.lit("]"))) == 1
     obj = F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}")))
     others = [c for c in df.columns if keep and c not in DECODED_COLS and c != value_col]
     # the two parses, once per row, behind a fence (see operators/fence.py)
-    parsed = fence(df.select(*others, v.alias("raw"), arr.alias("_arr"), obj.alias("_obj")),
-                   ["_arr", "_obj"])
-    arr, obj = F.col("_arr"), F.col("_obj")
-    parsed = parsed.withColumns({f"_var_{key}": _key_variant(obj, key, ignore_key_case)
-                                 for key, _ in KEY_TYPES})
-    first = arr.getItem(0)
-    types_ok = None
+    parsed = fence(df.select(*others, v.alias("raw"), one.alias("_one"), obj.alias("_obj")),
+                   ["_one", "_obj"])
+    obj = F.col("_obj")
+    exact = {key: _exact_variant(obj, key) for key, _ in KEY_TYPES}
+    parsed = parsed.withColumns({f"_var_{key}": col for key, col in exact.items()})
+    if ignore_key_case:
+        # the object's entries, built only for rows missing an exact key
+        missing = None
+        for key, _ in KEY_TYPES:
+            m = F.col(f"_var_{key}").isNull()
+            missing = m if missing is None else missing | m
+        parsed = parsed.withColumn("_entries", F.when(missing, F.map_entries(
+            F.try_variant_get(obj, "$.v", "map<string,variant>"))))
+        parsed = parsed.withColumns({
+            f"_var_{key}": F.coalesce(F.col(f"_var_{key}"),
+                                      _folded_lookup(F.col("_entries"), key))
+            for key, _ in KEY_TYPES})
+    # the payload parsed, so its first non-blank character tells an object
+    # from the other JSON values ('n' is the literal null)
+    first_char = F.substring(F.expr("trim(LEADING ' \\t\\n\\r' FROM raw)"), 1, 1)
+    types_ok = first_char.isin("{", "n")
     for key, type_name in KEY_TYPES:
         t = F.schema_of_variant(F.col(f"_var_{key}"))
-        ok = t.isNull() | t.isin(type_name, "VOID")
-        types_ok = ok if types_ok is None else types_ok & ok
-    well_formed = (F.col("raw").isNotNull() & arr.isNotNull() & (F.size(arr) == 1)
-                   & obj.isNotNull() & types_ok)
+        types_ok = types_ok & (t.isNull() | t.isin(type_name, "VOID"))
+    well_formed = F.col("raw").isNotNull() & F.col("_one") & obj.isNotNull() & types_ok
     parsed = parsed.withColumn("malformed", ~F.coalesce(well_formed, F.lit(False)))
     malformed = F.col("malformed")
 
     def field(key: str, type_name: str, zero) -> Column:
-        # the exact key's value as parsed; a key in another case from the variant;
-        # absent keys and the literal null give zero values
-        value = F.coalesce(first[key],
-                           F.try_variant_get(F.col(f"_var_{key}"), "$", type_name.lower()),
+        # the key's value (type already checked); absent keys and null give zero values
+        value = F.coalesce(F.try_variant_get(F.col(f"_var_{key}"), "$", type_name.lower()),
                            F.lit(zero))
         return F.when(malformed, F.lit(None)).otherwise(value)
 
