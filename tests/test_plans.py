@@ -109,3 +109,14 @@ def test_response_json_shape(spark, store):
     empty = response_envelope(query_events(read_store(spark, store).where("false"), 5, 3,
                                            resolve=False))
     assert json.loads(response_json(empty).collect()[0]["json"]) == {"events": [], "total": 0}
+
+
+def test_envelope_of_the_reference_fixture(spark):
+    import datetime as dt
+
+    from alertflow.operators.query import response_envelope
+    t = dt.datetime(2026, 1, 15, 12, 0)
+    rows = spark.createDataFrame([(9, t, "SSH brute force"), (7, t, "Port scan detected")],
+                                 "criticality bigint, timestamp timestamp_ntz, event_message string")
+    env = response_envelope(rows).collect()[0]
+    assert env["total"] == 2 and env["events"][0]["criticality"] == 9
