@@ -102,9 +102,12 @@ def query_store_newest_first(spark: SparkSession, root: str, min_criticality: in
 
     span = max(1, first_days)
     while span < len(dates):
-        bound = dates[span - 1]
-        if len(attempt(bound).collect()) >= k:
-            return attempt(bound)
+        # at most k rows are kept (cached) and only their number reaches the
+        # driver; the winning attempt is returned as is, not run again
+        found = attempt(dates[span - 1]).persist()
+        if found.count() >= k:
+            return found
+        found.unpersist()
         span *= 2
     return attempt(None)
 
