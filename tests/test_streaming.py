@@ -122,3 +122,19 @@ def test_crash_inside_a_batch_then_restart(spark, tmpdir_work, monkeypatch):
     assert read_store_log(spark, f"{tmpdir_work}/store").count() == len(want)
     assert read_dead_letters(spark, f"{tmpdir_work}/store").count() == \
         read_dead_letters(spark, f"{clean}/store").count()
+
+
+def test_dead_letters_can_mask_raw_text(spark):
+    import datetime as dt
+
+    from alertflow.operators.process import process, route
+    from alertflow.sources.codec import decode_events
+    from alertflow.streaming.ingest import dead_letter_rows
+    df = spark.createDataFrame([('{"criticality":0,"eventMessage":"password=hunter2"}',)],
+                               "value string")
+    _, rejected = route(process(decode_events(df)))
+    now = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    plain = dead_letter_rows(rejected, "stream", 0, now).collect()[0]
+    masked = dead_letter_rows(rejected, "stream", 0, now, redact_raw=True).collect()[0]
+    assert "hunter2" in plain["raw"] and "hunter2" not in masked["raw"]
+    assert masked["error_codes"] == ["criticality_out_of_range", "invalid_timestamp"]
