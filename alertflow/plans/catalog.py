@@ -116,6 +116,12 @@ def latest_wins_unstored(spark, sf):
     return _store_cols(latest_wins(fx.store_rows(fx.sec_redelivered(spark, sf))))
 
 
+def latest_wins_hot_identity(spark, sf):
+    """U1 when one identity holds a third of all rows (the skew case): the
+    group limit on the map side keeps one row per task before the shuffle."""
+    return _store_cols(latest_wins(fx.store_rows(fx.sec_hot(spark, sf))))
+
+
 def latest_wins_filtered(spark, sf):
     """U1 then ``criticality >= 8`` above it: stale copies must not come back."""
     return _store_cols(_redelivered_store(spark, sf)).where(F.col("criticality") >= 8)
@@ -327,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "latest_wins": latest_wins_q,
     "latest_wins_unstored": latest_wins_unstored,
     "latest_wins_filtered": latest_wins_filtered,
+    "latest_wins_hot_identity": latest_wins_hot_identity,
     "response_total": response_total,
     "encoded_events": encoded_events,
     "decode_roundtrip": decode_roundtrip,

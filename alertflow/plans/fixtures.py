@@ -86,6 +86,21 @@ def sec_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(again).unionByName(stale)
 
 
+HOT_MOD = 3  # every third event is re-stamped onto one identity
+
+
+def sec_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 where a third of all rows are copies of one identity: every third
+    event is re-stamped with the first event time and criticality 9 (so the
+    same severity), arriving in ``seq`` order.  The skew case for latest-wins."""
+    s = sec(spark, sf_dir)
+    first = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    hot = F.col("event_id") % HOT_MOD == 0
+    return s.withColumns({"ts": F.when(hot, first).otherwise(F.col("ts")),
+                          "criticality": F.when(hot, F.lit(9).cast("bigint"))
+                          .otherwise(F.col("criticality"))})
+
+
 def store_rows(df: DataFrame, order: str = "validate_first", batch_id: int = 0) -> DataFrame:
     """Process a B1-shaped frame and keep what would be stored, as store rows."""
     p = process(as_decoded(df), order)
