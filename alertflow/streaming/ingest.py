@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,9 +22,6 @@ from ..schema import DEADLETTER_SCHEMA, IDENTITY
 from ..sources.codec import decode_events, encode_events
 from ..sources.store import REPLAY, STREAM, batch_path, list_batches, to_store_rows, write_store
 
-_DEADLETTER_COLS = [f.name for f in DEADLETTER_SCHEMA.fields]
-
-
 def read_event_stream(spark: SparkSession, fmt: str = "text", path: str | None = None,
                       **options) -> DataFrame:
     """A streaming frame with the wire text in ``value`` and ``ingest_seq``.
@@ -127,13 +125,13 @@ def run_ingest(spark: SparkSession, stream: DataFrame, root: str, checkpoint: st
 
 
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
+    """All dead letters (G4); none yet is an empty frame, not an error."""
     path = f"{root}/deadletter"
-    schema = DEADLETTER_SCHEMA
     try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path)
-    except Exception as e:  # noqa: BLE001 - only the absent-path case is expected
-        if "PATH_NOT_FOUND" in str(getattr(e, "getCondition", lambda: "")() or e):
-            return spark.createDataFrame([], schema)
+        return spark.read.schema(DEADLETTER_SCHEMA).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], DEADLETTER_SCHEMA)
         raise
 
 

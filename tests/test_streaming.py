@@ -138,3 +138,7 @@ def test_dead_letters_can_mask_raw_text(spark):
     masked = dead_letter_rows(rejected, "stream", 0, now, redact_raw=True).collect()[0]
     assert "hunter2" in plain["raw"] and "hunter2" not in masked["raw"]
     assert masked["error_codes"] == ["criticality_out_of_range", "invalid_timestamp"]
+
+
+def test_no_dead_letters_yet_reads_empty(spark, tmpdir_work):
+    assert read_dead_letters(spark, f"{tmpdir_work}/none").count() == 0
