@@ -51,17 +51,31 @@ def error_text(codes: Column) -> Column:
                   F.concat(F.lit("validation failed: "), F.array_join(codes, "; ")))
 
 
+# Fixed value: the one text callers are shown for an out-of-range argument.
+RANGE_PUBLIC_MESSAGE = "invalid query parameters"
+
+
 class InvalidQuery(ValueError):
-    """Query arguments out of range or not integers."""
+    """Query arguments out of range or not integers.
+
+    ``str(e)`` is the detailed reason; ``e.public_message`` is what a caller
+    outside should see: the missing / non-integer texts as they are, and one
+    generic text for any range failure.
+    """
+
+    def __init__(self, message: str, public_message: str | None = None):
+        super().__init__(message)
+        self.public_message = public_message or message
 
 
 def validate_query(min_criticality: int, limit: int) -> tuple[int, int]:
     """``1 ≤ min_criticality ≤ 10`` then ``1 ≤ limit ≤ 1000`` (V2)."""
     if not MIN_CRITICALITY <= min_criticality <= MAX_CRITICALITY:
         raise InvalidQuery(f"min_criticality {min_criticality} out of range "
-                           f"[{MIN_CRITICALITY}, {MAX_CRITICALITY}]")
+                           f"[{MIN_CRITICALITY}, {MAX_CRITICALITY}]", RANGE_PUBLIC_MESSAGE)
     if not MIN_LIMIT <= limit <= MAX_LIMIT:
-        raise InvalidQuery(f"limit {limit} out of range [{MIN_LIMIT}, {MAX_LIMIT}]")
+        raise InvalidQuery(f"limit {limit} out of range [{MIN_LIMIT}, {MAX_LIMIT}]",
+                           RANGE_PUBLIC_MESSAGE)
     return min_criticality, limit
 
 

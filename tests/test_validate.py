@@ -82,6 +82,15 @@ def test_query_args():
         parse_query_args({}, missing_as_zero=True)
 
 
+def test_public_messages():
+    for args, text in (({}, "criticality and limit query parameters are required"),
+                       ({"criticality": "x", "limit": "1"}, "criticality must be an integer"),
+                       ({"criticality": "99", "limit": "10"}, "invalid query parameters")):
+        with pytest.raises(InvalidQuery) as e:
+            parse_query_args(args)
+        assert e.value.public_message == text
+
+
 def test_validate_query_checks_criticality_first():
     with pytest.raises(InvalidQuery, match="min_criticality"):
         validate_query(0, 0)
