@@ -215,23 +215,32 @@ def read_store(spark: SparkSession, root: str,
     Without a compaction: latest-wins over the whole log (one shuffle).
     With one: the base already holds one row per identity, and every log
     batch above it arrived later, so a log row replaces a base row with the
-    same identity.  The base is read with no shuffle at all and only loses
-    the identities present in the recent log (a left-anti join whose small
-    side Spark broadcasts when its measured size allows), plus latest-wins
-    over the recent log alone.  Filters on severity, time or event_date
-    reach both scans as partition filters.
+    same identity.  Base dates the recent log does not touch (a directory
+    listing tells) pass through with no join and no shuffle; base rows of
+    the touched dates (a day or two when compaction keeps up) lose the
+    identities present in the recent log, by a left-anti join that Spark
+    broadcasts when its measured size allows and otherwise shuffles only
+    those dates.  Latest-wins runs over the recent log alone.  Filters on
+    severity, time or event_date reach every scan as partition filters.
     """
     owner, k, r = base_layout(spark, root)
     b = _read_base(spark, owner)
     recent = _read_log_above(spark, root, k, r, upto)
     if b is None:
         return latest_wins(recent) if recent is not None else _empty(spark)
-    if recent is None:
+    touched = sorted({d for p in _log_dirs_above(spark, root, k, r, upto)
+                      for d in _dates_in(spark, p)})
+    if recent is None or not touched:
         return b
+    # only base rows of dates the recent log touched can be replaced; the
+    # rest pass through with no join at all
+    dates = [F.lit(d).cast("date") for d in touched]
     keys = list(IDENTITY) + ["event_date"]
-    recent_won = latest_wins(recent)
-    return (b.join(recent.select(*keys), on=keys, how="left_anti")
-            .unionByName(recent_won.select(*_STORED_COLS)))
+    untouched = b.where(~F.col("event_date").isin(dates))
+    kept = (b.where(F.col("event_date").isin(dates))
+            .join(recent.select(*keys), on=keys, how="left_anti"))
+    return (untouched.unionByName(kept)
+            .unionByName(latest_wins(recent).select(*_STORED_COLS)))
 
 
 def compact_store(spark: SparkSession, root: str) -> str | None:
