@@ -121,3 +121,13 @@ def test_envelope_of_the_reference_fixture(spark):
                                  "criticality bigint, timestamp timestamp_ntz, event_message string")
     env = response_envelope(rows).collect()[0]
     assert env["total"] == 2 and env["events"][0]["criticality"] == 9
+
+
+def test_only_touched_base_dates_are_joined(spark):
+    from alertflow.plans import stores
+    from alertflow.sources.store import read_store
+    root = stores.redelivered_store(spark, SF001)
+    phys = read_store(spark, root)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert re.search(r"PartitionFilters: \[.*NOT event_date#\d+ IN \(", phys)
+    assert phys.count("LeftAnti") == 1
