@@ -130,4 +130,4 @@ def test_only_touched_base_dates_are_joined(spark):
     phys = read_store(spark, root)._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert re.search(r"PartitionFilters: \[.*NOT event_date#\d+ IN \(", phys)
-    assert phys.count("LeftAnti") == 1
+    assert phys.count("Join type: LeftAnti") == 1
