@@ -196,16 +196,35 @@ def read_store_log(spark: SparkSession, root: str) -> DataFrame:
 
 def _read_log_above(spark: SparkSession, root: str, k: int, r: int,
                     upto: tuple[int, int] | None = None) -> DataFrame | None:
-    log = _read(spark, f"{root}/log")
-    if log is None:
+    """The log batches above (K, R) [and up to ``upto``], named one by one so
+    that Spark lists only their files, never those of older batches."""
+    dirs = _log_dirs_above(spark, root, k, r, upto)
+    if not dirs:
         return None
-    log = log.where(((F.col("source") == STREAM) & (F.col("batch_id") > k))
-                    | ((F.col("source") == REPLAY) & (F.col("batch_id") > r))
-                    | ~F.col("source").isin(STREAM, REPLAY))
-    if upto is not None:
-        log = log.where(~((F.col("source") == STREAM) & (F.col("batch_id") > upto[0]))
-                        & ~((F.col("source") == REPLAY) & (F.col("batch_id") > upto[1])))
-    return log.select(*_STORED_COLS)
+    return (spark.read.schema(STORED_SCHEMA).option("basePath", f"{root}/log")
+            .parquet(*dirs).select(*_STORED_COLS))
+
+
+def vacuum_store(spark: SparkSession, root: str, dry_run: bool = True) -> list[str]:
+    """Paths no read needs any more: log batches at or below the newest
+    base's (K, R), and bases whose every date a newer base holds.
+
+    Returns them; deletes them unless ``dry_run``.  Run it when no reader
+    started before the last compaction is still running.
+    """
+    owner, k, r = base_layout(spark, root)
+    if not owner and k < 0 and r < 0:
+        return []
+    limit = {STREAM: k, REPLAY: r}
+    old = [batch_path(root, src, i) for src, ids in list_batches(spark, root).items()
+           if src in limit for i in ids if i <= limit[src]]
+    live = set(owner.values())
+    old += [p for p, _, _ in complete_bases(spark, root) if p not in live]
+    if not dry_run:
+        for path in old:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+    return old
 
 
 def read_store(spark: SparkSession, root: str,

@@ -122,3 +122,21 @@ def test_compaction_rewrites_only_touched_dates(spark, tmpdir_work):
     assert got.count() == rows.count()
     assert got.where(F.col("event_date") == F.lit(last).cast("date")) \
         .where("criticality <> 10").count() == 0
+
+
+def test_vacuum_keeps_the_answer(spark, tmpdir_work):
+    from alertflow.sources.store import vacuum_store
+    red = fx.sec_redelivered(spark, SF001)
+    seq = F.col("seq")
+    parts = [seq < fx.REDELIVER_SEQ, (seq >= fx.REDELIVER_SEQ) & (seq < fx.STALE_SEQ),
+             seq >= fx.STALE_SEQ]
+    for i, c in enumerate(parts):
+        write_store(fx.store_rows(red.where(c), batch_id=i), tmpdir_work, "stream", i)
+        compact_store(spark, tmpdir_work)
+    cols = ["severity", "time", "time_ns_rem", "criticality", "event_message"]
+    before = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
+    doomed = vacuum_store(spark, tmpdir_work, dry_run=False)
+    assert any("/log/" in p for p in doomed)
+    assert not any(list_batches(spark, tmpdir_work).values())
+    after = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
+    assert after == before
