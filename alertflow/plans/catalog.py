@@ -16,7 +16,8 @@ from ..functions import (clamp_criticality, color_band, parse_event_time, redact
                          redact_columns, sanitize_message, severity)
 from ..operators.process import SANITIZE_FIRST, STORED, process, route
 from ..operators.query import (count_events, latest_events, query_events, query_events_sql,
-                               query_store_newest_first, response_envelope, severity_events)
+                               query_store_newest_first, response_envelope, response_json,
+                               severity_events)
 from ..operators.report import (error_summary, heatmap_matrix, heatmap_rows, ingest_counters,
                                 missing_from_store)
 from ..operators.upsert import latest_wins
@@ -135,6 +136,13 @@ def response_total(spark, sf):
                       _ntz(F.element_at("events", -1)["timestamp"]).alias("last_timestamp"))
 
 
+def response_document(spark, sf):
+    """S8 on the wire: ``{"events":[...],"total":n}`` for the flagship query,
+    times in RFC 3339 UTC, newest first."""
+    env = response_envelope(query_events(_sec_store(spark, sf), 5, 10, resolve=False))
+    return response_json(env)
+
+
 # --- codec ----------------------------------------------------------------
 
 def encoded_events(spark, sf):
@@ -335,6 +343,7 @@ QUERIES: dict[str, Query] = {
     "latest_wins_filtered": latest_wins_filtered,
     "latest_wins_hot_identity": latest_wins_hot_identity,
     "response_total": response_total,
+    "response_document": response_document,
     "encoded_events": encoded_events,
     "decode_roundtrip": decode_roundtrip,
     "event_times": event_times,
