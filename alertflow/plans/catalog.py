@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clamp_criticality, color_band, parse_event_time, redact,
                          redact_columns, sanitize_message, severity)
-from ..operators.process import SANITIZE_FIRST, STORED, process, route
+from ..operators.process import SANITIZE_FIRST, process, route
 from ..operators.query import (count_events, latest_events, query_events, query_events_sql,
                                query_store_newest_first, response_envelope, response_json,
                                severity_events)

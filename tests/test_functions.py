@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from alertflow.functions import (clamp_criticality, color_band, format_event_time, is_rfc3339,
                                  parse_event_time, sanitize_message, severities_at_least,

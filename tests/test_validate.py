@@ -1,7 +1,6 @@
 """Validation (V1), processing order (G1) and query arguments (V2, V3)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from alertflow.operators.process import INVALID, SANITIZE_FIRST, STORED, process
 from alertflow.operators.validate import InvalidQuery, error_codes, parse_query_args, validate_query
