@@ -148,10 +148,12 @@ def severity_events(store: DataFrame, severity_name: str = "critical",
 def count_events(store: DataFrame, resolve: bool = True) -> DataFrame:
     """``SELECT count(*)`` (A1) after latest-wins.
 
-    Latest-wins keeps exactly one row per identity, so the count is the
-    number of distinct identities: a hash aggregate on the three identity
-    columns (partial aggregation on the map side collapses a hot group of
-    copies before the shuffle), with no sort and no other column read.
+    On an unresolved log, latest-wins keeps exactly one row per identity, so
+    the count is the number of distinct identities: a hash aggregate on the
+    three identity columns (partial aggregation on the map side collapses a
+    hot group of copies before the shuffle), with no sort and no other
+    column read.  On a store already resolved by ``read_store``
+    (``resolve=False``) it is a plain row count.
     """
     if not resolve:
         return store.agg(F.count(F.lit(1)).alias("n"))
