@@ -77,33 +77,30 @@ def query_events(store: DataFrame, min_criticality: int, limit: int, since=None,
     return result_columns(rows.orderBy(*newest_first()).limit(k))
 
 
-def query_store_newest_first(spark: SparkSession, root: str, min_criticality: int,
-                             limit: int, since=None, first_days: int = 1) -> DataFrame:
-    """The reader query over a stored table, reading the newest dates first.
-
-    Rows come back newest first and a row's date is part of its identity, so
-    the top k of the whole store are the top k of the newest dates that hold
-    at least k matching rows.  We try the newest ``first_days`` date
-    partitions, and double the range until k rows are found or the dates run
-    out; each attempt returns at most k rows to the driver.  The returned
-    frame is the final, exact query restricted to that date range, so a
-    100-day store answers a top-10 from its last day or two instead of from
-    every file.
+def newest_dates_first(spark: SparkSession, root: str, k: int, build,
+                       first_days: int = 1) -> DataFrame:
+    """Run ``build(store)`` (a newest-first query returning at most ``k`` rows)
+    on the newest date partitions of a stored table, widening the range
+    until it returns ``k`` rows or the dates run out.
+
+    Rows come back newest first and a row's date is part of its identity,
+    so the top k of the whole store are the top k of the newest dates that
+    hold at least k matching rows.  Each attempt keeps its at most k rows
+    cached and only their number reaches the driver; the winning attempt is
+    returned as is, not run again.  A 100-day store answers a top-10 from
+    its last day or two instead of from every file.
     """
     from ..sources.store import list_dates, read_store
-    n, k = validate_query(min_criticality, limit)
     dates = sorted(list_dates(spark, root), reverse=True)
 
     def attempt(bound):
         store = read_store(spark, root)
         if bound is not None:
             store = store.where(F.col("event_date") >= F.lit(bound).cast("date"))
-        return query_events(store, n, k, since=since, resolve=False)
+        return build(store)
 
     span = max(1, first_days)
     while span < len(dates):
-        # at most k rows are kept (cached) and only their number reaches the
-        # driver; the winning attempt is returned as is, not run again
         found = attempt(dates[span - 1]).persist()
         if found.count() >= k:
             return found
@@ -112,6 +109,21 @@ def query_store_newest_first(spark: SparkSession, root: str, min_criticality: in
     return attempt(None)
 
 
+def query_store_newest_first(spark: SparkSession, root: str, min_criticality: int,
+                             limit: int, since=None, first_days: int = 1) -> DataFrame:
+    """The reader query (T1) over a stored table, reading the newest dates first."""
+    n, k = validate_query(min_criticality, limit)
+    return newest_dates_first(
+        spark, root, k, lambda store: query_events(store, n, k, since=since, resolve=False),
+        first_days)
+
+
+def latest_store_events(spark: SparkSession, root: str, k: int = 10) -> DataFrame:
+    """T2 over a stored table, reading the newest dates first."""
+    return newest_dates_first(spark, root, k,
+                              lambda store: latest_events(store, k, resolve=False))
+
+
 def query_events_sql(spark: SparkSession, view: str, min_criticality: int,
                      limit: int) -> DataFrame:
     """The same query as SQL text with bound parameters, over a resolved view."""

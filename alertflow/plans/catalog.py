@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import (clamp_criticality, color_band, parse_event_time, redact,
                          redact_columns, sanitize_message, severity)
 from ..operators.process import SANITIZE_FIRST, process, route
-from ..operators.query import (count_events, latest_events, query_events, query_events_sql,
-                               query_store_newest_first, response_envelope, response_json,
+from ..operators.query import (count_events, query_events, query_events_sql,
+                               latest_store_events, query_store_newest_first,
+                               response_envelope, response_json,
                                severity_events)
 from ..operators.report import (error_summary, heatmap_matrix, heatmap_rows, ingest_counters,
                                 missing_from_store)
@@ -93,8 +94,9 @@ def since_events(spark, sf):
 
 
 def latest_events_q(spark, sf):
-    """T2 over the redelivered store: newest 10 after latest-wins."""
-    return _store_cols(latest_events(_redelivered_store(spark, sf), 10, resolve=False))
+    """T2 over the redelivered store: newest 10 after latest-wins, newest
+    date partitions first."""
+    return _store_cols(latest_store_events(spark, stores.redelivered_store(spark, sf), 10))
 
 
 def critical_events(spark, sf):
