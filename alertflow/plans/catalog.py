@@ -89,8 +89,8 @@ def reader_query_unstored(spark, sf):
 
 def since_events(spark, sf):
     """P3 + T1: strictly after 2024-01-15, criticality >= 5, limit 100."""
-    return _result_ntz(query_events(_sec_store(spark, sf), 5, 100, since="2024-01-15T00:00:00Z",
-                                    resolve=False))
+    return _result_ntz(query_store_newest_first(spark, stores.sec_store(spark, sf), 5, 100,
+                                                since="2024-01-15T00:00:00Z"))
 
 
 def latest_events_q(spark, sf):
@@ -134,7 +134,7 @@ def latest_wins_filtered(spark, sf):
 
 def response_total(spark, sf):
     """S8 + A2: envelope of the flagship result; total = rows returned."""
-    env = response_envelope(query_events(_sec_store(spark, sf), 5, 10, resolve=False))
+    env = response_envelope(query_store_newest_first(spark, stores.sec_store(spark, sf), 5, 10))
     return env.select(F.col("total"),
                       F.col("events")[0]["criticality"].alias("first_criticality"),
                       _ntz(F.element_at("events", -1)["timestamp"]).alias("last_timestamp"))
@@ -143,7 +143,7 @@ def response_total(spark, sf):
 def response_document(spark, sf):
     """S8 on the wire: ``{"events":[...],"total":n}`` for the flagship query,
     times in RFC 3339 UTC, newest first."""
-    env = response_envelope(query_events(_sec_store(spark, sf), 5, 10, resolve=False))
+    env = response_envelope(query_store_newest_first(spark, stores.sec_store(spark, sf), 5, 10))
     return response_json(env)
 
 
