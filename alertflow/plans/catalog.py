@@ -24,7 +24,7 @@ from ..operators.report import (error_summary, heatmap_matrix, heatmap_rows, ing
 from ..operators.upsert import latest_wins
 from ..session import new_work_dir
 from ..sources.codec import decode_events, encode_events
-from ..sources.store import compact_store, read_store, read_store_log
+from ..sources.store import compact_store, read_store
 from ..streaming.ingest import read_event_stream, replay, run_ingest
 from . import fixtures as fx
 from . import stores
@@ -268,13 +268,20 @@ def redacted_columns(spark, sf):
 
 
 def missing_from_store_q(spark, sf):
-    """Valid source events whose identity never reached the store."""
-    source = fx.store_rows(fx.sec(spark, sf))
-    stored, _ = route(_payload_processed(spark, sf))
-    store = latest_wins(fx.to_store_rows(stored, "stream", 0, fx.FIXED_INGEST_TS))
+    """Events of the source (B1, stored) whose identity never reached the
+    store written from their wire payloads (B3)."""
+    source = read_store(spark, stores.sec_store(spark, sf))
+    store = read_store(spark, stores.payload_store(spark, sf))
     return _store_cols(missing_from_store(source, store))
 
 
+def heatmap_reader(spark, sf):
+    """H1 on the reader's result (what the terminal client draws): the
+    flagship query's rows with their level marks and band."""
+    rows = query_store_newest_first(spark, stores.sec_store(spark, sf), 5, 10)
+    return heatmap_rows(rows)
+
+
 # --- streaming -------------------------------------------------------------
 
 STREAM_FILES = 16
@@ -360,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "sanitize_first": sanitize_first,
     "severity_rollup": severity_rollup_q,
     "heatmap_rows": heatmap_rows_q,
+    "heatmap_reader": heatmap_reader,
     "heatmap_matrix": heatmap_matrix_q,
     "heatmap_matrix_daily": heatmap_matrix_daily,
     "redacted": redacted,

@@ -57,6 +57,20 @@ def _build_redelivered(spark, sf_dir, root):
             compact_store(spark, root)
 
 
+def _build_payload(spark, sf_dir, root):
+    from ..operators.process import process, route
+    from ..sources.codec import decode_events
+    from ..sources.store import to_store_rows
+    stored, _ = route(process(decode_events(fx.sec_payload(spark, sf_dir))))
+    write_store(to_store_rows(stored, STREAM, 0, fx.FIXED_INGEST_TS), root, STREAM, 0)
+    compact_store(spark, root)
+
+
+def payload_store(spark: SparkSession, sf_dir: str) -> str:
+    """B3 decoded, processed and stored: what reached the store."""
+    return _materialize(spark, sf_dir, "payload", _build_payload)
+
+
 def sec_store(spark: SparkSession, sf_dir: str) -> str:
     """B1 processed and stored (one batch, compacted)."""
     return _materialize(spark, sf_dir, "sec", _build_sec)
