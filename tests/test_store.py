@@ -140,3 +140,43 @@ def test_vacuum_keeps_the_answer(spark, tmpdir_work):
     assert not any(list_batches(spark, tmpdir_work).values())
     after = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
     assert after == before
+
+
+op = st.one_of(st.just(("compact",)),
+               st.tuples(st.sampled_from(["stream", "replay"]),
+                         st.lists(st.tuples(st.sampled_from(["high", "low"]), st.integers(0, 5),
+                                            st.integers(1, 10), st.sampled_from(["a", "b"])),
+                                  min_size=1, max_size=6)))
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(op, min_size=2, max_size=6))
+def test_store_equals_brute_force_latest_wins(spark, ops):
+    """Random stream / replay writes and compactions: the store as read
+    equals latest-wins over everything ever written."""
+    from alertflow.session import new_work_dir
+    root = new_work_dir(spark, "prop")
+    next_id = {"stream": 0, "replay": 0}
+    written = []
+    for step, o in enumerate(ops):
+        if o[0] == "compact":
+            compact_store(spark, root)
+            continue
+        source, rows = o
+        b = next_id[source]
+        next_id[source] += 1
+        ingest = T0 + dt.timedelta(days=1, seconds=step)
+        data = []
+        for seq, (sev, s, c, m) in enumerate(rows):
+            t = T0 + dt.timedelta(hours=13 * s)  # spreads the rows over three dates
+            data.append((t, 0, c, m, sev, t.date(), ingest, source, b, seq))
+            written.append(((sev, t), (ingest, source, b, seq, c, m), (sev, t, c, m)))
+        write_store(spark.createDataFrame(data, STORED_SCHEMA), root, source, b)
+    best = {}
+    for key, rank, row in written:
+        if key not in best or rank > best[key][0]:
+            best[key] = (rank, row)
+    want = sorted(v[1] for v in best.values())
+    got = sorted((r["severity"], r["time"], r["criticality"], r["event_message"])
+                 for r in read_store(spark, root).collect())
+    assert got == want
