@@ -41,6 +41,16 @@ CASES = [
     ('{"CRITICALITY":4,"TimeStamp":"2024-01-15T10:30:00Z","eventmessage":"m"}', False,
      (4, "2024-01-15T10:30:00Z", "m")),
     ('{"Criticality":"7"}', True, None),
+    ('{"criticality":Infinity}', True, None),
+    ('{"criticality":-Infinity}', True, None),
+    ('{"criticality":1 /* c */}', True, None),
+    ('// c\n{"criticality":1}', True, None),
+    ('{"criticality":1}]{}', True, None),
+    ('{"criticality":1}{}', True, None),
+    ('{"criticality":1,"x":[1,]}', True, None),
+    ('{"criticality":true}', True, None),
+    ('{"eventMessage":"tab\there"}', True, None),
+    ('{"eventMessage":"esc\\u00e9"}', False, (0, "", "escé")),
 ]
 
 
