@@ -228,17 +228,10 @@ def severity_rollup_q(spark, sf):
                     _ntz("last_time").alias("last_time"))
 
 
-def _props_store(spark, sf):
-    s = fx.sec(spark, sf, extra=("props",))
-    s = s.withColumn("event_message", F.concat(F.col("event_message"), F.lit(" props "),
-                                               F.col("props"))).drop("props")
-    return latest_wins(fx.store_rows(s))
-
-
 def heatmap_rows_q(spark, sf):
     """H1 + F7 + F8: one display row per stored event (whole table)."""
-    rows = _props_store(spark, sf).select(F.col("time").alias("timestamp"), "criticality",
-                                          "event_message")
+    rows = read_store(spark, stores.props_store(spark, sf)).select(
+        F.col("time").alias("timestamp"), "criticality", "event_message")
     return heatmap_rows(rows)
 
 

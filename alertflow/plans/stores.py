@@ -71,6 +71,20 @@ def payload_store(spark: SparkSession, sf_dir: str) -> str:
     return _materialize(spark, sf_dir, "payload", _build_payload)
 
 
+def _build_props(spark, sf_dir, root):
+    s = fx.sec(spark, sf_dir, extra=("props",))
+    s = s.withColumn("event_message", F.concat(F.col("event_message"), F.lit(" props "),
+                                               F.col("props"))).drop("props")
+    write_store(fx.store_rows(s, batch_id=0), root, STREAM, 0)
+    compact_store(spark, root)
+
+
+def props_store(spark: SparkSession, sf_dir: str) -> str:
+    """B1 with the event's ``props`` appended to the message (longer messages
+    for display truncation), stored."""
+    return _materialize(spark, sf_dir, "props", _build_props)
+
+
 def sec_store(spark: SparkSession, sf_dir: str) -> str:
     """B1 processed and stored (one batch, compacted)."""
     return _materialize(spark, sf_dir, "sec", _build_sec)

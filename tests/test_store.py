@@ -180,3 +180,6 @@ def test_store_equals_brute_force_latest_wins(spark, ops):
     got = sorted((r["severity"], r["time"], r["criticality"], r["event_message"])
                  for r in read_store(spark, root).collect())
     assert got == want
+    from alertflow.operators.query import count_events
+    assert count_events(read_store_log(spark, root)).first()["n"] == len(want)
+    assert count_events(read_store(spark, root), resolve=False).first()["n"] == len(want)
