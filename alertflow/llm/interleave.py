@@ -21,7 +21,7 @@ from .common import stored
 
 SHARDS = 24
 SEED = 42
-BUCKET_ROWS = 50_000  # rows ranked together in one window partition
+BUCKET_ROWS = 4_096  # rows ranked together in one window partition
 KEY_BITS = 30
 
 

@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
 from .interleave import SHARDS, interleave
+from .neighbours import nearest_neighbours
+from .oracle import ORACLE  # noqa: F401 - read by the registry
 from .packing import pack
+from .pii import personal_data
+from .sentences import remove_repeated_sentences
 from .simhash import simhash_groups
+from .substrings import remove_repeats
+from .toxicity import score_toxicity
+from .urlrules import judge_urls
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +25,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth row of ``embeddings``."""
+    return nearest_neighbours(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every row of ``documents``."""
+    found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` into 24 shards that match the mixture of sources."""
     placed = interleave(spark, table(spark, sf_dir, "documents"), SHARDS)
@@ -24,15 +43,48 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without bytes of repeated 400-byte strings."""
+    kept = remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every URL of ``pages``."""
+    return judge_urls(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without sentences of repeated spans."""
+    kept = remove_repeated_sentences(spark, table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", F.length("kept").cast("long").alias("n_kept_chars"),
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every row of ``documents``."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as token pieces packed into sequences of 2048."""
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every row of ``documents``."""
+    return score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_neighbours": op2_neighbours,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_substrings": op5_substrings,
+    "op6_urls": op6_urls,
+    "op7_sentences": op7_sentences,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
-
-ORACLE: dict[str, str] = {}
