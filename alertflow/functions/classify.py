@@ -12,6 +12,7 @@ MAX_CRITICALITY = 10
 SEVERITY_THRESHOLDS = (("critical", 9), ("high", 7), ("medium", 4), ("low", 2))
 SEVERITY_DEFAULT = "info"
 SEVERITIES = ("critical", "high", "medium", "low", "info")
+SEVERITY_MINIMUM = {**dict(SEVERITY_THRESHOLDS), SEVERITY_DEFAULT: MIN_CRITICALITY}
 BAND_THRESHOLDS = (("red", 9), ("orange", 7), ("yellow", 5), ("green", 2))
 BAND_DEFAULT = "white"
 

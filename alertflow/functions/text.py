@@ -29,12 +29,17 @@ def sanitize_message(c) -> Column:
 
 
 def truncate_message(c, n: int = 35) -> Column:
-    """Display truncation (F7): over ``n`` bytes → first ``n - 3`` characters + '...'.
+    """Display truncation (F7): over ``n`` bytes → what fits into ``n - 3`` bytes + '...'.
 
-    The length test counts bytes as the terminal client does; the cut is made
-    on characters so that no character is split in half (a deliberate
-    difference, equal for ASCII text).
+    Bytes are counted as the terminal client does; the cut moves back to the
+    start of a character, so none is split (a deliberate difference, equal for
+    ASCII text).
     """
     c = _col(c)
-    return F.when(F.octet_length(c) > n,
-                  F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
+    raw = c.cast("binary")
+    out = F.lit("")
+    for cut in range(max(n - 6, 0), n - 2):  # a character has four bytes at most
+        # a cut is clean unless the next byte continues a character
+        clean = ~F.hex(F.substring(raw, cut + 1, 1)).between("80", "BF")
+        out = F.when(clean, F.substring(raw, 1, cut).cast("string")).otherwise(out)
+    return F.when(F.octet_length(c) > n, F.concat(out, F.lit("..."))).otherwise(c)

@@ -91,12 +91,13 @@ def missing_from_store(source: DataFrame, store: DataFrame,
                        identity: Sequence[str] = IDENTITY) -> DataFrame:
     """Source events whose identity never reached the store.
 
-    A left-anti join on the identity: the store side is reduced to its
-    distinct identity columns (column pruning keeps the scan narrow); Spark
-    broadcasts it only when its measured size is under the broadcast
-    threshold, otherwise both sides shuffle on the identity and AQE splits a
-    skewed source key across tasks.  Every missing source row is returned,
-    copies included.
+    A left-anti join on the identity and, where both sides have it, the date
+    (a function of the identity, so date filters reach both scans).  The
+    store side is reduced to its distinct identities before the join, so
+    copies of a hot identity shrink on the map side; AQE splits a skewed
+    source key.  Every missing source row is returned, copies included.
     """
-    keys = store.select(*identity)
-    return source.join(keys, on=list(identity), how="left_anti")
+    keys = list(identity)
+    if "event_date" in source.columns and "event_date" in store.columns and "event_date" not in keys:
+        keys.append("event_date")
+    return source.join(store.select(*keys).distinct(), on=keys, how="left_anti")

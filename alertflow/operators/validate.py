@@ -52,6 +52,8 @@ def error_text(codes: Column) -> Column:
 
 
 # Fixed value: the one text callers are shown for an out-of-range argument.
+MISSING_PUBLIC_MESSAGE = "criticality and limit query parameters are required"
+NOT_INTEGER_PUBLIC_MESSAGE = "{} must be an integer"
 RANGE_PUBLIC_MESSAGE = "invalid query parameters"
 
 
@@ -102,7 +104,7 @@ def parse_query_args(args: Mapping[str, object], missing_as_zero: bool = False)
     values = {}
     absent = [k for k in ("criticality", "limit") if args.get(k) is None or args.get(k) == ""]
     if absent and not missing_as_zero:
-        raise InvalidQuery("criticality and limit query parameters are required")
+        raise InvalidQuery(MISSING_PUBLIC_MESSAGE)
     for key in ("criticality", "limit"):
         raw = args.get(key)
         if key in absent:
@@ -111,5 +113,5 @@ def parse_query_args(args: Mapping[str, object], missing_as_zero: bool = False)
         try:
             values[key] = _parse_int(raw)
         except (TypeError, ValueError):
-            raise InvalidQuery(f"{key} must be an integer") from None
+            raise InvalidQuery(NOT_INTEGER_PUBLIC_MESSAGE.format(key)) from None
     return validate_query(values["criticality"], values["limit"])

@@ -17,18 +17,21 @@ from ..functions import (clamp_criticality, color_band, parse_event_time, redact
 from ..operators.process import SANITIZE_FIRST, process, route
 from ..operators.query import (count_events, query_events, query_events_sql,
                                latest_store_events, query_store_newest_first,
-                               response_envelope, response_json,
+                               response_envelope, response_json, result_columns,
                                severity_events)
 from ..operators.report import (error_summary, heatmap_matrix, heatmap_rows, ingest_counters,
                                 missing_from_store)
 from ..operators.upsert import latest_wins
 from ..session import new_work_dir
 from ..sources.codec import decode_events, encode_events
-from ..sources.store import compact_store, read_store
-from ..streaming.ingest import read_event_stream, replay, run_ingest
+from ..sources.store import read_counts, read_store, read_store_log
+from ..streaming.ingest import (dedup_stream, read_dead_letters, read_event_stream, replay, run_ingest,
+                                write_event_stream)
 from . import fixtures as fx
 from . import stores
 
+SINCE_NS = "2024-01-25T12:00:00.000000500Z"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -44,7 +47,8 @@ def _store_cols(df: DataFrame) -> DataFrame:
 
 
 def _result_ntz(df: DataFrame) -> DataFrame:
-    return df.withColumn("timestamp", _ntz("timestamp"))
+    return df.withColumns({"timestamp": _ntz("timestamp"),
+                           "time_ns_rem": F.col("time_ns_rem").cast("bigint")})
 
 
 def _sec_store(spark, sf):
@@ -53,7 +57,7 @@ def _sec_store(spark, sf):
 
 
 def _redelivered_store(spark, sf):
-    """B2 as the reader sees it (base + newer log, resolved)."""
+    """B2 as the reader sees it (three batches, resolved)."""
     return read_store(spark, stores.redelivered_store(spark, sf))
 
 
@@ -65,20 +69,47 @@ def _payload_processed(spark, sf, order="validate_first"):
 
 def reader_query(spark, sf):
     """G1 + U1 + T1: ``criticality >= 5 ORDER BY time DESC LIMIT 10`` — the flagship,
-    over the stored table, newest date partitions first."""
+    over the newest dates of the stored table."""
     return _result_ntz(query_store_newest_first(spark, stores.sec_store(spark, sf), 5, 10))
 
 
 def reader_query_wide(spark, sf):
     """T1 with ``criticality >= 9 LIMIT 100``: the newest day is not enough, so the
-    newest-first search widens its date range until 100 rows are found."""
+    date bound lies further back."""
     return _result_ntz(query_store_newest_first(spark, stores.sec_store(spark, sf), 9, 100))
 
 
 def reader_query_sql(spark, sf):
     """T1 as SQL text with bound parameters over the resolved store as a view."""
-    _sec_store(spark, sf).createOrReplaceTempView("alertflow_store_resolved")
-    return _result_ntz(query_events_sql(spark, "alertflow_store_resolved", 5, 10))
+    root = stores.sec_store(spark, sf)
+    read_store(spark, root).createOrReplaceTempView("alertflow_store_resolved")
+    read_counts(spark, root).createOrReplaceTempView("alertflow_store_counts")
+    return _result_ntz(query_events_sql(spark, "alertflow_store_resolved", "alertflow_store_counts", 5, 10))
+
+
+def reader_query_stale(spark, sf):
+    """T1 over the redelivered store with a minimum of 8: stale copies lower some
+    rows to 7, and those must not come back."""
+    return _result_ntz(query_store_newest_first(spark, stores.redelivered_store(spark, sf), 8, 100))
+
+
+def reader_query_ns(spark, sf):
+    """T1 where many events share a microsecond: order and result to the nanosecond."""
+    return _result_ntz(query_store_newest_first(spark, stores.ns_store(spark, sf), 5, 100))
+
+
+def since_ns(spark, sf):
+    """P3 with a bound inside one microsecond."""
+    return _result_ntz(query_store_newest_first(spark, stores.ns_store(spark, sf), 9, 1000,
+                                                since=SINCE_NS))
+
+
+def null_fields(spark, sf):
+    """F5 + F6: missing criticality and message read as 0 and ''."""
+    rows = fx.store_rows(fx.sec(spark, sf)).withColumns({
+        "criticality": F.when(F.col("ingest_seq") % 5 != 0, F.col("criticality")),
+        "event_message": F.when(F.col("ingest_seq") % 7 != 0, F.col("event_message"))})
+    return _result_ntz(result_columns(rows))
 
 
 def reader_query_unstored(spark, sf):
@@ -105,10 +136,8 @@ def critical_events(spark, sf):
 
 
 def count_events_q(spark, sf):
-    """U1 + A1: rows of the resolved store.  Untouched base dates are counted
-    as they are (no shuffle, no column read); only the touched dates and the
-    recent log go through the anti join and the window."""
-    return count_events(_redelivered_store(spark, sf), resolve=False)
+    """U1 + A1: identities of the store (a hash aggregate over the log's identity columns)."""
+    return count_events(read_store_log(spark, stores.redelivered_store(spark, sf)))
 
 
 def latest_wins_q(spark, sf):
@@ -147,6 +176,12 @@ def response_document(spark, sf):
     return response_json(env)
 
 
+def response_document_ns(spark, sf):
+    """S8 on the wire where the newest events share a microsecond."""
+    env = response_envelope(query_store_newest_first(spark, stores.ns_store(spark, sf), 5, 10))
+    return response_json(env)
+
+
 # --- codec ----------------------------------------------------------------
 
 def encoded_events(spark, sf):
@@ -286,44 +321,87 @@ def _write_payload_files(spark, sf, path: str) -> None:
      .repartition(STREAM_FILES).write.mode("overwrite").text(path))
 
 
+def _ingest(spark, work: str, root: str | None = None, checkpoint: str = "checkpoint") -> str:
+    """Run the ingest over the text files under ``work`` until they are read."""
+    stream = read_event_stream(spark, "text", f"{work}/in", maxFilesPerTrigger=STREAM_FILES // 2)
+    root = root or f"{work}/store"
+    run_ingest(spark, stream, root, f"{work}/{checkpoint}", trigger={"availableNow": True}).awaitTermination()
+    return root
+
+
 def ingest_stream(spark, sf):
     """JSON text files → stream (availableNow, twice) → store; read resolved."""
     work = new_work_dir(spark, "ingest")
     _write_payload_files(spark, sf, f"{work}/in")
-    for _ in range(2):  # the second run from the same checkpoint adds nothing
-        stream = read_event_stream(spark, "text", f"{work}/in",
-                                   maxFilesPerTrigger=STREAM_FILES // 2)
-        q = run_ingest(spark, stream, f"{work}/store", f"{work}/checkpoint",
-                       trigger={"availableNow": True})
-        q.awaitTermination()
-    return _store_cols(read_store(spark, f"{work}/store"))
+    _ingest(spark, work)
+    return _store_cols(read_store(spark, _ingest(spark, work)))  # the same checkpoint adds nothing
+
+
+def ingest_new_checkpoint(spark, sf):
+    """G3 + S6: a second ingest of the same files from a new checkpoint (batch
+    numbers start again) adds a lineage; the resolved store is the same."""
+    work = new_work_dir(spark, "lineages")
+    _write_payload_files(spark, sf, f"{work}/in")
+    _ingest(spark, work)
+    return _store_cols(read_store(spark, _ingest(spark, work, checkpoint="checkpoint-2")))
 
 
 def replay_dead_letters(spark, sf):
-    """Ingest, compact, then replay the dead letters with the documented order
+    """Ingest, then replay the dead letters with the documented order
     (running the same replay batch again adds nothing: tests/test_streaming.py)."""
     work = new_work_dir(spark, "replay")
     _write_payload_files(spark, sf, f"{work}/in")
-    stream = read_event_stream(spark, "text", f"{work}/in",
-                               maxFilesPerTrigger=STREAM_FILES // 2)
-    q = run_ingest(spark, stream, f"{work}/store", f"{work}/checkpoint",
-                   trigger={"availableNow": True})
+    root = _ingest(spark, work)
+    replay(spark, root, order=SANITIZE_FIRST, batch_id=0)
+    return _store_cols(read_store(spark, root))
+
+
+def dead_letters_stored(spark, sf):
+    """The dead-letter table as written by the ingest, read back after two
+    replays (which add no letters)."""
+    work = new_work_dir(spark, "letters")
+    _write_payload_files(spark, sf, f"{work}/in")
+    root = _ingest(spark, work)
+    for _ in range(2):
+        replay(spark, root, order=SANITIZE_FIRST)
+    return read_dead_letters(spark, root).select(
+        "disposition", F.array_join("error_codes", ",").alias("error_codes"), "criticality")
+
+
+def published_events(spark, sf):
+    """Stored events published as wire JSON to text files by a stream, decoded again."""
+    work = new_work_dir(spark, "publish")
+    rows = fx.store_rows(fx.sec(spark, sf))
+    rows.write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
+    q = write_event_stream(stream, "text", f"{work}/out", f"{work}/checkpoint",
+                           trigger={"availableNow": True})
     q.awaitTermination()
-    compact_store(spark, f"{work}/store")
-    replay(spark, f"{work}/store", order=SANITIZE_FIRST, batch_id=0)
-    return _store_cols(read_store(spark, f"{work}/store"))
+    return decode_events(spark.read.text(f"{work}/out")).select(
+        "criticality", "timestamp", "event_message", "malformed")
+
+
+DEDUP_SLICE_DAYS = 10
 
 
 def dedup_stream_q(spark, sf):
-    """Redelivered copies dropped inside a watermark (first copy wins)."""
-    from ..streaming.ingest import dedup_stream
+    """Redelivered and stale copies dropped inside a watermark (first copy wins).
+
+    The originals come in slices of ten days, one file and micro-batch each;
+    copies come one slice later than their originals, inside the watermark.
+    """
     work = new_work_dir(spark, "dedup")
-    rows = _redelivered_store(spark, sf)
-    rows.write.mode("overwrite").parquet(f"{work}/in")
-    # one micro-batch: with several, a first copy arriving behind the
-    # watermark would be dropped as late, which is this operator's contract
-    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
-    q = (dedup_stream(stream, "1 hour").select("severity", "time", "time_ns_rem")
+    rows = fx.store_rows(fx.sec_redelivered(spark, sf))
+    day = F.datediff("event_date", F.lit(fx.FIRST_DAY).cast("date"))
+    copies = F.when(F.col("ingest_seq") >= fx.REDELIVER_SEQ, 1).otherwise(0)
+    rows = rows.withColumn("slice", F.floor(day / DEDUP_SLICE_DAYS) + copies).persist()
+    last = rows.agg(F.max("slice")).first()[0]
+    for n in range(int(last or 0) + 1):  # files are read oldest first
+        rows.where(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(f"{work}/in")
+    schema = rows.drop("slice").schema
+    rows.unpersist()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    q = (dedup_stream(stream, f"{2 * DEDUP_SLICE_DAYS + 5} days").select("severity", "time", "time_ns_rem")
          .writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint")
          .trigger(availableNow=True).start(f"{work}/out"))
     q.awaitTermination()
@@ -338,7 +416,11 @@ QUERIES: dict[str, Query] = {
     "reader_query_wide": reader_query_wide,
     "reader_query_sql": reader_query_sql,
     "reader_query_unstored": reader_query_unstored,
+    "reader_query_stale": reader_query_stale,
+    "reader_query_ns": reader_query_ns,
     "since_events": since_events,
+    "since_ns": since_ns,
+    "null_fields": null_fields,
     "latest_events": latest_events_q,
     "critical_events": critical_events,
     "count_events": count_events_q,
@@ -348,6 +430,7 @@ QUERIES: dict[str, Query] = {
     "latest_wins_hot_identity": latest_wins_hot_identity,
     "response_total": response_total,
     "response_document": response_document,
+    "response_document_ns": response_document_ns,
     "encoded_events": encoded_events,
     "decode_roundtrip": decode_roundtrip,
     "event_times": event_times,
@@ -367,6 +450,9 @@ QUERIES: dict[str, Query] = {
     "redacted_columns": redacted_columns,
     "missing_from_store": missing_from_store_q,
     "ingest_stream": ingest_stream,
+    "ingest_new_checkpoint": ingest_new_checkpoint,
+    "published_events": published_events,
+    "dead_letters_stored": dead_letters_stored,
     "replay_dead_letters": replay_dead_letters,
     "dedup_stream": dedup_stream_q,
 }

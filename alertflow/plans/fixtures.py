@@ -25,31 +25,23 @@ STALE_MOD = 15              # every 15th event with criticality 8 or 10 ...
 STALE_SEQ = 2_000_000_000   # ... gets a later copy with criticality - 1
 PAYLOAD_MOD = 97            # payload corruption class
 SECRET_MOD = 8              # redaction input class
+NS_MOD = 1000               # nanosecond digits of the equal-microsecond fixture
+WIDE_MOD = 5                # every fifth display message starts with ...
+WIDE_CHARS = 20             # ... one letter and this many two-byte ones
 TIME_MOD = 5                # timestamp text class
 # Code points placed around message words: white space (collapsed) and
 # look-alikes that are not white space (kept).
 BLANK_CODEPOINTS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0xA0, 0x1680, 0x2000,
                     0x2005, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
                     0x200B, 0xFEFF, 0x180E, 0x1C)
+FIRST_DAY = "2024-01-01"    # first event date of the input table
 FIXED_INGEST_TS = _dt.datetime(2026, 1, 1, tzinfo=_dt.timezone.utc)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one input table.
-
-    A table stored as one unsplittable file (one parquet row group) is read
-    by a single task; when the scan has fewer splits than the cluster has
-    cores, spread it round-robin so the per-row work (JSON, regexes) uses
-    every core.  On large inputs the scan already has more splits than cores
-    and this adds nothing.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()  # planning only: lists the files
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
-    return df.repartition(cores) if splits < cores else df
+    """One input table, as Spark reads it (``spark.sql.files.maxPartitionBytes``
+    sets the split size)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def criticality_of(value: Column) -> Column:
@@ -67,9 +59,17 @@ def sec(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFr
                  F.col("user_id").cast("string"), F.lit(" ")).alias("event_message"))
 
 
-def as_decoded(df: DataFrame) -> DataFrame:
+def ns_time() -> Column:
+    """A wire time that puts all events of an hour into one microsecond, apart
+    by nanoseconds."""
+    return F.concat(F.date_format(F.date_trunc("hour", F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.lit(".000000"), F.lpad((F.col("event_id") % NS_MOD).cast("string"), 3, "0"),
+                    F.lit("Z"))
+
+
+def as_decoded(df: DataFrame, timestamp: Column | None = None) -> DataFrame:
     """B1 as a decoded wire event: the time as RFC 3339 text, seq as arrival."""
-    return df.withColumns({"timestamp": format_event_time(F.col("ts")),
+    return df.withColumns({"timestamp": format_event_time(F.col("ts")) if timestamp is None else timestamp,
                            "ingest_seq": F.col("seq"),
                            "malformed": F.lit(False)})
 
@@ -101,9 +101,10 @@ def sec_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
                           .otherwise(F.col("criticality"))})
 
 
-def store_rows(df: DataFrame, order: str = "validate_first", batch_id: int = 0) -> DataFrame:
+def store_rows(df: DataFrame, order: str = "validate_first", batch_id: int = 0,
+               timestamp: Column | None = None) -> DataFrame:
     """Process a B1-shaped frame and keep what would be stored, as store rows."""
-    p = process(as_decoded(df), order)
+    p = process(as_decoded(df, timestamp), order)
     rows = to_store_rows(p.where(F.col("disposition") == STORED), STREAM, batch_id,
                          FIXED_INGEST_TS)
     return rows

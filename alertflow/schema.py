@@ -30,6 +30,7 @@ STORED_SCHEMA = T.StructType([
 RESULT_SCHEMA = T.StructType([
     T.StructField("criticality", T.LongType()),
     T.StructField("timestamp", T.TimestampType()),
+    T.StructField("time_ns_rem", T.ShortType()),
     T.StructField("event_message", T.StringType()),
 ])
 
@@ -41,6 +42,7 @@ DEADLETTER_SCHEMA = T.StructType([
     T.StructField("disposition", T.StringType()),
     T.StructField("error_codes", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
+    T.StructField("redacted", T.BooleanType()),
     T.StructField("ingest_ts", T.TimestampType()),
     T.StructField("source", T.StringType()),
     T.StructField("batch_id", T.LongType()),
@@ -50,9 +52,8 @@ DEADLETTER_SCHEMA = T.StructType([
 # Row identity in the store: the same identity written again replaces the row.
 IDENTITY = ("severity", "time", "time_ns_rem")
 
-# Arrival order; the greatest wins.  The last two only break exact ties.
+# Arrival order; the greatest wins.  ``ingest_ts`` never goes back inside a
+# store (sources/store.py), so a clock set back cannot reorder batches.  The
+# last two only break exact ties.
 ARRIVAL_ORDER = ("ingest_ts", "source", "batch_id", "ingest_seq",
                  "criticality", "event_message")
-
-# Store layout: partition columns under each batch directory.
-STORE_PARTITIONS = ("event_date", "severity")

@@ -9,7 +9,6 @@ a laptop).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -63,13 +62,15 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir).  Only when neither is set do we make one, which is the
-    test / single-machine case.
+    checkpoint dir).  On a cluster one of them must be set, to a folder that
+    all executors share; only a local session gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="alertflow-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -77,8 +78,5 @@ def work_root(spark: SparkSession) -> str:
 
 
 def new_work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique sub-folder of the shared work folder."""
-    path = f"{work_root(spark)}/alertflow/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    """The name of a fresh sub-folder of the shared work folder (Spark makes it on the first write)."""
+    return f"{work_root(spark)}/alertflow/{name}-{uuid.uuid4().hex[:12]}"

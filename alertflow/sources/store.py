@@ -2,34 +2,41 @@
 
 Layout under ``root``::
 
-    log/source=S/batch_id=N/event_date=D/severity=V/part-*.parquet
-    base/K-R/event_date=D/severity=V/part-*.parquet   (+ _SUCCESS)
-
-``S`` is ``stream`` or ``replay``, so their batch numbers never collide.
-Each micro-batch overwrites only its own ``batch_id`` directory: a batch run
-again after a failure replaces itself instead of adding rows.  A compaction
-writes the resolved store up to stream batch K and replay batch R into
-``base/K-R``; a read takes the newest complete base plus the log batches
-above it, then applies latest-wins.  Nothing here needs MERGE.
+    log/source=S/batch_id=N/part-*.parquet      the rows, sorted by date and severity
+    counts/source=S/batch_id=N/part-*.parquet   identities per date and severity
+
+``S`` names one ingest lineage (one checkpoint, or the replays), so batch
+numbers of two writers, or of a writer whose checkpoint was thrown away, never
+meet.  A micro-batch overwrites only its own directory: a batch that runs again
+replaces itself.  Nothing is ever moved, folded or deleted, so a row that was
+written once is read for ever; reads resolve the log with latest-wins.  Files
+carry ``event_date`` and ``severity`` in order, so filters on them skip row
+groups.  Nothing here needs MERGE.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.upsert import latest_wins
-from ..schema import IDENTITY, STORED_SCHEMA, STORE_PARTITIONS
+from ..schema import STORED_SCHEMA
 
 STREAM = "stream"
 REPLAY = "replay"
 _STORED_COLS = [f.name for f in STORED_SCHEMA.fields]
-_DATA_COLS = [c for c in _STORED_COLS if c not in ("source", "batch_id") + STORE_PARTITIONS]
-_BASE_RE = re.compile(r"^(-?\d+)-(-?\d+)$")
+_DATA_COLS = [c for c in _STORED_COLS if c not in ("source", "batch_id")]
+COUNTS_SCHEMA = T.StructType([
+    T.StructField("event_date", T.DateType()),
+    T.StructField("severity", T.StringType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("source", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+])
 
 
 def to_store_rows(stored: DataFrame, source: str, batch_id: int,
@@ -60,232 +67,96 @@ def batch_path(root: str, source: str, batch_id: int, area: str = "log") -> str:
 def write_store(rows: DataFrame, root: str, source: str, batch_id: int) -> None:
     """Write one batch of store rows, replacing that batch if it was written before.
 
-    ``rebalance`` on the partition columns: without it every task writes a
-    file into every (date, severity) directory it meets; with it AQE sizes
-    the output partitions and splits a hot date or severity over several
-    tasks instead of sending it to one.
+    ``rebalance`` lets AQE size the files.  The batch's identities per date
+    and severity are counted from the files just written; a batch whose
+    counts are missing is only not used to bound newest-first reads.
     """
-    (rows.select(*_DATA_COLS, *STORE_PARTITIONS)
-     .hint("rebalance", *STORE_PARTITIONS)
-     .write.mode("overwrite").partitionBy(*STORE_PARTITIONS)
-     .parquet(batch_path(root, source, batch_id)))
+    path = batch_path(root, source, batch_id)
+    (rows.select(*_DATA_COLS).hint("rebalance").sortWithinPartitions("event_date", "severity")
+     .write.mode("overwrite").parquet(path))
+    written = rows.sparkSession.read.schema(
+        T.StructType([f for f in STORED_SCHEMA.fields if f.name in _DATA_COLS])).parquet(path)
+    (written.groupBy("event_date", "severity").agg(F.count_distinct("time", "time_ns_rem").alias("n"))
+     .coalesce(1).write.mode("overwrite").parquet(batch_path(root, source, batch_id, "counts")))
 
 
+# --- small files beside the data (lineage names, arrival clock) ---------------
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _list_dirs(spark: SparkSession, path: str) -> list[str]:
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of a one-line file, or None."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
-        return []
-    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def arrival_time(spark: SparkSession, root: str) -> _dt.datetime:
+    """Now, but always later than any time given out for this store before."""
+    path, now = f"{root}/_arrival", _dt.datetime.now(_dt.timezone.utc)
+    last = read_note(spark, path)
+    if last:
+        now = max(now, _dt.datetime.fromisoformat(last) + _dt.timedelta(microseconds=1))
+    write_note(spark, path, now.isoformat())
+    return now
 
 
 def list_batches(spark: SparkSession, root: str) -> dict[str, list[int]]:
     """Batch numbers present in the log, per source (directory listing only)."""
-    out: dict[str, list[int]] = {}
-    for sdir in _list_dirs(spark, f"{root}/log"):
-        if not sdir.startswith("source="):
-            continue
-        src = sdir.split("=", 1)[1]
-        ids = [int(b.split("=", 1)[1]) for b in _list_dirs(spark, f"{root}/log/{sdir}")
-               if b.startswith("batch_id=") and b.split("=", 1)[1].lstrip("-").isdigit()]
-        out[src] = sorted(ids)
-    return out
-
-
-def _dates_in(spark: SparkSession, path: str) -> list[str]:
-    return [n.split("=", 1)[1] for n in _list_dirs(spark, path) if n.startswith("event_date=")]
-
-
-def _log_dirs_above(spark: SparkSession, root: str, k: int, r: int,
-                    upto: tuple[int, int] | None = None) -> list[str]:
-    above = {STREAM: k, REPLAY: r}
-    top = {STREAM: upto[0], REPLAY: upto[1]} if upto else {}
-    return [batch_path(root, src, i) for src, ids in list_batches(spark, root).items()
-            for i in ids if i > above.get(src, -1) and i <= top.get(src, 1 << 62)]
-
-
-def complete_bases(spark: SparkSession, root: str) -> list[tuple[str, int, int]]:
-    """Complete compactions (``_SUCCESS`` present), oldest first: (path, K, R)."""
-    found = []
-    for name in _list_dirs(spark, f"{root}/base"):
-        m = _BASE_RE.match(name)
-        if not m:
-            continue
-        path = f"{root}/base/{name}"
-        fs, p = _fs(spark, f"{path}/_SUCCESS")
-        if fs.exists(p):
-            found.append((path, int(m.group(1)), int(m.group(2))))
-    return sorted(found, key=lambda b: (b[1], b[2]))
-
-
-def newest_base(spark: SparkSession, root: str) -> tuple[str, int, int] | None:
-    """The newest complete compaction: (path, K, R), or None."""
-    bases = complete_bases(spark, root)
-    return bases[-1] if bases else None
-
-
-def base_layout(spark: SparkSession, root: str) -> tuple[dict[str, str], int, int]:
-    """For each event date, the newest complete base that holds it; and the
-    newest (K, R).  A compaction rewrites only the dates its log batches
-    touched, so a date's newest base holds all of that date up to (K, R)."""
-    owner: dict[str, str] = {}
-    k = r = -1
-    for path, bk, br in complete_bases(spark, root):
-        for d in _dates_in(spark, path):
-            owner[d] = path
-        k, r = bk, br
-    return owner, k, r
-
-
-def list_dates(spark: SparkSession, root: str) -> list[str]:
-    """Distinct ``event_date`` values of the store (directory listing only)."""
-    owner, k, r = base_layout(spark, root)
-    dates = set(owner)
-    for d in _log_dirs_above(spark, root, k, r):
-        dates.update(_dates_in(spark, d))
-    return sorted(dates)
-
-
-def _empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], STORED_SCHEMA)
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    def dirs(path: str) -> list[str]:
+        fs, p = _fs(spark, path)
+        return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+    return {s.split("=", 1)[1]: sorted(int(b.split("=", 1)[1]) for b in dirs(f"{root}/log/{s}")
+                                       if b.startswith("batch_id="))
+            for s in dirs(f"{root}/log") if s.startswith("source=")}
+
+
+# --- reads -------------------------------------------------------------------
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One scan of a folder; a folder that is not there is an empty frame (only
+    the path-not-found condition is swallowed)."""
     try:
-        return spark.read.schema(STORED_SCHEMA).option("basePath", path).parquet(path)
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
-            return None
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
         raise
 
 
-def _read_base(spark: SparkSession, owner: dict[str, str]) -> DataFrame | None:
-    """The bases' rows, each date from the newest base that holds it."""
-    by_base: dict[str, list[str]] = {}
-    for d, path in owner.items():
-        by_base.setdefault(path, []).append(f"{path}/event_date={d}")
-    out = None
-    for path, dirs in sorted(by_base.items()):
-        part = (spark.read.schema(STORED_SCHEMA).option("basePath", path)
-                .parquet(*sorted(dirs)).select(*_STORED_COLS))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def read_store_log(spark: SparkSession, root: str) -> DataFrame:
-    """The unresolved store: the bases plus the log batches above the newest.
+    """The unresolved store: every batch of every lineage, in one scan."""
+    return _read(spark, f"{root}/log", STORED_SCHEMA).select(*_STORED_COLS)
 
-    An absent store is an empty frame, not an error (S6); only the
-    path-not-found condition is swallowed.
-    """
-    owner, k, r = base_layout(spark, root)
-    parts = [p for p in (_read_base(spark, owner), _read_log_above(spark, root, k, r))
-             if p is not None]
-    if not parts:
-        return _empty(spark)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _read_log_above(spark: SparkSession, root: str, k: int, r: int,
-                    upto: tuple[int, int] | None = None) -> DataFrame | None:
-    """The log batches above (K, R) [and up to ``upto``], named one by one so
-    that Spark lists only their files, never those of older batches."""
-    dirs = _log_dirs_above(spark, root, k, r, upto)
-    if not dirs:
-        return None
-    return (spark.read.schema(STORED_SCHEMA).option("basePath", f"{root}/log")
-            .parquet(*dirs).select(*_STORED_COLS))
 
+def read_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Identities per batch, date and severity."""
+    return _read(spark, f"{root}/counts", COUNTS_SCHEMA)
 
-def vacuum_store(spark: SparkSession, root: str, dry_run: bool = True) -> list[str]:
-    """Paths no read needs any more: log batches at or below the newest
-    base's (K, R), and bases whose every date a newer base holds.
 
-    Returns them; deletes them unless ``dry_run``.  Run it when no reader
-    started before the last compaction is still running.
-    """
-    owner, k, r = base_layout(spark, root)
-    if not owner and k < 0 and r < 0:
-        return []
-    limit = {STREAM: k, REPLAY: r}
-    old = [batch_path(root, src, i) for src, ids in list_batches(spark, root).items()
-           if src in limit for i in ids if i <= limit[src]]
-    live = set(owner.values())
-    old += [p for p, _, _ in complete_bases(spark, root) if p not in live]
-    if not dry_run:
-        for path in old:
-            fs, p = _fs(spark, path)
-            fs.delete(p, True)
-    return old
-
-
-def read_store(spark: SparkSession, root: str,
-               upto: tuple[int, int] | None = None) -> DataFrame:
+def read_store(spark: SparkSession, root: str) -> DataFrame:
     """The store as readers see it: latest write per identity.
 
-    Without a compaction: latest-wins over the whole log (one shuffle).
-    With one: the base already holds one row per identity, and every log
-    batch above it arrived later, so a log row replaces a base row with the
-    same identity.  Base dates the recent log does not touch (a directory
-    listing tells) pass through with no join and no shuffle; base rows of
-    the touched dates (a day or two when compaction keeps up) lose the
-    identities present in the recent log, by a left-anti join that Spark
-    broadcasts when its measured size allows and otherwise shuffles only
-    those dates.  Latest-wins runs over the recent log alone.  Filters on
-    severity, time or event_date reach every scan as partition filters.
-    """
-    owner, k, r = base_layout(spark, root)
-    b = _read_base(spark, owner)
-    recent = _read_log_above(spark, root, k, r, upto)
-    if b is None:
-        return latest_wins(recent) if recent is not None else _empty(spark)
-    touched = sorted({d for p in _log_dirs_above(spark, root, k, r, upto)
-                      for d in _dates_in(spark, p)})
-    if recent is None or not touched:
-        return b
-    # only base rows of dates the recent log touched can be replaced; the
-    # rest pass through with no join at all
-    dates = [F.lit(d).cast("date") for d in touched]
-    keys = list(IDENTITY) + ["event_date"]
-    untouched = b.where(~F.col("event_date").isin(dates))
-    kept = (b.where(F.col("event_date").isin(dates))
-            .join(recent.select(*keys), on=keys, how="left_anti"))
-    return (untouched.unionByName(kept)
-            .unionByName(latest_wins(recent).select(*_STORED_COLS)))
-
-
-def compact_store(spark: SparkSession, root: str) -> str | None:
-    """Fold the log batches above the newest base into a new base ``base/K-R``.
-
-    Only the event dates those batches touched are rewritten (the identity
-    includes the date, so other dates cannot change): the new base holds,
-    for each touched date, the resolved rows of that date; untouched dates
-    stay in the older bases.  A stream of current events therefore rewrites
-    about a day per compaction, not the whole store.  K and R come from a
-    directory listing; batches written meanwhile stay in the log above them.
-    The new base becomes visible only when its ``_SUCCESS`` marker exists.
+    Filters on severity and event_date (both functions of the identity) go
+    below latest-wins and into the scan.
     """
-    batches = list_batches(spark, root)
-    k = max(batches.get(STREAM, [-1]), default=-1)
-    r = max(batches.get(REPLAY, [-1]), default=-1)
-    owner, bk, br = base_layout(spark, root)
-    if owner and (bk, br) == (k, r):
-        return newest_base(spark, root)[0]
-    touched = set()
-    for d in _log_dirs_above(spark, root, bk, br, upto=(k, r)):
-        touched.update(_dates_in(spark, d))
-    out = f"{root}/base/{k}-{r}"
-    rows = read_store(spark, root, upto=(k, r)).select(*_STORED_COLS)
-    rows = rows.where(F.col("event_date").isin([F.lit(d).cast("date") for d in sorted(touched)])
-                      if touched else F.lit(False))
-    (rows.hint("rebalance", *STORE_PARTITIONS)
-     .write.mode("overwrite").partitionBy(*STORE_PARTITIONS).parquet(out))
-    return out
+    return latest_wins(read_store_log(spark, root))

@@ -4,23 +4,28 @@ At-least-once, like the writer it replaces: a micro-batch's offsets are
 committed only after ``foreachBatch`` returns, i.e. after both writes are
 done.  A batch that runs again (executor loss, restart) overwrites its own
 ``batch_id`` directories, and latest-wins on read makes redelivered events
-add nothing.
+add nothing.  Every checkpoint is a lineage of its own in the store, so several
+ingest queries, or one with a new checkpoint, add to one store.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.redact import redact
 from ..operators.process import VALIDATE_FIRST, SANITIZE_FIRST, process, route
 from ..operators.report import ingest_counter_columns
 from ..schema import DEADLETTER_SCHEMA, IDENTITY
 from ..sources.codec import decode_events, encode_events
-from ..sources.store import REPLAY, STREAM, batch_path, list_batches, to_store_rows, write_store
+from ..sources.store import (REPLAY, STREAM, arrival_time, batch_path, list_batches, read_note,
+                             to_store_rows, write_note, write_store)
+
 
 def read_event_stream(spark: SparkSession, fmt: str = "text", path: str | None = None,
                       **options) -> DataFrame:
@@ -44,11 +49,14 @@ def read_event_stream(spark: SparkSession, fmt: str = "text", path: str | None =
 
 
 def write_event_stream(df: DataFrame, fmt: str = "text", path: str | None = None,
-                       checkpoint: str | None = None, **options) -> StreamingQuery:
+                       checkpoint: str | None = None, trigger: dict | None = None,
+                       **options) -> StreamingQuery:
     """Publish events as wire JSON (S4).  Kafka retries sends itself; the text
     sink is for tests and files."""
     out = encode_events(df).select("value")
     w = out.writeStream.format(fmt)
+    if trigger:
+        w = w.trigger(**trigger)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
     for k, v in options.items():
@@ -59,15 +67,17 @@ def write_event_stream(df: DataFrame, fmt: str = "text", path: str | None = None
 def dead_letter_rows(rejected: DataFrame, source: str, batch_id: int,
                      ingest_ts: _dt.datetime, redact_raw: bool = False) -> DataFrame:
     """Rejected rows → ``DEADLETTER_SCHEMA`` (G4).  ``raw`` is kept for replay;
-    ``redact_raw`` masks credentials in it first."""
-    from ..functions.redact import redact
+    ``redact_raw`` masks credentials in every text column and marks the rows,
+    which are then no longer replayed (their text is not what was sent)."""
     ts_text = ingest_ts.astimezone(_dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
-    raw = redact(F.col("raw")) if redact_raw else F.col("raw")
+
+    def text(name: str):
+        return (redact(F.col(name)) if redact_raw else F.col(name)).alias(name)
+
     return rejected.select(
-        raw.alias("raw"),
-        F.col("criticality").cast("bigint").alias("criticality"),
-        F.col("timestamp"), F.col("event_message"), F.col("disposition"),
-        F.col("error_codes"), F.col("error"),
+        text("raw"), F.col("criticality").cast("bigint").alias("criticality"),
+        text("timestamp"), text("event_message"), F.col("disposition"),
+        F.col("error_codes"), text("error"), F.lit(redact_raw).alias("redacted"),
         F.lit(ts_text).cast("timestamp").alias("ingest_ts"),
         F.lit(source).alias("source"), F.lit(batch_id).cast("bigint").alias("batch_id"),
         F.col("ingest_seq").cast("bigint").alias("ingest_seq"))
@@ -79,13 +89,13 @@ def write_dead_letters(rows: DataFrame, root: str, source: str, batch_id: int) -
 
 
 def write_batch(processed: DataFrame, root: str, source: str, batch_id: int,
-                redact_raw: bool = False) -> None:
+                redact_raw: bool = False, letters: bool = True) -> None:
     """Both writes of one processed batch, keyed by ``batch_id``.
 
     The batch is persisted so its input is read once for the two writes; a
     lost cached block is recomputed from the (replayable) source.
     """
-    ingest_ts = _dt.datetime.now(_dt.timezone.utc)
+    ingest_ts = arrival_time(processed.sparkSession, root)
     if "ingest_seq" not in processed.columns:
         # position inside the micro-batch; stable when the batch is re-run on
         # the same input files / offsets
@@ -94,12 +104,24 @@ def write_batch(processed: DataFrame, root: str, source: str, batch_id: int,
     try:
         stored, rejected = route(processed)
         write_store(to_store_rows(stored, source, batch_id, ingest_ts), root, source, batch_id)
-        write_dead_letters(dead_letter_rows(rejected, source, batch_id, ingest_ts, redact_raw),
-                           root, source, batch_id)
+        if letters:
+            write_dead_letters(dead_letter_rows(rejected, source, batch_id, ingest_ts, redact_raw),
+                               root, source, batch_id)
     finally:
         processed.unpersist()
 
 
+def lineage(spark: SparkSession, checkpoint: str) -> str:
+    """The store's name for a checkpoint: made once, kept inside the checkpoint,
+    so a checkpoint that is thrown away and made again is another lineage."""
+    path = f"{checkpoint}/_lineage"
+    name = read_note(spark, path)
+    if name is None:
+        name = f"{STREAM}-{uuid.uuid4().hex[:12]}"
+        write_note(spark, path, name)
+    return name
+
+
 def run_ingest(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str,
                order: str = VALIDATE_FIRST, trigger: dict | None = None,
                redact_raw: bool = False, query_name: str | None = None) -> StreamingQuery:
@@ -110,11 +132,12 @@ def run_ingest(spark: SparkSession, stream: DataFrame, root: str, checkpoint: st
     ``{"availableNow": True}`` drains what is there and stops).  Counters
     (A3) are reported under ``ingest`` in ``lastProgress.observedMetrics``.
     """
+    source = lineage(spark, checkpoint)
     processed = process(decode_events(stream), order)
     processed = processed.observe("ingest", *ingest_counter_columns())
 
     def _batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(df, root, STREAM, batch_id, redact_raw)
+        write_batch(df, root, source, batch_id, redact_raw)
 
     w = (processed.writeStream.foreachBatch(_batch)
          .option("checkpointLocation", checkpoint)
@@ -140,20 +163,20 @@ def replay(spark: SparkSession, root: str, order: str = SANITIZE_FIRST,
     """Run dead letters through the ingest path again, as a batch job.
 
     For instance after a rule change (``order="sanitize_first"`` admits
-    criticality 0 and 11).  Rows are decoded again from ``raw``.  The replay
-    gets its own ``batch_id`` under ``source=replay``; running the same
-    replay batch again overwrites it, and latest-wins makes it idempotent.
-    Returns the replay batch id used.
+    criticality 0 and 11).  Rows are decoded again from ``raw``; masked rows
+    are left out.  A letter stays in its table as it was written, and what a
+    replay rejects again is not written a second time, so any number of
+    replays reads each letter once.  The replay gets its own ``batch_id``
+    under ``source=replay``; running the same replay batch again overwrites
+    it, and latest-wins makes it idempotent.  Returns the batch id used.
     """
     if batch_id is None:
-        batch_id = max(list_batches(spark, root).get(REPLAY, [-1]), default=-1) + 1
-    letters = read_dead_letters(spark, root)
+        batch_id = max(list_batches(spark, root).get(REPLAY, []), default=-1) + 1
+    letters = read_dead_letters(spark, root).where(~F.col("redacted"))
     if where is not None:
         letters = letters.where(where)
-    # the replay's input must not include its own output
-    letters = letters.where(~((F.col("source") == REPLAY) & (F.col("batch_id") >= batch_id)))
     decoded = decode_events(letters.select(F.col("raw").alias("value"), "ingest_seq"))
-    write_batch(process(decoded, order), root, REPLAY, batch_id)
+    write_batch(process(decoded, order), root, REPLAY, batch_id, letters=False)
     return batch_id
 
 
@@ -161,7 +184,9 @@ def dedup_stream(df: DataFrame, delay: str = "10 minutes",
                  identity=IDENTITY) -> DataFrame:
     """Drop redelivered copies inside a watermark (G8, optional).
 
-    First copy wins and copies later than the watermark are dropped, so this
-    only suits pure redelivery; latest-wins stays the default resolution.
+    First copy wins and rows later than the watermark are dropped, first
+    copies too, so this only suits pure redelivery; latest-wins stays the
+    default resolution.  All copies of one identity meet in one state
+    partition, which a stream cannot split.
     """
     return df.withWatermark("time", delay).dropDuplicatesWithinWatermark(list(identity))

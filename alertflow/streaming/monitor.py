@@ -16,14 +16,15 @@ LOG = logging.getLogger("alertflow.ingest")
 
 
 class IngestProgress(StreamingQueryListener):
-    """Running ``processed / errors / malformed`` per query, and a milestone
-    each time ``processed`` passes a multiple of ``every``."""
+    """Running ``processed / errors / malformed`` per query, and the last multiple
+    of ``every`` that ``processed`` has passed.  Counters only: nothing grows
+    with the stream, and a micro-batch logs one line at most."""
 
     def __init__(self, every: int = 100, name: str = "ingest"):
         self.every = every
         self.name = name
         self.totals: dict[str, dict[str, int]] = {}
-        self.milestones: list[tuple[str, int, int]] = []
+        self.milestones: dict[str, int] = {}
 
     def onQueryStarted(self, event):  # noqa: N802 - Spark's listener interface
         pass
@@ -38,10 +39,10 @@ class IngestProgress(StreamingQueryListener):
         before = tot["processed"]
         for k in tot:
             tot[k] += int(row[k] or 0)
-        for mark in range(before // self.every + 1, tot["processed"] // self.every + 1):
-            self.milestones.append((qid, mark * self.every, tot["errors"]))
-            LOG.info("processing milestone processed_count=%d error_count=%d",
-                     mark * self.every, tot["errors"])
+        mark = tot["processed"] // self.every * self.every
+        if mark > before // self.every * self.every:
+            self.milestones[qid] = mark
+            LOG.info("processing milestone processed_count=%d error_count=%d", mark, tot["errors"])
 
     def onQueryIdle(self, event):  # noqa: N802
         pass

@@ -1,26 +1,32 @@
-"""Guards that only act on small inputs must not act on large ones."""
+"""Inputs are read as Spark reads them, and work folders are shared ones."""
 
+import pytest
+
+from alertflow import session
 from alertflow.plans import fixtures as fx
 from conftest import SF001
 
 
-def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+def test_tables_are_read_without_a_shuffle(spark):
+    plan = fx.read_table(spark, SF001, "events")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+class _Cluster:
+    """A session without a checkpoint folder, on some master."""
+
+    def __init__(self, master):
+        self.master = master
+        self.conf = self.sparkContext = self
 
+    def get(self, key, default=None):
+        return default
 
-def test_small_input_is_spread_over_the_cores(spark):
-    df = fx.read_table(spark, SF001, "events")
-    assert "RoundRobinPartitioning" in _plan(df)
+    def getCheckpointDir(self):  # noqa: N802
+        return None
 
 
-def test_split_input_is_left_alone(spark, tmpdir_work):
-    cores = spark.sparkContext.defaultParallelism
-    spark.read.parquet(f"{SF001}/events.parquet").repartition(cores * 2) \
-        .write.parquet(f"{tmpdir_work}/events.parquet")
-    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # one split per file
-    try:
-        df = fx.read_table(spark, tmpdir_work, "events")
-        assert "RoundRobinPartitioning" not in _plan(df)
-        assert df.count() == spark.read.parquet(f"{SF001}/events.parquet").count()
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[3,2,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(RuntimeError):
+        session.work_root(_Cluster(master))

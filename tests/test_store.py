@@ -1,4 +1,4 @@
-"""Store (S5, S6), latest-wins (U1), compaction and replay idempotence."""
+"""Store (S5, S6) and latest-wins (U1): nothing written is ever lost."""
 
 import datetime as dt
 import random
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from alertflow.operators.upsert import latest_wins
 from alertflow.plans import fixtures as fx
 from alertflow.schema import STORED_SCHEMA
-from alertflow.sources.store import (compact_store, list_batches, read_store, read_store_log,
-                                     write_store)
+from alertflow.sources.store import (_fs, arrival_time, batch_path, list_batches, read_counts,
+                                     read_store, read_store_log, write_note, write_store)
 from conftest import SF001
 
 T0 = dt.datetime(2024, 1, 15, 10, 0)
@@ -66,6 +66,7 @@ def test_stale_copy_does_not_come_back(spark):
 def test_absent_store_reads_empty(spark, tmpdir_work):
     df = read_store(spark, f"{tmpdir_work}/nothing-here")
     assert df.count() == 0 and df.schema == STORED_SCHEMA
+    assert read_counts(spark, f"{tmpdir_work}/nothing-here").count() == 0
 
 
 def test_rewriting_a_batch_replaces_it(spark, tmpdir_work):
@@ -80,91 +81,53 @@ def test_rewriting_a_batch_replaces_it(spark, tmpdir_work):
     assert list_batches(spark, tmpdir_work) == {"stream": [0, 1]}
 
 
-def test_compaction_keeps_the_answer(spark, tmpdir_work):
-    red = fx.sec_redelivered(spark, SF001)
-    seq = F.col("seq")
-    parts = [seq < fx.REDELIVER_SEQ, (seq >= fx.REDELIVER_SEQ) & (seq < fx.STALE_SEQ),
-             seq >= fx.STALE_SEQ]
-    batches = [fx.store_rows(red.where(c), batch_id=i) for i, c in enumerate(parts)]
-    write_store(batches[0], tmpdir_work, "stream", 0)
-    write_store(batches[1], tmpdir_work, "stream", 1)
-    base = compact_store(spark, tmpdir_work)
-    assert base.endswith("base/1--1")
-    write_store(batches[2], tmpdir_work, "stream", 2)
-    cols = ["severity", "time", "time_ns_rem", "criticality", "event_message"]
-    got = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
-    everything = batches[0].unionByName(batches[1]).unionByName(batches[2])
-    want = sorted(map(tuple, latest_wins(everything).select(*cols).collect()))
-    assert got == want
-    # a second compaction folds the last batch in and keeps the answer
-    assert compact_store(spark, tmpdir_work).endswith("base/2--1")
-    again = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
-    assert again == want
-    # the stale copies (criticality - 1) won
-    assert read_store(spark, tmpdir_work).where("criticality in (8, 10)").join(
-        batches[2].select("time"), "time").count() == 0
+def test_a_batch_in_flight_is_read_once_it_is_written(spark, tmpdir_work):
+    """A batch whose task output is still in ``_temporary`` is not read, other
+    writers go on, and it is read after it commits, whatever its number."""
+    rows = fx.store_rows(fx.sec(spark, SF001))
+    early, late = rows.where("ingest_seq % 2 = 0"), rows.where("ingest_seq % 2 = 1")
+    write_note(spark, f"{batch_path(tmpdir_work, 'stream', 0)}/_temporary/0/part-0.parquet", "half a file")
+    write_store(late, tmpdir_work, "stream", 1)
+    assert read_store(spark, tmpdir_work).count() == late.count()
+    write_store(early, tmpdir_work, "stream", 0)
+    assert read_store(spark, tmpdir_work).count() == rows.count()
+
 
+def test_arrival_time_never_goes_back(spark, tmpdir_work):
+    ahead = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=1)
+    write_note(spark, f"{tmpdir_work}/_arrival", ahead.isoformat())
+    first, second = arrival_time(spark, tmpdir_work), arrival_time(spark, tmpdir_work)
+    assert ahead < first < second
 
-def test_compaction_rewrites_only_touched_dates(spark, tmpdir_work):
-    from alertflow.sources.store import base_layout, _dates_in
+
+def test_one_scan_whatever_the_number_of_batches(spark, tmpdir_work):
     rows = fx.store_rows(fx.sec(spark, SF001))
-    write_store(rows, tmpdir_work, "stream", 0)
-    first = compact_store(spark, tmpdir_work)
-    all_dates = set(_dates_in(spark, first))
-    last = max(all_dates)
-    write_store(rows.where(F.col("event_date") == F.lit(last).cast("date"))
-                .withColumn("criticality", F.lit(10).cast("bigint")), tmpdir_work, "stream", 1)
-    second = compact_store(spark, tmpdir_work)
-    assert set(_dates_in(spark, second)) == {last}
-    owner, k, r = base_layout(spark, tmpdir_work)
-    assert owner[last] == second and all(owner[d] == first for d in all_dates - {last})
-    got = read_store(spark, tmpdir_work)
-    assert got.count() == rows.count()
-    assert got.where(F.col("event_date") == F.lit(last).cast("date")) \
-        .where("criticality <> 10").count() == 0
-
-
-def test_vacuum_keeps_the_answer(spark, tmpdir_work):
-    from alertflow.sources.store import vacuum_store
-    red = fx.sec_redelivered(spark, SF001)
-    seq = F.col("seq")
-    parts = [seq < fx.REDELIVER_SEQ, (seq >= fx.REDELIVER_SEQ) & (seq < fx.STALE_SEQ),
-             seq >= fx.STALE_SEQ]
-    for i, c in enumerate(parts):
-        write_store(fx.store_rows(red.where(c), batch_id=i), tmpdir_work, "stream", i)
-        compact_store(spark, tmpdir_work)
-    cols = ["severity", "time", "time_ns_rem", "criticality", "event_message"]
-    before = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
-    doomed = vacuum_store(spark, tmpdir_work, dry_run=False)
-    assert any("/log/" in p for p in doomed)
-    assert not any(list_batches(spark, tmpdir_work).values())
-    after = sorted(map(tuple, read_store(spark, tmpdir_work).select(*cols).collect()))
-    assert after == before
-
-
-op = st.one_of(st.just(("compact",)),
-               st.tuples(st.sampled_from(["stream", "replay"]),
-                         st.lists(st.tuples(st.sampled_from(["high", "low"]), st.integers(0, 5),
-                                            st.integers(1, 10), st.sampled_from(["a", "b"])),
-                                  min_size=1, max_size=6)))
+    for b in range(4):
+        write_store(rows.where(F.col("ingest_seq") % 4 == b), tmpdir_work, "stream", b)
+    plan = read_store(spark, tmpdir_work)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    fs, p = _fs(spark, batch_path(tmpdir_work, "stream", 0))
+    assert sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(p)) <= 4
+
+
+op = st.tuples(st.sampled_from(["stream-a", "stream-b", "replay"]),
+               st.lists(st.tuples(st.sampled_from(["high", "low"]), st.integers(0, 5),
+                                  st.integers(1, 10), st.sampled_from(["a", "b"])),
+                        min_size=1, max_size=6))
 
 
 @settings(max_examples=4, deadline=None)
 @given(st.lists(op, min_size=2, max_size=6))
 def test_store_equals_brute_force_latest_wins(spark, ops):
-    """Random stream / replay writes and compactions: the store as read
-    equals latest-wins over everything ever written."""
+    """Random writes of several lineages: the store as read equals latest-wins
+    over everything ever written."""
+    from alertflow.operators.query import count_events
     from alertflow.session import new_work_dir
     root = new_work_dir(spark, "prop")
-    next_id = {"stream": 0, "replay": 0}
+    next_id = {}
     written = []
-    for step, o in enumerate(ops):
-        if o[0] == "compact":
-            compact_store(spark, root)
-            continue
-        source, rows = o
-        b = next_id[source]
-        next_id[source] += 1
+    for step, (source, rows) in enumerate(ops):
+        b = next_id[source] = next_id.get(source, -1) + 1
         ingest = T0 + dt.timedelta(days=1, seconds=step)
         data = []
         for seq, (sev, s, c, m) in enumerate(rows):
@@ -180,6 +143,4 @@ def test_store_equals_brute_force_latest_wins(spark, ops):
     got = sorted((r["severity"], r["time"], r["criticality"], r["event_message"])
                  for r in read_store(spark, root).collect())
     assert got == want
-    from alertflow.operators.query import count_events
     assert count_events(read_store_log(spark, root)).first()["n"] == len(want)
-    assert count_events(read_store(spark, root), resolve=False).first()["n"] == len(want)
