@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, tune
+from .common import batches, fresh, stored, tune
 
 BITS = 18
 FACTORS = 8
@@ -93,6 +93,12 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(rows).astype("f8"), -30, 30)))
 
 
+def telling(seen: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Which slots get a weight, from the rows and the toxic rows that hold each."""
+    error = np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    return (seen >= MIN_DOCS) & (np.abs(toxic - seen * share) >= MIN_Z * error)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS,
         seed: int = SEED) -> Machine:
     """Logistic loss, adaptive gradient steps, small L2; seeded, so repeatable."""
@@ -103,9 +109,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
     if not 0 < share < 1:
         return m
     slot, _, owner = m._flat(rows)
-    seen, toxic = np.bincount(slot, minlength=slots), np.bincount(slot, labels[owner], slots)
-    error = np.sqrt(np.maximum(seen, 1) * share * (1 - share))
-    used = (seen >= MIN_DOCS) & (np.abs(toxic - seen * share) >= MIN_Z * error)
+    used = telling(np.bincount(slot, minlength=slots), np.bincount(slot, labels[owner], slots), share)
     rows = [r[used[r]] for r in rows]
     m.factor[used] = rng.normal(0, 0.01, (int(used.sum()), factors))
     gw, gv, rate, l2 = np.full(slots, 1e-2, "f4"), np.full(slots, 1e-2, "f4"), 0.1, 1e-4
@@ -149,24 +153,48 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     marked = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
               .where(~is_held_out(F.col("label_id"))))
-    pick = marked.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id").limit(rows)
+    # at most ``rows`` ids and labels: a size bound, so the texts stay where they are
+    pick = F.broadcast(marked.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id").limit(rows))
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-              .join(pick, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic"))
+              .join(pick, F.col("doc_id") == F.col("label_id")).select("text", "toxic"))
 
-    def run(it):
-        for ids, texts, marks in batches(it, "doc_id", "text", "toxic"):
+    def extract(it):
+        for texts, marks in batches(it, "text", "toxic"):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([terms(t) for t in texts], pa.list_(pa.int32())),
-                 pa.array(marks, pa.int32())], ["doc_id", "terms", "toxic"])
-
-    got = sample.mapInArrow(run, "doc_id long, terms array<int>, toxic int").toArrow().sort_by("doc_id")
-    lists = got.column("terms").combine_chunks()
-    flat, ends = lists.flatten().to_numpy().astype("i4"), lists.offsets.to_numpy()
-    # repeated ids: equal order for equal rows
-    rows_ = [flat[a:b] for a, b in zip(ends, ends[1:])]
-    marks = got.column("toxic").to_numpy()
-    keys = sorted(range(len(rows_)), key=lambda i: rows_[i].tobytes())
-    return fit([rows_[i] for i in keys], marks[keys])
+                [pa.array([terms(t) for t in texts], pa.list_(pa.int32())), pa.array(marks, pa.int32())],
+                ["terms", "toxic"])
+
+    held = stored(spark, sample.mapInArrow(extract, "terms array<int>, toxic int"), "toxicity-sample")
+
+    def count(it):
+        seen, toxic = np.zeros(1 << BITS, "i8"), np.zeros(1 << BITS, "i8")
+        for rows_, marks in batches(it, "terms", "toxic"):
+            for r, mark in zip(rows_, marks):
+                seen[r] += 1
+                toxic[r] += mark
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(seen[at]), pa.array(toxic[at])],
+                                         ["slot", "seen", "toxic"])
+
+    total, positive = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = positive / total if total else 0.0
+    counts = (held.mapInArrow(count, "slot int, seen long, toxic long").groupBy("slot")
+              .agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+              .where(F.col("seen") >= MIN_DOCS).toArrow())  # at most 2 ** BITS rows
+    used = np.zeros(1 << BITS, bool)
+    slot, seen, toxic = (counts.column(c).to_numpy() for c in ("slot", "seen", "toxic"))
+    used[slot] = telling(seen, toxic, share)
+
+    def keep(it):  # only the terms that get a weight go to the driver
+        for rows_, marks in batches(it, "terms", "toxic"):
+            few = [np.array(r, "i4")[used[np.array(r, "i8")]] for r in rows_]
+            yield pa.RecordBatch.from_arrays([pa.array(few, pa.list_(pa.int32())), pa.array(marks, pa.int32())],
+                                             ["terms", "toxic"])
+
+    got = held.mapInArrow(keep, "terms array<int>, toxic int").toArrow()
+    each = sorted(zip((np.array(r, "i4") for r in got.column("terms").to_pylist()),
+                      got.column("toxic").to_pylist()), key=lambda r: (r[0].tobytes(), r[1]))
+    return fit([r for r, _ in each], np.array([mark for _, mark in each]))
 
 
 def toxicity_score(spark: SparkSession, machine: Machine):
