@@ -281,7 +281,8 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, span: int = SPAN,
                                         (F.col("one.last") - F.col("one.first")).alias("hi"))
     texts = stored(spark, _fetch(narrow, kinds.where("contested").select("fp", "region", "one.*"), span),
                    "region-texts")
-    marks = stored(spark, whole.unionByName(_resolve(spark, texts, span, group_regions, CUTS)), "marks")
+    marks = stored(spark, whole.unionByName(_resolve(
+        spark, texts, span, group_regions, tuple(c for c in CUTS if 2 * c <= span))), "marks")
     run = F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi")).alias("stop"))
     return (held.join(marks, ["fp", "region"]).groupBy("doc_id", "row_key")
             .agg(F.array_sort(F.collect_set(run)).alias("runs")))

@@ -4,7 +4,7 @@ FP-growth mines combinations of URL tokens that go with a low-quality or a
 good label over all labelled pages; rules are pruned by support, confidence
 and lift.  The rules form an inverted index on their rarest token: a page
 meets only the rules that hold one of its tokens as that key, and a rule fires
-if all of its tokens are the page's.  The strongest rule that fires decides.
+if all of its tokens are the page's.  The most confident rule that fires decides.
 Spark and Spark ML built-ins only.
 """
 
@@ -21,7 +21,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT = 0.01      # share of labelled pages; bounds the number of rules
 MIN_PAGES = 20          # labelled pages a rule must rest on at least
-MIN_CONFIDENCE = 0.3
+MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.2
 BAD, GOOD = "label=0", "label=1"
 
@@ -109,7 +109,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=R
     each = stored(spark, distinct.select("url", tokens(url, F.col("host"), F.col("path")).alias("tokens")), "url-tokens")
     fired = (each.select("url", "tokens", F.explode("tokens").alias("key")).join(learned, "key")
              .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-             .groupBy("url").agg(F.max(F.struct("lift", "confidence", "support", F.array_join("rule_tokens", " ").alias("text"),
+             .groupBy("url").agg(F.max(F.struct("confidence", "lift", "support", F.array_join("rule_tokens", " ").alias("text"),
                                                 "verdict")).alias("best"))
              .select(F.col("url").alias("fired_url"), F.col("best.text").alias("learned_rule"),
                      F.col("best.verdict").alias("learned_verdict")))
