@@ -1,8 +1,9 @@
 """Substring dedup on sliding sentence spans.
 
-Every run of ``RUN`` consecutive sentences is hashed (128 bits) and joined over
-the whole corpus.  The first occurrence of a run, by document id and position,
-stays; a sentence covered by any later occurrence goes.  Counting and finding
+From every sentence on, the run of ``RUN`` consecutive sentences (more, until it
+has ``MIN_WORDS`` words; fewer, once it has ``LONG_WORDS``) is hashed (128 bits)
+and joined over the whole corpus.  The first occurrence of a run, by document
+id and position, stays; a sentence covered by any later occurrence goes.  Counting and finding
 the first occurrence are combined before the shuffle, so a run that a third of
 all documents share is no hot task.
 """
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, stored, tune
 
-RUN = 2          # sentences per span
-MIN_WORDS = 10   # a span of fewer words is no passage
+RUN = 2          # sentences per span, at least
+MIN_WORDS = 16   # a span of fewer words is no passage, so it goes on
+LONG_WORDS = 50  # a span of so many words is complete, even one long sentence
 # A sentence ends at a line break, or at . ! ? before a blank; its blanks stay with it.
 _ENDS = re.compile(r"(?<=[.!?])\s+(?=\S)|\s*\n\s*(?=\S)")
 
@@ -34,37 +36,43 @@ def split_sentences(text: str | None) -> list[str]:
     return out + ([text[at:]] if text and at < len(text) else [])
 
 
-def run_hashes(text: str | None, run: int, min_words: int) -> list[tuple[int, int, int]]:
-    """(place of the first sentence, two halves of the 128-bit hash) of every run."""
+def run_hashes(text: str | None, run: int, min_words: int,
+               long_words: int = LONG_WORDS) -> list[tuple[int, int, int, int]]:
+    """(first sentence, sentences, two halves of the 128-bit hash) of every run."""
     parts = [" ".join(s.split()) for s in split_sentences(text)]
     words = np.cumsum([0] + [len(p.split()) for p in parts])
+    # where a run from i may end: enough sentences and words, or very many words
+    enough = np.maximum(np.arange(len(parts)) + run, np.searchsorted(words, words[:-1] + min_words))
+    ends = np.minimum(enough, np.searchsorted(words, words[:-1] + long_words))
     out = []
-    for i in range(len(parts) - run + 1):
-        if words[i + run] - words[i] >= min_words:
-            h = blake2b("\n".join(parts[i:i + run]).encode(), digest_size=16).digest()
-            out.append((i, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
+    for i, end in enumerate(ends.tolist()):
+        if end <= len(parts):
+            h = blake2b("\n".join(parts[i:end]).encode(), digest_size=16).digest()
+            out.append((i, end - i, int.from_bytes(h[:8], "little", signed=True),
+                        int.from_bytes(h[8:], "little", signed=True)))
     return out
 
 
 def repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = RUN,
                        min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row_key, places``: first sentences of later occurrences, per document that has any."""
+    """``doc_id, row_key, spans``: (first sentence, sentences) of later occurrences,
+    per document that has any."""
     def scan(it):
         for ids, keys, texts in batches(it, "doc_id", "row_key", "text"):
             out = [(d, k, *h) for d, k, t in zip(ids, keys, texts) for h in run_hashes(t, run, min_words)]
-            cols = list(zip(*out)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            cols = list(zip(*out)) or [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["doc_id", "row_key", "place", "h1", "h2"])
+                                             ["doc_id", "row_key", "place", "size", "h1", "h2"])
 
     spans = stored(spark, _narrow(docs).mapInArrow(
-        scan, "doc_id long, row_key long, place int, h1 long, h2 long"), "sentence-spans")
+        scan, "doc_id long, row_key long, place int, size int, h1 long, h2 long"), "sentence-spans")
     # documents without an id come last
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "place")
     several = (spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
                .where("n > 1").select("h1", "h2", "first"))
     later = spans.join(stored(spark, several, "repeated-spans"), ["h1", "h2"]).where(at != F.col("first"))
-    return later.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return later.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("spans"))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -76,8 +84,7 @@ def remove_repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = R
                               min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, n_sentences, n_removed, kept`` per row of ``docs``; ``kept`` is the text left.
 
-    Null and empty texts have no sentences; texts of fewer than ``run``
-    sentences stay.  Rows that repeat both id and text are one document and
+    Null and empty texts have no sentences; texts too short for a run stay.  Rows that repeat both id and text are one document and
     get the same result; null ids count as the last documents.  An empty
     table gives an empty result; extra columns are ignored.
     """
@@ -85,11 +92,11 @@ def remove_repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = R
     later = stored(spark, repeated_sentences(spark, docs, run, min_words), "later-spans")
 
     def keep(it):
-        for ids, texts, places in batches(it, "doc_id", "text", "places"):
+        for ids, texts, spans in batches(it, "doc_id", "text", "spans"):
             out = []
-            for d, t, ps in zip(ids, texts, places):
+            for d, t, found in zip(ids, texts, spans):
                 parts = split_sentences(t)
-                gone = {i for p in ps or () for i in range(p, p + run)}
+                gone = {i for p in found or () for i in range(p["place"], p["place"] + p["size"])}
                 out.append((d, len(parts), len(gone), "".join(s for i, s in enumerate(parts) if i not in gone)))
             cols = list(zip(*out)) or [[]] * 4
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -98,5 +105,5 @@ def remove_repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = R
 
     d, p = _narrow(docs).alias("d"), later.alias("p")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.row_key") == F.col("p.row_key"))
-    return (d.join(p, same, "left").select("d.doc_id", "d.text", "p.places")
+    return (d.join(p, same, "left").select("d.doc_id", "d.text", "p.spans")
             .mapInArrow(keep, "doc_id long, n_sentences long, n_removed long, kept string"))

@@ -152,6 +152,7 @@ def test_repeated_sentences_equal_brute_force(spark):
     r = random.Random(6)
     pool = [" ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(1, 14))) + "." for _ in range(25)]
     fresh = lambda: " ".join(f"v{r.randrange(10**6)}" for _ in range(8)) + "."
+    pool[3] = " ".join(f"long{r.randrange(9)}" for _ in range(60)) + "!"
     texts = [None, "", pool[0]]
     for _ in range(60):
         k = r.randrange(len(pool) - 3)
@@ -161,10 +162,13 @@ def test_repeated_sentences_equal_brute_force(spark):
     for t in texts:
         parts = split_sentences(t)
         clean, gone = [" ".join(p.split()) for p in parts], set()
-        for i in range(len(parts) - 1):
-            key = (clean[i], clean[i + 1])
-            if sum(len(c.split()) for c in key) >= 10 and first.setdefault(key, (len(want), i)) != (len(want), i):
-                gone.update((i, i + 1))
+        for i in range(len(parts)):
+            for end in range(i + 1, len(parts) + 1):
+                n = sum(len(c.split()) for c in clean[i:end])
+                if n >= 50 or n >= 16 and end - i >= 2:
+                    if first.setdefault(tuple(clean[i:end]), (len(want), i)) != (len(want), i):
+                        gone.update(range(i, end))
+                    break
         want.append((len(parts), len(gone), "".join(p for i, p in enumerate(parts) if i not in gone)))
     got = {x["doc_id"]: (x["n_sentences"], x["n_removed"], x["kept"])
            for x in remove_repeated_sentences(spark, _docs(spark, texts)).collect()}
