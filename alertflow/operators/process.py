@@ -7,6 +7,8 @@ their identity columns.  Nothing is handed to Python.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ VALIDATE_FIRST = "validate_first"
 SANITIZE_FIRST = "sanitize_first"
 
 
-def process(df: DataFrame, order: str = VALIDATE_FIRST) -> DataFrame:
+def process(df: DataFrame, order: str = VALIDATE_FIRST,
+            columns: Sequence[str] = PROCESSED_COLS) -> DataFrame:
     """Classify decoded events.
 
     ``validate_first`` (default) is what the writer's code does: check the
@@ -43,7 +46,9 @@ def process(df: DataFrame, order: str = VALIDATE_FIRST) -> DataFrame:
     ``error``, ``time``, ``time_ns_rem``, ``severity``, ``event_date``; the
     criticality and message columns hold the values as they are at the end of
     the chain (cleaned for stored rows; cleaned first for every row under
-    ``sanitize_first``).
+    ``sanitize_first``).  ``columns`` names the computed columns to keep: the
+    fence holds back column pruning, so a caller that reads few of them
+    should say so.
     """
     if order not in (VALIDATE_FIRST, SANITIZE_FIRST):
         raise ValueError(f"unknown order {order!r}")
@@ -84,9 +89,9 @@ def process(df: DataFrame, order: str = VALIDATE_FIRST) -> DataFrame:
                   .otherwise(error_text(F.col("error_codes"))),
         "event_date": F.to_date(F.col("time")),
     })
-    out = out.drop("_malformed", "_codes", "_pt")
+    out = out.drop("_malformed", "_codes", "_pt", *[c for c in PROCESSED_COLS if c not in columns])
     # computed once per row; a filter on disposition stays above (operators/fence.py)
-    return fence(out, PROCESSED_COLS)
+    return fence(out, columns)
 
 
 def route(df: DataFrame) -> tuple[DataFrame, DataFrame]:

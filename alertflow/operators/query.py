@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import MIN_CRITICALITY, SEVERITY_MINIMUM, severities_at_least
 from ..functions.timefmt import format_event_time
 from ..schema import IDENTITY
+from ..sources.codec import wire_json
 from ..sources.store import read_counts, read_store_log
 from .upsert import latest_wins
 from .validate import MAX_LIMIT, validate_query
@@ -240,5 +241,5 @@ def response_json(envelope: DataFrame) -> DataFrame:
         x["criticality"].alias("criticality"),
         format_event_time(x["timestamp"], x["time_ns_rem"]).alias("timestamp"),
         x["eventMessage"].alias("eventMessage")))
-    return envelope.select(F.to_json(F.struct(events.alias("events"),
+    return envelope.select(wire_json(F.struct(events.alias("events"),
                                               F.col("total").alias("total"))).alias("json"))

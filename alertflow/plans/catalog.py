@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clamp_criticality, color_band, parse_event_time, redact,
                          redact_columns, sanitize_message, severity)
-from ..operators.process import SANITIZE_FIRST, process, route
+from ..operators.process import PROCESSED_COLS, SANITIZE_FIRST, process, route
 from ..operators.query import (count_events, query_events, query_events_sql,
                                latest_store_events, query_store_newest_first,
                                response_envelope, response_json, result_columns,
@@ -61,8 +61,8 @@ def _redelivered_store(spark, sf):
     return read_store(spark, stores.redelivered_store(spark, sf))
 
 
-def _payload_processed(spark, sf, order="validate_first"):
-    return process(decode_events(fx.sec_payload(spark, sf)), order)
+def _payload_processed(spark, sf, columns=PROCESSED_COLS):
+    return process(decode_events(fx.sec_payload(spark, sf)), columns=columns)
 
 
 # --- reader queries -------------------------------------------------------
@@ -209,13 +209,13 @@ def event_times(spark, sf):
 
 def decode_dispositions(spark, sf):
     """S2 + V1 + G2: rows per disposition over the broken-payload table."""
-    return (_payload_processed(spark, sf).groupBy("disposition")
+    return (_payload_processed(spark, sf, ["disposition"]).groupBy("disposition")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def validation_errors(spark, sf):
     """V1 + A6: failures by code (a row failing several checks counts under each)."""
-    _, rejected = route(_payload_processed(spark, sf))
+    _, rejected = route(_payload_processed(spark, sf, ["disposition", "error_codes"]))
     return error_summary(rejected)
 
 
@@ -229,7 +229,7 @@ def dead_letters(spark, sf):
 
 def ingest_counters_q(spark, sf):
     """A3: processed / errors / malformed."""
-    return ingest_counters(_payload_processed(spark, sf))
+    return ingest_counters(_payload_processed(spark, sf, ["disposition"]))
 
 
 def sanitized_messages(spark, sf):

@@ -105,6 +105,20 @@ def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
     return parsed.select(*others, *[col.alias(name) for name, col in out.items()])
 
 
+# Characters that the wire's encoder writes as escapes inside
+# strings (they occur nowhere else in JSON text).
+ESCAPED = (("<", r"\u003c"), (">", r"\u003e"), ("&", r"\u0026"),
+           ("\u2028", r"\u2028"), ("\u2029", r"\u2029"))
+
+
+def wire_json(value: Column) -> Column:
+    """A struct as JSON text, escaped as on the wire."""
+    out = F.to_json(value)
+    for char, escape in ESCAPED:
+        out = F.replace(out, F.lit(char), F.lit(escape))
+    return out
+
+
 def encode_events(df: DataFrame, time_col: str = "time", ns_col: str | None = "time_ns_rem",
                   criticality_col: str = "criticality", message_col: str = "event_message",
                   timestamp_text_col: str | None = None, out_col: str = "value") -> DataFrame:
@@ -122,4 +136,4 @@ def encode_events(df: DataFrame, time_col: str = "time", ns_col: str | None = "t
     payload = F.struct(F.col(criticality_col).cast("bigint").alias("criticality"),
                        ts.alias("timestamp"),
                        F.col(message_col).alias("eventMessage"))
-    return df.withColumn(out_col, F.to_json(payload))
+    return df.withColumn(out_col, wire_json(payload))

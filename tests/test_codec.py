@@ -92,3 +92,17 @@ def test_strict_key_case_option(spark):
     df = spark.createDataFrame([('{"Criticality":7}',)], "value string")
     r = decode_events(df, ignore_key_case=False).collect()[0]
     assert (r["malformed"], r["criticality"]) == (False, 0)
+
+
+def test_characters_that_the_wire_escapes(spark):
+    import datetime as dt
+
+    from alertflow.sources.codec import decode_events, encode_events
+    text = "a<b> & c\u2028d\u2029 \"q\" \\ é"
+    df = spark.createDataFrame([(3, dt.datetime(2025, 5, 4, 3, 2, 1), text)],
+                               "criticality bigint, time timestamp, event_message string")
+    sent = encode_events(df)
+    raw = sent.first()["value"]
+    assert raw == ('{"criticality":3,"timestamp":"2025-05-04T03:02:01Z","eventMessage":"a\\u003cb\\u003e \\u0026 '
+                   'c\\u2028d\\u2029 \\"q\\" \\\\ é"}')
+    assert decode_events(sent.select("value")).first()["event_message"] == text
