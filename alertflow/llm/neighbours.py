@@ -29,7 +29,7 @@ MAX_PARTS = 128         # a fixed bound: the fitted sample stays bounded
 GRAPH_K = 10
 HIDDEN = 128
 EPOCHS = 30
-TARGET = 0.98
+TARGET = 0.95
 BLOCK_ROWS = 8192       # index rows searched together
 QUERY_ROWS = 4096       # queries searched together
 SEED = 42
