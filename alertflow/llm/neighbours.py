@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import bounded_sample, stored, tune
 
 K = 10
 QUERY_EVERY = 100
@@ -214,8 +214,8 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, k: int = K, quer
     parts = 1
     while parts < MAX_PARTS and parts * 2 * PART_ROWS <= total:
         parts *= 2
-    sample = (rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(parts * SAMPLE_PER_PART)
-              .toArrow().column("v").combine_chunks())
+    sample = (bounded_sample(rows, "vec_id", parts * SAMPLE_PER_PART, total, SEED).toArrow()
+              .sort_by("vec_id").column("v").combine_chunks())
     router = fit_router(sample.flatten().to_numpy().reshape(-1, dim), parts, k, target)
     sent = spark.sparkContext.broadcast(router)  # fixed size: (dim + parts) * HIDDEN numbers
 
