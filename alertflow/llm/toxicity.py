@@ -4,8 +4,8 @@ A text's terms are its distinct lower-cased words and their prefixes, hashed
 into ``2 ** BITS`` slots.  The machine's score is a bias, a weight per term
 and, for every pair of terms, the product of their factors, so it can learn
 that an insult counts more beside a group mention than both weights add up to.
-Training uses a bounded sample of labelled rows (``TRAIN_ROWS``, the rows with
-the smallest seeded hash); terms are extracted on the executors.  Scoring is
+Training uses a bounded sample of labelled rows (``TRAIN_ROWS``, picked by a
+seeded hash of their ids); terms are extracted on the executors.  Scoring is
 one pass over all texts without a shuffle.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, stored, tune
+from .common import batches, bounded_sample, fresh, stored, tune
 
 BITS = 18
 FACTORS = 8
@@ -31,7 +31,7 @@ MIN_Z = 3.0           # nor has one whose toxic share is this near the average,
 EPOCHS = 12
 BATCH = 128
 SEED = 42
-REMEMBER = 200_000    # words whose slots a Python worker remembers
+REMEMBER = 100_000    # words whose slots a Python worker remembers
 # Separators: ASCII control, blank and punctuation bytes.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -154,7 +154,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
               .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
               .where(~is_held_out(F.col("label_id"))))
     # at most ``rows`` ids and labels: a size bound, so the texts stay where they are
-    pick = F.broadcast(marked.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id").limit(rows))
+    pick = F.broadcast(bounded_sample(marked, "label_id", rows, marked.count(), SEED))
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
               .join(pick, F.col("doc_id") == F.col("label_id")).select("text", "toxic"))
 
