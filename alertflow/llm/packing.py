@@ -31,9 +31,9 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a Python worker remembers (a bound on its memory only:
 # others are encoded again each time they come).
-REMEMBER = 500_000
+REMEMBER = 250_000
 # Characters of text encoded together in a worker.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 
 # --- tokens ----------------------------------------------------------------
 
