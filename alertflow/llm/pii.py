@@ -20,7 +20,15 @@ EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# The head of an account number; group 1 is the run after it, which may go on into other words.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))"
+# Characters of an account number by country, as registered (ISO 13616)
+IBAN_LENGTHS = {n: codes.split() for n, codes in (
+    (15, "NO"), (16, "BE"), (18, "DK FI FK FO GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"),
+    (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ OM SO TL"),
+    (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"),
+    (28, "AL AZ BY CY DO GT HN HU LB NI PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU YE"), (31, "MT SC"),
+    (32, "LC"), (33, "RU"))}
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
@@ -68,11 +76,24 @@ def _valid(kind: str, found: Column) -> Column:
         return luhn(_digits(found))
     if kind == "phone":
         return F.length(_digits(found)).between(10, 15)
-    if kind == "iban":
-        return mod97(found)
     return F.lit(True)
 
 
+def account_number(head: Column, run: Column) -> Column:
+    """The account number that starts with ``head``: of the parts of head and
+    run that end where a word ends and pass mod-97, the one as long as its
+    country says, else the longest; null if there is none."""
+    words = F.split(run, " ")
+    parts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.concat(head, F.array_join(F.slice(words, 1, n), " ")))
+    size = lambda part: F.length(F.replace(part, F.lit(" ")))
+    parts = F.filter(parts, lambda part: size(part).between(15, 34) & ~part.rlike("[a-z]") & mod97(part))
+    country, fixed = head.substr(1, 2), F.lit(0)
+    for n, codes in IBAN_LENGTHS.items():
+        fixed = F.when(country.isin(codes), n).otherwise(fixed)
+    return F.coalesce(F.get(F.filter(parts, lambda part: size(part) == fixed), F.lit(0)),
+                      F.get(F.reverse(parts), F.lit(0)))
+
+
 SPAN = "struct<start: int, kind_no: int, stop: int, found: string>"
 
 
@@ -80,22 +101,31 @@ def find(kind: str, text: Column) -> Column:
     """Valid spans of one kind, in text order.
 
     The pieces between matches give the positions: a match starts after all
-    pieces and matches before it.
+    pieces and matches before it.  Only the head of an account number is
+    matched, so a head that turns out to be none hides no later one.
     """
     pattern, needs, _, _ = KINDS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.transform(F.arrays_zip(found.alias("found"), gaps.alias("gap")),
-                        lambda p: F.struct(F.length(p["gap"]).alias("gap"), p["found"].alias("found")))
-    steps = F.filter(steps, lambda s: s["found"].isNotNull())
+    if kind == "iban":
+        runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        found = F.zip_with(matched, runs, account_number)
+    else:
+        found = matched
+    steps = F.transform(F.arrays_zip(matched.alias("matched"), found.alias("found"), gaps.alias("gap")),
+                        lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["matched"]).alias("size"),
+                                           p["found"].alias("found")))
+    steps = F.filter(steps, lambda s: s["size"].isNotNull())
     no = list(KINDS).index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(acc: Column, s: Column) -> Column:
         at = acc["at"] + s["gap"]
         stop = at + F.length(s["found"])
         span = F.struct(at.alias("start"), F.lit(no).alias("kind_no"), stop.alias("stop"), s["found"].alias("found"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        fits = s["found"].isNotNull() & (at >= acc["free"])  # a head inside an account number is none
+        return F.struct((at + s["size"]).alias("at"), F.when(fits, stop).otherwise(acc["free"]).alias("free"),
+                        F.when(fits, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     spans = F.aggregate(steps, start, step, lambda acc: acc["spans"])
     spans = F.filter(spans, lambda s: _valid(kind, s["found"]))

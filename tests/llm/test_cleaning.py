@@ -225,6 +225,18 @@ def test_checksums_and_context_add_spans(spark):
     assert got == {0: ("iban:8:35", "1.00"), 1: ("", ""), 2: ("ssn:4:15", "0.60"), 3: ("", ""), 4: ("", "")}
 
 
+def test_account_number_before_capitals_and_digits(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "Konto DE89370400440532013000 In Berlin",
+             "Konto DE89 3704 0044 0532 0130 00 Bitte", "DE89370400440532013000 12 EUR",
+             "AB12 DE89 3704 0044 0532 0130 00 X", "DE89370400440532013000 GB29NWBK60161331926819 OK",
+             "DE89370400440532013000x", "NO93 8601 1117 947 A"]
+    want = ["iban:5:32", "iban:6:28", "iban:6:33", "iban:0:22", "iban:5:32", "iban:0:22,iban:23:45", "", "iban:0:18"]
+    got = {x["doc_id"]: x["spans"] for x in personal_data(_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    masked = mask_personal_data(_docs(spark, texts)).orderBy("doc_id").collect()
+    assert masked[0]["text"] == "IBAN [IBAN] BIC COBADEFFXXX" and masked[1]["text"] == "Konto [IBAN] In Berlin"
+
+
 def test_masking(spark):
     docs = edge_docs(spark)
     same = mask_personal_data(docs)
