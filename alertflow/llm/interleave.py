@@ -23,6 +23,7 @@ SHARDS = 24
 SEED = 42
 BUCKET_ROWS = 4_096  # rows ranked together in one window partition
 KEY_BITS = 30
+FILE_ROWS = 50_000   # rows of a shard that one task writes as one file
 
 
 def _bucket(key_fraction: Column, buckets: int) -> Column:
@@ -85,8 +86,37 @@ def interleave(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed:
                     "size", "text_crc32", "shard", "slot"))
 
 
-def write_shards(placed: DataFrame, docs: DataFrame, path: str) -> None:
-    """Write the texts as one folder per shard, rows in slot order."""
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    (rows.repartition("shard").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+def _numbered(rows: DataFrame, unique: list[str], buckets: int) -> DataFrame:
+    """``rows`` with ``nth``, from 1 on among rows with the same ``same``; a
+    value that many rows share is numbered bucket by bucket."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*unique), F.lit(buckets)))
+    starts = _before(rows.groupBy("same", "bucket").agg(F.count(F.lit(1)).alias("n")), ["same"]).drop("n")
+    inside = F.row_number().over(Window.partitionBy("same", "bucket").orderBy(*unique))
+    return (rows.withColumn("inside", inside).join(starts, ["same", "bucket"])
+            .withColumn("nth", F.col("before") + F.col("inside")).drop("bucket", "before", "inside"))
+
+
+def write_shards(placed: DataFrame, docs: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Write the rows of ``docs`` once each, as one folder per shard.
+
+    ``placed`` is what ``interleave`` made of ``docs``.  The n-th row of an id,
+    source, size and checksum takes the n-th place of the same, so null ids and
+    repeated rows are written like any other.  A shard is files of
+    ``file_rows`` rows; in order of their names they hold the slots in order.
+    """
+    spark = docs.sparkSession
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    same = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                    (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = stored(spark, docs.select(F.struct("*").alias("row"), same.alias("same"),
+                                     F.monotonically_increasing_id().alias("place")), "shard-texts")
+    spots = stored(spark, placed.select(F.struct("doc_id", "source", "size", "text_crc32").alias("same"),
+                                        "shard", "slot"), "shard-places")
+    total, last_shard, last_slot = spots.agg(F.count(F.lit(1)), F.max("shard"), F.max("slot")).first()
+    buckets = max(1, -(-total // BUCKET_ROWS))
+    files = (last_slot or 0) // file_rows + 1
+    matched = (_numbered(rows, ["place"], buckets).join(_numbered(spots, ["shard", "slot"], buckets), ["same", "nth"])
+               .select("row.*", "shard", "slot"))
+    file = F.col("shard") * files + F.floor(F.col("slot") / file_rows).cast("int")
+    (matched.repartitionById(((last_shard or 0) + 1) * files, file.cast("int"))
+     .sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -153,6 +154,28 @@ def test_sharding_edges(spark):
     assert interleave(spark, docs.limit(2), 5).count() == 2
 
 
+def test_every_row_is_written_once(spark, tmpdir_work):
+    """Null ids, repeated rows, one id on a third of the rows; several ordered files a shard."""
+    docs = edge_docs(spark)
+    rows = [(None if i % 7 == 0 else 5 if i % 3 == 0 else i, f"text {i % 10}" if i % 3 else None, f"s{i % 2}")
+            for i in range(600)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for name, df, shards in (("edge", docs, 3), ("many", many, 4)):
+        path = f"{tmpdir_work}/{name}"
+        write_shards(interleave(spark, df, shards, bucket_rows=16), df, path, file_rows=40)
+        got = spark.read.parquet(path)
+        key = lambda x: str(tuple(x[c] for c in df.columns))
+        assert sorted(map(key, got.collect())) == sorted(map(key, df.collect()))
+        n = df.count()
+        assert {tuple(x) for x in got.select("shard", "slot").collect()} == {
+            tuple(x) for x in interleave(spark, df, shards, bucket_rows=16).select("shard", "slot").collect()}
+    for shard in range(4):
+        files = sorted(Path(f"{tmpdir_work}/many/shard={shard}").glob("*.parquet"))
+        slots = [v for f in files for (v,) in duckdb.sql(f"SELECT slot FROM '{f}'").fetchall()]
+        assert len(files) == 4 and slots == list(range(n // 4))
+    write_shards(interleave(spark, docs.where("false"), 3), docs.where("false"), f"{tmpdir_work}/none")
+
+
 # --- packing -------------------------------------------------------------------
 
 def test_encoder_equals_the_tokenizer(monkeypatch):
