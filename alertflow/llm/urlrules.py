@@ -10,6 +10,8 @@ Spark and Spark ML built-ins only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +50,8 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host labels and endings, path segments
-    (numbers as #), query keys."""
+    """Distinct tokens of a URL: scheme, all host labels and the last endings, all
+    path segments with their place (numbers as #), all query keys."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
     ends = [F.when(n >= k, F.concat(F.lit("end:"), F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")))
@@ -59,13 +61,43 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     keys = F.filter(F.transform(F.split(query, "&"), lambda kv: F.regexp_extract(kv, r"^([^=]*)", 1)), lambda x: x != "")
     parts = F.concat(
         F.array(F.concat(F.lit("scheme:"), F.regexp_extract(ascii_lower(url), r"^([a-z]+)://", 1)), *ends),
-        F.transform(F.slice(labels, 1, 1), lambda x: F.concat(F.lit("host:"), x)),
-        F.transform(F.slice(segments, 1, 4), lambda x, i: F.concat(
+        F.transform(labels, lambda x: F.concat(F.lit("host:"), x)),
+        F.transform(segments, lambda x, i: F.concat(
             F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "#"))),
-        F.transform(F.slice(keys, 1, 4), lambda x: F.concat(F.lit("query:"), x)))
+        F.transform(keys, lambda x: F.concat(F.lit("query:"), x)))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isNotNull())))
 
 
+def least_pages(total: int, min_support: float = MIN_SUPPORT) -> int:
+    """Labelled pages, of ``total``, that a token or rule must rest on."""
+    return max(MIN_PAGES, math.ceil(min_support * total))
+
+
+def same_pages(labelled: DataFrame, pages: int) -> dict[str, str]:
+    """Token -> the first token that is on exactly the same pages, for tokens on
+    ``pages`` pages or more.
+
+    Long URLs have many tokens that always come together; mined one by one,
+    every subset of them would be a combination of its own with equal figures.
+    The tokens are few: with n a page, less than n / ``MIN_SUPPORT``.
+    """
+    each = labelled.select(F.explode("tokens").alias("token"), "row")
+    marks = [F.bit_xor(F.xxhash64("row", F.lit(n))).alias(f"mark{n}") for n in (1, 2)]
+    found = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks).where(F.col("n") >= pages)
+    groups = found.groupBy("n", "mark1", "mark2").agg(F.array_sort(F.collect_list("token")).alias("tokens")).collect()
+    return {token: g["tokens"][0] for g in groups for token in g["tokens"]}
+
+
+def as_first(tokens: Column, first: dict[str, str]) -> Column:
+    """Tokens that have an entry in ``first``, as that entry."""
+    other = {t: f for t, f in first.items() if t != f}
+    out = F.array_intersect(tokens, F.array(*map(F.lit, first)).cast("array<string>"))
+    if other:
+        names = F.create_map(*[F.lit(x) for pair in other.items() for x in pair])
+        out = F.transform(out, lambda t: F.coalesce(F.try_element_at(names, t), t))
+    return F.array_sort(F.array_distinct(out))
+
+
 def learn_rules(spark: SparkSession, urls: DataFrame, min_support: float = MIN_SUPPORT,
                 min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """``urls(tokens, label)`` -> ``rule_tokens, key, verdict, confidence, lift, support``."""
@@ -101,12 +133,14 @@ def judge_urls(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=R
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
     url = F.coalesce(F.col("url"), F.lit(""))
     parsed = page.withColumns({"host": host_of(url), "path": path_of(url)})
-    labelled = (parsed.join(quality, F.col("page_id") == F.col("label_id"))
-                .select(tokens(url, F.col("host"), F.col("path")).alias("tokens"), "label"))
-    learned = learn_rules(spark, labelled)
+    labelled = stored(spark, parsed.join(quality, F.col("page_id") == F.col("label_id"))
+                      .select(tokens(url, F.col("host"), F.col("path")).alias("tokens"), "label",
+                              F.monotonically_increasing_id().alias("row")), "url-labelled")
+    first = same_pages(labelled, least_pages(labelled.count()))
+    learned = learn_rules(spark, labelled.withColumn("tokens", as_first(F.col("tokens"), first)))
 
     distinct = parsed.select("url", "host", "path").distinct().where(F.col("url").isNotNull())
-    each = stored(spark, distinct.select("url", tokens(url, F.col("host"), F.col("path")).alias("tokens")), "url-tokens")
+    each = stored(spark, distinct.select("url", as_first(tokens(url, F.col("host"), F.col("path")), first).alias("tokens")), "url-tokens")
     fired = (each.select("url", "tokens", F.explode("tokens").alias("key")).join(learned, "key")
              .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
              .groupBy("url").agg(F.max(F.struct("confidence", "lift", "support", F.array_join("rule_tokens", " ").alias("text"),

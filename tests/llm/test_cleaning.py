@@ -291,3 +291,20 @@ def test_learned_rules_decide_the_rest(spark):
     assert got[1000]["verdict"] == "block" and "host:ads" in got[1000]["learned_rule"]
     assert got[1001]["verdict"] == "allow"
     assert all((got[i]["verdict"] == "block") == (q == 0) for i, q, _ in labels)
+
+
+def test_every_part_of_a_url_is_a_token(spark):
+    """The site's label, a deep segment and a late query key each decide; parts
+    that always come together are no combinations of their own."""
+    deep = "/".join(f"s{k}" for k in range(30))
+    rows, labels = [], []
+    for i in range(600):
+        site, seg, key = ("spam", "fine")[i % 2], ("x", "bad")[i // 2 % 2], ("k", "track")[i // 4 % 2]
+        rows.append((i, f"https://m.{site}.example.com/{deep}/{seg}?a=1&b=1&c=1&d=1&{key}=2"))
+        labels.append((i, int((site, seg, key) != ("spam", "bad", "track")), 0))
+    rows.append((1000, "https://www.spam.example.org/" + "q/" * 30 + "bad?track=1"))
+    got = {x["page_id"]: x for x in judge_urls(
+        spark, spark.createDataFrame(rows, "page_id long, url string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=()).collect()}
+    assert all(got[i]["verdict"] == "block" for i, q, _ in labels if q == 0)
+    assert got[1000]["learned_rule"] == "host:spam path30:bad query:track" and got[1000]["verdict"] == "block"
