@@ -1,10 +1,12 @@
 """URL verdicts: fixed host/path rules first, then learned association rules.
 
 FP-growth mines combinations of URL tokens that go with a low-quality or a
-good label over all labelled pages; rules are pruned by support, confidence
-and lift.  The rules form an inverted index on their rarest token: a page
-meets only the rules that hold one of its tokens as that key, and a rule fires
-if all of its tokens are the page's.  The most confident rule that fires decides.
+good label over all labelled pages.  A rule must rest on enough pages, and its
+confidence must lie above its label's own share of all pages by more than
+chance explains, given how many rules were tried.  The rules form an inverted
+index on their rarest token: a page meets only the rules that hold one of its
+tokens as that key, and a rule fires if all of its tokens are the page's.  The
+rule that lifts its label's share furthest on the way to 1 decides.
 Spark and Spark ML built-ins only.
 """
 
@@ -23,8 +25,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT = 0.01      # share of labelled pages; bounds the number of rules
 MIN_PAGES = 20          # labelled pages a rule must rest on at least
-MIN_CONFIDENCE = 0.5
-MIN_LIFT = 1.2
+MAX_CHANCE = 0.05       # that any rule at all is learned from labels that do not depend on the URL
 BAD, GOOD = "label=0", "label=1"
 
 
@@ -99,23 +100,45 @@ def as_first(tokens: Column, first: dict[str, str]) -> Column:
 
 
 def learn_rules(spark: SparkSession, urls: DataFrame, min_support: float = MIN_SUPPORT,
-                min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """``urls(tokens, label)`` -> ``rule_tokens, key, verdict, confidence, lift, support``."""
-    columns = "rule_tokens array<string>, key string, verdict string, confidence double, lift double, support double"
-    total = urls.count()
-    if total <= MIN_PAGES:
+                max_chance: float = MAX_CHANCE) -> DataFrame:
+    """``urls(tokens, label)`` -> ``rule_tokens, key, verdict, strength, confidence, lift, support``.
+
+    ``support`` is the share of pages that hold the rule's tokens, ``strength``
+    (confidence - share) / (1 - share) of its label.  The chance of n pages
+    showing such a confidence is at most exp(-n * KL(confidence, share)).
+    """
+    columns = ("rule_tokens array<string>, key string, verdict string, strength double, confidence double, "
+               "lift double, support double")
+    total, good = urls.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if total <= MIN_PAGES or good in (0, total):
         return spark.createDataFrame([], columns)
+    pages = least_pages(total, min_support)
+    share = {BAD: 1 - good / total, GOOD: good / total}
+    # a rule above its label's share rests on so many pages of that label
+    joint = pages * min(share.values()) / total
     baskets = urls.select(F.concat("tokens", F.array(F.concat(F.lit("label="), F.col("label").cast("string")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_PAGES / total), minConfidence=min_confidence).fit(baskets)
-    rules = (model.associationRules
-             .where((F.size("consequent") == 1) & F.col("consequent")[0].isin(BAD, GOOD) & (F.col("lift") >= min_lift))
-             .select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "lift", "support",
-                     F.when(F.col("consequent")[0] == BAD, "block").otherwise("allow").alias("verdict")))
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    sets = stored(spark, FPGrowth(itemsCol="items", minSupport=joint).fit(baskets).freqItemsets, "url-itemsets")
+    marks = F.array(F.lit(BAD), F.lit(GOOD))
+    plain = (sets.where(~F.arrays_overlap("items", marks) & (F.col("freq") >= pages))
+             .select(F.array_sort("items").alias("rule_tokens"), F.col("freq").alias("n")))
+    marked = (sets.where(F.arrays_overlap("items", marks) & (F.size("items") > 1))
+              .select(F.array_sort(F.array_except("items", marks)).alias("rule_tokens"), "freq",
+                      F.when(F.array_contains("items", BAD), share[BAD]).otherwise(share[GOOD]).alias("share"),
+                      F.when(F.array_contains("items", BAD), "block").otherwise("allow").alias("verdict")))
+    tried = 2 * plain.count()
+    if not tried:
+        return spark.createDataFrame([], columns)
+    p, q = F.col("confidence"), F.col("share")
+    distance = p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    rules = (marked.join(plain, "rule_tokens").withColumn("confidence", F.col("freq") / F.col("n"))
+             .where((p > q) & (F.col("n") * distance >= math.log(tried / max_chance)))
+             .select("rule_tokens", "verdict", ((p - q) / (1 - q)).alias("strength"), "confidence",
+                     (p / q).alias("lift"), (F.col("n") / total).alias("support")))
+    single = plain.where(F.size("rule_tokens") == 1).select(F.col("rule_tokens")[0].alias("token"), F.col("n").alias("freq"))
     key = (rules.select("rule_tokens", F.explode("rule_tokens").alias("token")).distinct().join(single, "token")
            .groupBy("rule_tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key")))
     return stored(spark, rules.join(key, "rule_tokens").select(
-        "rule_tokens", "key", "verdict", "confidence", "lift", "support"), "url-rules")
+        "rule_tokens", "key", "verdict", "strength", "confidence", "lift", "support"), "url-rules")
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -143,7 +166,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=R
     each = stored(spark, distinct.select("url", as_first(tokens(url, F.col("host"), F.col("path")), first).alias("tokens")), "url-tokens")
     fired = (each.select("url", "tokens", F.explode("tokens").alias("key")).join(learned, "key")
              .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-             .groupBy("url").agg(F.max(F.struct("confidence", "lift", "support", F.array_join("rule_tokens", " ").alias("text"),
+             .groupBy("url").agg(F.max(F.struct("strength", "lift", "support", F.array_join("rule_tokens", " ").alias("text"),
                                                 "verdict")).alias("best"))
              .select(F.col("url").alias("fired_url"), F.col("best.text").alias("learned_rule"),
                      F.col("best.verdict").alias("learned_verdict")))

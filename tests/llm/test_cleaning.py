@@ -308,3 +308,23 @@ def test_every_part_of_a_url_is_a_token(spark):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=()).collect()}
     assert all(got[i]["verdict"] == "block" for i, q, _ in labels if q == 0)
     assert got[1000]["learned_rule"] == "host:spam path30:bad query:track" and got[1000]["verdict"] == "block"
+
+
+def test_rules_are_weighed_against_their_labels_share(spark):
+    """Most pages are good: a block rule under one half and an allow rule of small
+    lift are learned; labels that do not depend on the URL give no rule."""
+    r = random.Random(4)
+    rows, labels, noise = [], [], []
+    for i in range(3000):
+        site = ("spam", "safe", "misc")[i % 3]
+        rows.append((i, f"https://{site}.example.com/{('a', 'b', 'c')[i // 3 % 3]}/{i}"))
+        labels.append((i, int(r.random() >= {"spam": 0.4, "safe": 0.0, "misc": 0.05}[site]), 0))
+        noise.append((i, int(r.random() >= 0.15), 0))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    schema = "doc_id long, quality int, toxic int"
+    got = {x["page_id"]: x for x in judge_urls(spark, pages, spark.createDataFrame(labels, schema), rules=()).collect()}
+    for i, _ in rows:
+        rule, verdict = got[i]["learned_rule"], got[i]["verdict"]
+        assert verdict == ("block" if i % 3 == 0 else "allow"), rule
+        assert i % 3 == 2 or ("host:spam", "host:safe")[i % 3] in rule
+    assert judge_urls(spark, pages, spark.createDataFrame(noise, schema), rules=()).where("learned_rule IS NOT NULL").count() == 0
