@@ -2,8 +2,11 @@
 
 A text's terms are its distinct lower-cased words and their prefixes, hashed
 into ``2 ** BITS`` slots.  The machine's score is a bias, a weight per term
-and, for every pair of terms, the product of their factors, so it can learn
-that an insult counts more beside a group mention than both weights add up to.
+and, for every pair of terms, the product of their factors (their sum divided
+by the number of terms, so that long texts add no noise), so it can learn that
+an insult counts more beside a group mention than both weights add up to.
+Every term in ``MIN_DOCS`` sampled rows has a factor; one that is as often
+toxic as the average has no weight of its own.
 Training uses a bounded sample of labelled rows (``TRAIN_ROWS``, picked by a
 seeded hash of their ids); terms are extracted on the executors.  Scoring is
 one pass over all texts without a shuffle.
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +30,11 @@ BITS = 18
 FACTORS = 8
 PREFIXES = (3, 4, 5, 6, 7)
 TRAIN_ROWS = 20_000   # the documented bound on the rows the model is fitted on
-MIN_DOCS = 10         # a term in fewer training rows has no weight
-MIN_Z = 3.0           # nor has one whose toxic share is this near the average, in standard errors
+MIN_DOCS = 10         # a term in fewer training rows has neither weight nor factor
+MIN_Z = 3.0           # no weight has one whose toxic share is this near the average, in standard errors
 EPOCHS = 12
 BATCH = 128
+L2, FACTOR_L2 = 1e-4, 1e-2
 SEED = 42
 REMEMBER = 100_000    # words whose slots a Python worker remembers
 # Separators: ASCII control, blank and punctuation bytes.
@@ -61,7 +66,8 @@ def terms(text: str | bytes | None) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """bias + sum of w_i + sum over pairs of <v_i, v_j>, over a row's terms."""
+    """bias + sum of w_i + sum over pairs of <v_i, v_j> / number of terms with a
+    factor, over a row's terms."""
     bias: float
     weight: np.ndarray
     factor: np.ndarray
@@ -77,24 +83,26 @@ class Machine:
         linear = np.bincount(owner, self.weight[slot], n)
         v = self.factor[slot]
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        total, square = np.zeros((n, k), "f4"), np.zeros(n, "f4")
+        total, square, even = np.zeros((n, k), "f4"), np.zeros(n, "f4"), np.ones(n, "f4")
         some = size > 0
         if some.any():
             total[some] = np.add.reduceat(v, start[some], axis=0)
-            square[some] = np.add.reduceat((v * v).sum(1), start[some])
-        return linear, total, square, v
+            squares = (v * v).sum(1)
+            square[some] = np.add.reduceat(squares, start[some])
+            even[some] = 1 / np.maximum(np.add.reduceat(squares > 0, start[some], dtype="i8"), 1)
+        return linear, total, square, even, v
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         slot, size, owner = self._flat(rows)
-        linear, total, square, _ = self._sums(slot, size, owner)
-        return self.bias + linear + 0.5 * ((total * total).sum(1) - square)
+        linear, total, square, even, _ = self._sums(slot, size, owner)
+        return self.bias + linear + 0.5 * even * ((total * total).sum(1) - square)
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(rows).astype("f8"), -30, 30)))
 
 
 def telling(seen: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
-    """Which slots get a weight, from the rows and the toxic rows that hold each."""
+    """Which slots get a weight of their own, from the rows and the toxic rows that hold each."""
     error = np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     return (seen >= MIN_DOCS) & (np.abs(toxic - seen * share) >= MIN_Z * error)
 
@@ -108,11 +116,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
     m = Machine(bias, np.zeros(slots, "f4"), np.zeros((slots, factors), "f4"))
     if not 0 < share < 1:
         return m
-    slot, _, owner = m._flat(rows)
-    used = telling(np.bincount(slot, minlength=slots), np.bincount(slot, labels[owner], slots), share)
+    seen, toxic = np.zeros(slots, "i8"), np.zeros(slots, "i8")
+    for r, mark in zip(rows, labels):
+        seen[r] += 1
+        toxic[r] += mark
+    used, weighed = seen >= MIN_DOCS, telling(seen, toxic, share)
     rows = [r[used[r]] for r in rows]
     m.factor[used] = rng.normal(0, 0.01, (int(used.sum()), factors))
-    gw, gv, rate, l2 = np.full(slots, 1e-2, "f4"), np.full(slots, 1e-2, "f4"), 0.1, 1e-4
+    gw, gv, rate = np.full(slots, 1e-2, "f4"), np.full(slots, 1e-2, "f4"), 0.1
     # each class has half of the weight
     heavy = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     for _ in range(epochs):
@@ -120,21 +131,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
         for k in range(0, len(order), BATCH):
             pick = order[k:k + BATCH]
             slot, size, owner = m._flat([rows[i] for i in pick])
-            linear, total, square, v = m._sums(slot, size, owner)
-            z = m.bias + linear + 0.5 * ((total * total).sum(1) - square)
+            linear, total, square, even, v = m._sums(slot, size, owner)
+            z = m.bias + linear + 0.5 * even * ((total * total).sum(1) - square)
             p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
             g = ((p - labels[pick]) * heavy[pick]).astype("f4")
             m.bias -= 0.02 * float(g.mean())
             if not slot.size:
                 continue
-            at, inverse = np.unique(slot, return_inverse=True)
-            step = np.bincount(inverse, g[owner], len(at)).astype("f4") + l2 * m.weight[at]
+            at, inverse, times = np.unique(slot, return_inverse=True, return_counts=True)
+            step = np.bincount(inverse, g[owner], len(at)).astype("f4") + L2 * m.weight[at]
+            step[~weighed[at]] = 0
             gw[at] += step * step
             m.weight[at] -= rate * step / np.sqrt(gw[at])
-            pull = g[owner][:, None] * (total[owner] - v)
+            pull = (g * even)[owner][:, None] * (total[owner] - v)
             by = np.argsort(inverse, kind="stable")
             cut = np.searchsorted(inverse[by], np.arange(len(at)))
-            step = np.add.reduceat(pull[by], cut, axis=0) + l2 * m.factor[at]
+            step = np.add.reduceat(pull[by], cut, axis=0) + (FACTOR_L2 * times).astype("f4")[:, None] * m.factor[at]
             gv[at] += (step * step).mean(1)
             m.factor[at] -= 0.5 * rate * step / np.sqrt(gv[at])[:, None]
     return m
@@ -167,33 +179,31 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     held = stored(spark, sample.mapInArrow(extract, "terms array<int>, toxic int"), "toxicity-sample")
 
     def count(it):
-        seen, toxic = np.zeros(1 << BITS, "i8"), np.zeros(1 << BITS, "i8")
-        for rows_, marks in batches(it, "terms", "toxic"):
-            for r, mark in zip(rows_, marks):
+        seen = np.zeros(1 << BITS, "i8")
+        for (rows_,) in batches(it, "terms"):
+            for r in rows_:
                 seen[r] += 1
-                toxic[r] += mark
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(seen[at]), pa.array(toxic[at])],
-                                         ["slot", "seen", "toxic"])
-
-    total, positive = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    share = positive / total if total else 0.0
-    counts = (held.mapInArrow(count, "slot int, seen long, toxic long").groupBy("slot")
-              .agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
-              .where(F.col("seen") >= MIN_DOCS).toArrow())  # at most 2 ** BITS rows
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(seen[at])], ["slot", "seen"])
+
+    counts = (held.mapInArrow(count, "slot int, seen long").groupBy("slot").agg(F.sum("seen").alias("seen"))
+              .where(F.col("seen") >= MIN_DOCS).select("slot").toArrow())  # at most 2 ** BITS rows
     used = np.zeros(1 << BITS, bool)
-    slot, seen, toxic = (counts.column(c).to_numpy() for c in ("slot", "seen", "toxic"))
-    used[slot] = telling(seen, toxic, share)
+    used[counts.column("slot").to_numpy()] = True
 
-    def keep(it):  # only the terms that get a weight go to the driver
+    def keep(it):  # only the terms that get a factor go to the driver
         for rows_, marks in batches(it, "terms", "toxic"):
             few = [np.array(r, "i4")[used[np.array(r, "i8")]] for r in rows_]
             yield pa.RecordBatch.from_arrays([pa.array(few, pa.list_(pa.int32())), pa.array(marks, pa.int32())],
                                              ["terms", "toxic"])
 
     got = held.mapInArrow(keep, "terms array<int>, toxic int").toArrow()
-    each = sorted(zip((np.array(r, "i4") for r in got.column("terms").to_pylist()),
-                      got.column("toxic").to_pylist()), key=lambda r: (r[0].tobytes(), r[1]))
+    found = got.column("terms").combine_chunks()  # one array for all rows: no Python number per term
+    if not isinstance(found, pa.Array):
+        found = found.chunk(0) if found.num_chunks else pa.array([], pa.list_(pa.int32()))
+    slots = np.split(found.flatten().to_numpy(), np.cumsum([0 if n is None else n for n in
+                     pa.compute.list_value_length(found).to_pylist()])[:-1]) if len(found) else []
+    each = sorted(zip(slots, got.column("toxic").to_pylist()), key=lambda r: (r[0].tobytes(), r[1]))
     return fit([r for r, _ in each], np.array([mark for _, mark in each]))
 
 

@@ -95,6 +95,20 @@ def test_learns_a_pair_that_single_terms_do_not_show():
     assert right > 0.8 > ((linear.score(rows[2500:]) >= 0.5) == np.array(marks[2500:])).mean()
 
 
+def test_learns_a_pair_with_the_production_bounds():
+    """As above, but with the bounds, epochs and rate of the query."""
+    r = random.Random(8)
+    rows, marks = [], []
+    for _ in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = {f"w{r.randrange(300)}" for _ in range(20)} | ({"insultt"} if a else set()) | ({"groupp"} if b else set())
+        rows.append(toxicity.terms(" ".join(sorted(words))))
+        marks.append(int(a == b))
+    assert toxicity.MIN_Z == 3.0
+    machine = toxicity.fit(rows[:2500], np.array(marks[:2500]))
+    assert ((machine.score(rows[2500:]) >= 0.5) == np.array(marks[2500:])).mean() > 0.9
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     scored = QUERIES["op10_toxicity"](spark, sf)
