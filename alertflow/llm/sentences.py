@@ -6,12 +6,18 @@ and joined over the whole corpus.  The first occurrence of a run, by document
 id and position, stays; a sentence covered by any later occurrence goes.  Counting and finding
 the first occurrence are combined before the shuffle, so a run that a third of
 all documents share is no hot task.
+
+What is left can still share a passage that holds no whole run.  So that every
+shared passage of ``LONG_WORDS`` words loses some, the smallest hash of
+``GRAM`` words in every window of as many words is compared the same way, within
+sentences that stayed; later occurrences of those words go.
 """
 
 from __future__ import annotations
 
 import re
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +29,7 @@ from .common import batches, stored, tune
 RUN = 2          # sentences per span, at least
 MIN_WORDS = 16   # a span of fewer words is no passage, so it goes on
 LONG_WORDS = 50  # a span of so many words is complete, even one long sentence
+GRAM = 25        # words compared inside a passage
 # A sentence ends at a line break, or at . ! ? before a blank; its blanks stay with it.
 _ENDS = re.compile(r"(?<=[.!?])\s+(?=\S)|\s*\n\s*(?=\S)")
 
@@ -53,25 +60,89 @@ def run_hashes(text: str | None, run: int, min_words: int,
     return out
 
 
+def gram_hashes(text: str | None, gone: set[int]) -> list[tuple[int, int, int, int]]:
+    """(first word, words, two halves of the 128-bit hash) of the chosen grams
+    of the sentences that stay; no gram reaches over a removed sentence."""
+    out, at, words, start = [], 0, [], 0
+    for i, part in enumerate([*split_sentences(text), None]):
+        if part is None or i in gone:
+            out += [(start + k, GRAM, *h) for k, h in _chosen(words)]
+            at += len(words) + len((part or "").split())
+            words, start = [], at
+        else:
+            words += part.split()
+    return out
+
+
+def _chosen(words: list[str]):
+    """Winnowing: a smallest gram of every ``LONG_WORDS`` words, with its place."""
+    width = LONG_WORDS - GRAM + 1
+    if len(words) < LONG_WORDS:
+        return
+    each = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], "u8")
+    n = len(words) - GRAM + 1
+    grams = np.zeros(n, "u8")
+    for k in range(GRAM):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + each[k:k + n]
+    grams ^= grams >> np.uint64(29)
+    view = np.lib.stride_tricks.sliding_window_view(grams, width)
+    places = (np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(1))
+    last, values = -1, grams.tolist()
+    # of equal grams the one already chosen serves as long as it is in the window
+    for i, place in enumerate(places.tolist()):
+        if place == last or last >= i and values[last] == values[place]:
+            continue
+        last = place
+        h = blake2b("\n".join(words[last:last + GRAM]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        yield last, (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True))
+
+
+def _gone(spans) -> set[int]:
+    return {i for p in spans or () for i in range(p["place"], p["place"] + p["size"])}
+
+
+def without(text: str | None, gone: set[int], words: set[int]) -> tuple[int, int, str]:
+    """Sentences, those that went whole or in part, and the text left."""
+    parts, at, cut, kept = split_sentences(text), 0, 0, []
+    for i, part in enumerate(parts):
+        n = len(part.split()) if words else 0
+        if i in gone:
+            cut += 1
+        elif words and any(k in words for k in range(at, at + n)):
+            starts = [m.start() for m in re.finditer(r"\S+", part)] + [len(part)]
+            kept.append(part[:starts[0]] + "".join(part[starts[k]:starts[k + 1]] for k in range(n) if at + k not in words))
+            cut += 1
+        else:
+            kept.append(part)
+        at += n
+    return len(parts), cut, "".join(kept)
+
+
 def repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = RUN,
                        min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, row_key, spans``: (first sentence, sentences) of later occurrences,
     per document that has any."""
+    return _later(spark, _narrow(docs).withColumn("spans", F.lit(None)), lambda t, _: run_hashes(t, run, min_words),
+                  "sentence-spans")
+
+
+def _later(spark: SparkSession, rows: DataFrame, hashes, name: str) -> DataFrame:
+    """Later occurrences of what ``hashes(text, spans)`` gives."""
     def scan(it):
-        for ids, keys, texts in batches(it, "doc_id", "row_key", "text"):
-            out = [(d, k, *h) for d, k, t in zip(ids, keys, texts) for h in run_hashes(t, run, min_words)]
+        for ids, keys, texts, spans in batches(it, "doc_id", "row_key", "text", "spans"):
+            out = [(d, k, *h) for d, k, t, s in zip(ids, keys, texts, spans) for h in hashes(t, s)]
             cols = list(zip(*out)) or [[]] * 6
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              ["doc_id", "row_key", "place", "size", "h1", "h2"])
 
-    spans = stored(spark, _narrow(docs).mapInArrow(
-        scan, "doc_id long, row_key long, place int, size int, h1 long, h2 long"), "sentence-spans")
+    spans = stored(spark, rows.mapInArrow(
+        scan, "doc_id long, row_key long, place int, size int, h1 long, h2 long"), name)
     # documents without an id come last
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "place")
     several = (spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
                .where("n > 1").select("h1", "h2", "first"))
-    later = spans.join(stored(spark, several, "repeated-spans"), ["h1", "h2"]).where(at != F.col("first"))
+    later = spans.join(stored(spark, several, f"repeated-{name}"), ["h1", "h2"]).where(at != F.col("first"))
     return later.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("spans"))
 
 
@@ -82,7 +153,8 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = RUN,
                               min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, n_sentences, n_removed, kept`` per row of ``docs``; ``kept`` is the text left.
+    """``doc_id, n_sentences, n_removed, kept`` per row of ``docs``; ``kept`` is the
+    text left, ``n_removed`` the sentences that went whole or in part.
 
     Null and empty texts have no sentences; texts too short for a run stay.  Rows that repeat both id and text are one document and
     get the same result; null ids count as the last documents.  An empty
@@ -91,19 +163,21 @@ def remove_repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = R
     tune(spark)
     later = stored(spark, repeated_sentences(spark, docs, run, min_words), "later-spans")
 
+    def joined(d: DataFrame, p: DataFrame, column: str) -> DataFrame:
+        p = p.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias(column))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))
+        return d.join(p, same, "left").drop("_id", "_key")
+
+    whole = joined(_narrow(docs), later, "spans")
+    grams = stored(spark, _later(spark, whole, lambda t, s: gram_hashes(t, _gone(s)), "sentence-grams"), "later-grams")
+
     def keep(it):
-        for ids, texts, spans in batches(it, "doc_id", "text", "spans"):
-            out = []
-            for d, t, found in zip(ids, texts, spans):
-                parts = split_sentences(t)
-                gone = {i for p in found or () for i in range(p["place"], p["place"] + p["size"])}
-                out.append((d, len(parts), len(gone), "".join(s for i, s in enumerate(parts) if i not in gone)))
+        for ids, texts, spans, grams_ in batches(it, "doc_id", "text", "spans", "grams"):
+            out = [(d, *without(t, _gone(s), _gone(g))) for d, t, s, g in zip(ids, texts, spans, grams_)]
             cols = list(zip(*out)) or [[]] * 4
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              ["doc_id", "n_sentences", "n_removed", "kept"])
 
-    d, p = _narrow(docs).alias("d"), later.alias("p")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.row_key") == F.col("p.row_key"))
-    return (d.join(p, same, "left").select("d.doc_id", "d.text", "p.spans")
+    return (joined(whole, grams, "grams").select("doc_id", "text", "spans", "grams")
             .mapInArrow(keep, "doc_id long, n_sentences long, n_removed long, kept string"))

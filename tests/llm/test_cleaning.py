@@ -176,6 +176,28 @@ def test_repeated_sentences_equal_brute_force(spark):
     assert sum(w[1] for w in want) > 20
 
 
+def test_no_shared_passage_of_fifty_words_stays(spark):
+    """Passages that start and end inside long sentences, with and without sentence ends."""
+    r = random.Random(9)
+    say = lambda n: [f"u{r.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for n in (50, 55, 70, 82):
+        for ends in ((), (30,), (12, 24, 36)):
+            shared = [w + "." if k in ends else w for k, w in enumerate(say(n))]
+            texts += [" ".join(say(40) + shared + say(40)) + "." for _ in range(2)]
+    alone = " ".join(say(49))
+    texts += [f"a {alone} b", "junk " * 400, " ".join(say(300))]
+    got = {x["doc_id"]: x for x in remove_repeated_sentences(spark, _docs(spark, texts)).collect()}
+    for i in range(0, 24, 2):
+        first, second = texts[i].split(), texts[i + 1].split()
+        assert got[i]["kept"] == texts[i]
+        kept = got[i + 1]["kept"].split()
+        windows = {tuple(first[k:k + 50]) for k in range(len(first) - 49)}
+        assert not any(tuple(kept[k:k + 50]) in windows for k in range(len(kept) - 49))
+        assert set(second) - set(first) <= set(kept) and got[i + 1]["n_removed"] > 0
+    assert got[24]["kept"] == texts[24] and got[26]["kept"] == texts[26] and len(got[25]["kept"]) < 500
+
+
 def test_sentence_edges(spark):
     docs = edge_docs(spark)
     assert remove_repeated_sentences(spark, docs).count() == docs.count()
