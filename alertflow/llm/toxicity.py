@@ -160,7 +160,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+    """Fit on at most ``rows`` labelled documents (id and text) outside the held-out fold."""
     tune(spark)
     marked = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
@@ -168,7 +168,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     # at most ``rows`` ids and labels: a size bound, so the texts stay where they are
     pick = F.broadcast(bounded_sample(marked, "label_id", rows, marked.count(), SEED))
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-              .join(pick, F.col("doc_id") == F.col("label_id")).select("text", "toxic"))
+              .join(pick, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic"))
+    # rows that repeat id and text are one document; one id can still have many texts
+    sample = stored(spark, sample.distinct().withColumn("pair", F.xxhash64("doc_id", "text")), "toxicity-texts")
+    sample = bounded_sample(sample, "pair", rows, sample.count(), SEED).select("text", "toxic")
 
     def extract(it):
         for texts, marks in batches(it, "text", "toxic"):

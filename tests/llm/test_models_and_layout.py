@@ -123,6 +123,18 @@ def test_held_out_accuracy(spark):
         zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0 for x in scored.collect())
 
 
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Rows of one id, with one text or with many, do not outgrow the sample."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    each = [(i, f"text {i}") for i in ids]
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, marks: sizes.append(len(rows)))
+    for more in ([(ids[0], "same")] * 2000, [(ids[0], f"other {k}") for k in range(5000)]):
+        toxicity.train(spark, spark.createDataFrame(each + more, "doc_id long, text string"), labels, rows=1000)
+    assert sizes[0] == len(ids) + 1 and 700 < sizes[1] <= 1000
+
+
 def test_toxicity_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8)] + [(None, 1, 1), (3, 0, None)],
