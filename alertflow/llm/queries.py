@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .interleave import SHARDS, interleave
+from .mixture import mix_sources
 from .neighbours import nearest_neighbours
 from .oracle import ORACLE  # noqa: F401 - read by the registry
 from .packing import pack
 from .pii import personal_data
 from .sentences import remove_repeated_sentences
 from .simhash import simhash_groups
+from .spelling import TYPO_EVERY, spelling_variants
 from .substrings import remove_repeats
 from .toxicity import score_toxicity
 from .urlrules import judge_urls
+from .whitening import whiten
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +79,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` on their four largest components, whitened."""
+    return whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of each row of ``documents``."""
+    mixed, sources = mix_sources(spark, table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
+    sources = F.broadcast(sources.select("source", "source_size", "target"))  # a row per source
+    return (mixed.alias("m").join(sources.alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")))
+            .select("doc_id", F.col("mix_size").alias("size"), "source_size", "target",
+                    F.col("mix_taken").alias("taken"), "m.source"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of ``documents``, some of them cut by a letter."""
+    return spelling_variants(spark, table(spark, sf_dir, "documents"), typo_every=TYPO_EVERY)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_neighbours": op2_neighbours,
@@ -87,4 +109,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_mixture": op12_mixture,
+    "op13_spelling": op13_spelling,
 }
