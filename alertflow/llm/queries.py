@@ -16,7 +16,7 @@ from .pii import personal_data
 from .sentences import remove_repeated_sentences
 from .simhash import simhash_groups
 from .spelling import TYPO_EVERY, spelling_variants
-from .substrings import remove_repeats
+from .substrings import kept_text, remove_repeats
 from .toxicity import score_toxicity
 from .urlrules import judge_urls
 from .whitening import whiten
@@ -49,7 +49,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without bytes of repeated 400-byte strings."""
     kept = remove_repeats(spark, table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       kept_text("kept").alias("kept"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, stored, tune
@@ -64,9 +64,11 @@ def _window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[w - 1:w - 1 + n])
 
 
-def regions(text: bytes, span: int) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor hash, lead, first start, last start): runs of windows with one
-    anchor, ``lead`` bytes after the first start.  The runs partition all starts."""
+def regions(text: bytes, span: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(anchor hash, lead, first start, last start, times): runs of windows with
+    one anchor, ``lead`` bytes after the first start.  The runs partition all
+    starts; a run that follows itself with the same bytes (periodic text, one
+    character) comes once, with the number of times."""
     k = gram_size(span)
     for at in range(0, len(text) - span + 1, SEGMENT):
         part = np.frombuffer(text, "u1")[at:at + SEGMENT + span - 1]
@@ -76,8 +78,26 @@ def regions(text: bytes, span: int) -> Iterator[tuple[int, int, int, int]]:
         first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         last = np.concatenate([first[1:], [len(low)]]) - 1
         place = (low[first] & np.uint64(_PLACE)).astype("i8")
-        yield from zip(h[place].view("<i8").tolist(), (place - first).tolist(),
-                       (first + at).tolist(), (last + at).tolist())
+        fp, lead = h[place].view("<i8"), place - first
+        new = np.concatenate([[True], ~_follows(part, fp, lead, first, last, span)])
+        head = np.flatnonzero(new)
+        times = np.diff(np.concatenate([head, [len(first)]]))
+        yield from zip(fp[head].tolist(), lead[head].tolist(), (first[head] + at).tolist(),
+                       (last[head] + at).tolist(), times.tolist())
+
+
+def _follows(part: np.ndarray, fp: np.ndarray, lead: np.ndarray, first: np.ndarray, last: np.ndarray,
+             span: int) -> np.ndarray:
+    """For every run but the first: does it hold the bytes of the run before it?"""
+    width = last - first + 1
+    same = (fp[1:] == fp[:-1]) & (lead[1:] == lead[:-1]) & (width[1:] == width[:-1])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view("i1"), [0]])))
+    for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):  # stretches of alike runs: one width each
+        w, lo, hi = int(width[a]), int(first[a]), int(last[z]) + span
+        odd = np.concatenate([[0], np.cumsum(part[lo + w:hi] != part[lo:hi - w])])
+        start = first[a:z] - lo
+        same[a:z] = odd[start + w - 1 + span] == odd[start]
+    return same
 
 
 def digest64(raw: bytes) -> int:
@@ -163,14 +183,15 @@ def _scan(narrow: DataFrame, span: int) -> DataFrame:
         for ids, raws, keys in batches(it, "doc_id", "raw", "row_key"):
             out = []
             for doc_id, raw, key in zip(ids, raws, keys):
-                out += [(doc_id, key, fp, digest64(raw[a:z + span]), lead, a, z)
-                        for fp, lead, a, z in regions(raw, span)]
-            cols = list(zip(*out)) or [[]] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                out += [(doc_id, key, fp, digest64(raw[a:z + span]), lead, a, z, times)
+                        for fp, lead, a, z, times in regions(raw, span)]
+            cols = list(zip(*out)) or [[]] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["doc_id", "row_key", "fp", "region", "lead", "first", "last"])
+                                             ["doc_id", "row_key", "fp", "region", "lead", "first", "last", "times"])
 
-    return narrow.mapInArrow(run, "doc_id long, row_key long, fp long, region long, lead int, first int, last int")
+    return narrow.mapInArrow(
+        run, "doc_id long, row_key long, fp long, region long, lead int, first int, last int, times int")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -270,20 +291,22 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, span: int = SPAN,
     start elsewhere, for every document that has any."""
     narrow = _narrow(docs)
     anchors = stored(spark, _scan(narrow, span), "anchors")
-    shared = (anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("a"),
+    shared = (anchors.groupBy("fp").agg(F.sum("times").alias("n"), F.min("region").alias("a"),
                                         F.max("region").alias("b"))
               .where("n > 1").select("fp", (F.col("a") != F.col("b")).alias("contested")))
     held = stored(spark, anchors.join(stored(spark, shared, "shared-anchors"), "fp"), "held")
     one = F.min(F.struct("doc_id", "row_key", "lead", "first", "last"))
     kinds = stored(spark, held.groupBy("fp", "region").agg(
-        F.count(F.lit(1)).alias("n"), F.first("contested").alias("contested"), one.alias("one")), "region-kinds")
+        F.sum("times").alias("n"), F.first("contested").alias("contested"), one.alias("one")), "region-kinds")
     whole = kinds.where("n > 1").select("fp", "region", F.lit(0).alias("lo"),
                                         (F.col("one.last") - F.col("one.first")).alias("hi"))
     texts = stored(spark, _fetch(narrow, kinds.where("contested").select("fp", "region", "one.*"), span),
                    "region-texts")
     marks = stored(spark, whole.unionByName(_resolve(
         spark, texts, span, group_regions, tuple(c for c in CUTS if 2 * c <= span))), "marks")
-    run = F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi")).alias("stop"))
+    # a run that comes several times in a row repeats as a whole, up to the end of its last copy
+    copies = (F.col("times") - 1) * (F.col("last") - F.col("first") + 1)
+    run = F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") + copies).alias("stop"))
     return (held.join(marks, ["fp", "region"]).groupBy("doc_id", "row_key")
             .agg(F.array_sort(F.collect_set(run)).alias("runs")))
 
@@ -305,7 +328,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN,
     """``doc_id, n_bytes, n_removed, n_spans, kept`` per row of ``docs``; ``kept``
     holds the remaining bytes (a cut may fall inside a character).
 
-    Null texts are empty; texts shorter than ``span`` stay whole; equal texts
+    Null texts are empty; texts shorter than ``span`` stay whole; text of one
+    character or a short period is one run, however long; equal texts
     of ``span`` bytes or more are removed whole, all of them.  Null ids and
     repeated rows each give a row.  An empty table gives an empty result;
     extra columns are ignored.
@@ -333,3 +357,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN,
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.row_key") == F.col("r.row_key"))
     return (d.join(r, same, "left").select("d.doc_id", "d.raw", "r.runs")
             .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
+
+
+def kept_text(kept: str) -> Column:
+    """The remaining bytes as text; a character that a cut went through shows as U+FFFD."""
+    return F.make_valid_utf8(F.col(kept).cast("string"))

@@ -12,7 +12,7 @@ from alertflow.llm.oracle import ORACLE
 from alertflow.llm.pii import mask_personal_data, personal_data
 from alertflow.llm.queries import QUERIES
 from alertflow.llm.sentences import remove_repeated_sentences, split_sentences
-from alertflow.llm.substrings import remove_repeats
+from alertflow.llm.substrings import regions, remove_repeats
 from alertflow.llm.suffix_array import suffix_array
 from alertflow.llm.urlrules import RULES, judge_urls
 from llm_frames import edge_docs
@@ -131,6 +131,37 @@ def test_repeats_equal_brute_force(spark, span, letters, group):
     assert [got[i] for i in range(len(texts))] == _removed([t.encode() for t in texts], span)
 
 
+def test_periodic_texts_are_few_runs(spark):
+    r = random.Random(9)
+    noise = bytes(r.randrange(97, 123) for _ in range(3000))
+    for text in (b"x" * 5_000_000, b"abcdefg" * 700_000, noise + b"ab" * 300_000 + noise[:900] + b"z" * 1000):
+        runs = list(regions(text, 400))
+        assert len(runs) < 100 and sum(t * (z - a + 1) for _, _, a, z, t in runs) == len(text) - 399
+        at = 0
+        for fp, lead, a, z, times in runs:
+            assert a == at and all(text[a + j * (z - a + 1):z + j * (z - a + 1) + 400] == text[a:z + 400]
+                                   for j in {0, 1, times // 2, times - 1} if j < times)
+            at = a + times * (z - a + 1)
+    texts = ["x" * 5_000_000, "abcdefg" * 700_000, "ab" * 300 + "c" + "ab" * 150 + "x" * 399, "x" * 400]
+    got = {g["doc_id"]: (g["n_bytes"], g["n_removed"], g["n_spans"], bytes(g["kept"]))
+           for g in remove_repeats(spark, _docs(spark, texts)).collect()}
+    assert [got[0], got[1], got[3]] == [(5_000_000, 5_000_000, 1, b""), (4_900_000, 4_900_000, 1, b""), (400, 400, 1, b"")]
+    assert got[2] == (1300, 600, 1, b"c" + b"ab" * 150 + b"x" * 399)
+
+
+def test_periodic_parts_equal_brute_force(spark):
+    r = random.Random(4)
+    texts = []
+    for _ in range(40):
+        unit = "".join(r.choice("abc") for _ in range(r.randrange(1, 6)))
+        texts.append("".join(r.choice("abc") for _ in range(r.randrange(20))) + unit * r.randrange(1, 30)
+                     + "".join(r.choice("abc") for _ in range(r.randrange(20))))
+    for group in (1000, 3):
+        got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"]))
+               for x in remove_repeats(spark, _docs(spark, texts), 24, group).collect()}
+        assert [got[i] for i in range(len(texts))] == _removed([t.encode() for t in texts], 24)
+
+
 def test_repeats_edges(spark):
     docs = edge_docs(spark)
     rows = remove_repeats(spark, docs, 20).collect()
