@@ -8,8 +8,9 @@ an insult counts more beside a group mention than both weights add up to.
 Every term in ``MIN_DOCS`` sampled rows has a factor; one that is as often
 toxic as the average has no weight of its own.
 Training uses a bounded sample of labelled rows (``TRAIN_ROWS``, picked by a
-seeded hash of their ids); terms are extracted on the executors.  Scoring is
-one pass over all texts without a shuffle.
+seeded hash of their ids, and ``TRAIN_TERMS``); terms are extracted and the
+machine is fitted on the executors, so the driver holds the model and no rows.
+Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ BITS = 18
 FACTORS = 8
 PREFIXES = (3, 4, 5, 6, 7)
 TRAIN_ROWS = 20_000   # the documented bound on the rows the model is fitted on
+TRAIN_TERMS = 20_000_000   # the same for the terms of these rows (about 1,000 a row)
+BUCKETS = 1024        # parts that the sample is cut by
 MIN_DOCS = 10         # a term in fewer training rows has neither weight nor factor
 MIN_Z = 3.0           # no weight has one whose toxic share is this near the average, in standard errors
 EPOCHS = 12
@@ -159,9 +161,9 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on at most ``rows`` labelled documents (id and text) outside the held-out fold."""
-    tune(spark)
+def training_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``terms, toxic`` of at most ``rows`` labelled documents (id and text)
+    outside the held-out fold, with at most TRAIN_TERMS terms in all."""
     marked = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
               .where(~is_held_out(F.col("label_id"))))
@@ -171,43 +173,51 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
               .join(pick, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic"))
     # rows that repeat id and text are one document; one id can still have many texts
     sample = stored(spark, sample.distinct().withColumn("pair", F.xxhash64("doc_id", "text")), "toxicity-texts")
-    sample = bounded_sample(sample, "pair", rows, sample.count(), SEED).select("text", "toxic")
+    sample = bounded_sample(sample, "pair", rows, sample.count(), SEED).select("pair", "text", "toxic")
 
     def extract(it):
-        for texts, marks in batches(it, "text", "toxic"):
+        for pairs, texts, marks in batches(it, "pair", "text", "toxic"):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([terms(t) for t in texts], pa.list_(pa.int32())), pa.array(marks, pa.int32())],
-                ["terms", "toxic"])
-
-    held = stored(spark, sample.mapInArrow(extract, "terms array<int>, toxic int"), "toxicity-sample")
-
-    def count(it):
-        seen = np.zeros(1 << BITS, "i8")
-        for (rows_,) in batches(it, "terms"):
-            for r in rows_:
-                seen[r] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(seen[at])], ["slot", "seen"])
-
-    counts = (held.mapInArrow(count, "slot int, seen long").groupBy("slot").agg(F.sum("seen").alias("seen"))
-              .where(F.col("seen") >= MIN_DOCS).select("slot").toArrow())  # at most 2 ** BITS rows
-    used = np.zeros(1 << BITS, bool)
-    used[counts.column("slot").to_numpy()] = True
-
-    def keep(it):  # only the terms that get a factor go to the driver
-        for rows_, marks in batches(it, "terms", "toxic"):
-            few = [np.array(r, "i4")[used[np.array(r, "i8")]] for r in rows_]
-            yield pa.RecordBatch.from_arrays([pa.array(few, pa.list_(pa.int32())), pa.array(marks, pa.int32())],
-                                             ["terms", "toxic"])
-
-    got = held.mapInArrow(keep, "terms array<int>, toxic int").toArrow()
-    found = got.column("terms").combine_chunks()  # one array for all rows: no Python number per term
-    if not isinstance(found, pa.Array):
-        found = found.chunk(0) if found.num_chunks else pa.array([], pa.list_(pa.int32()))
-    slots = np.split(found.flatten().to_numpy(), np.cumsum([0 if n is None else n for n in
-                     pa.compute.list_value_length(found).to_pylist()])[:-1]) if len(found) else []
-    each = sorted(zip(slots, got.column("toxic").to_pylist()), key=lambda r: (r[0].tobytes(), r[1]))
-    return fit([r for r, _ in each], np.array([mark for _, mark in each]))
+                [pa.array(pairs, pa.int64()), pa.array([terms(t) for t in texts], pa.list_(pa.int32())),
+                 pa.array(marks, pa.int32())], ["pair", "terms", "toxic"])
+
+    held = stored(spark, sample.mapInArrow(extract, "pair long, terms array<int>, toxic int"), "toxicity-sample")
+    # the same for terms: of long texts fewer rows are taken, whole hash buckets up to the bound
+    held = held.withColumn("bucket", F.pmod(F.xxhash64("pair", F.lit(SEED)), F.lit(BUCKETS)))
+    sizes = held.groupBy("bucket").agg(F.sum(F.size("terms")).alias("terms")).orderBy("bucket").collect()
+    upto = np.cumsum([r["terms"] for r in sizes] or [0])
+    last = max((r["bucket"] for r, n in zip(sizes, upto) if n <= TRAIN_TERMS), default=-1)
+    return held.where(F.col("bucket") <= last).select("terms", "toxic")
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
+    """Fit on ``training_rows`` in one task."""
+    tune(spark)
+
+    def learn(it):  # at most ``rows`` rows and TRAIN_TERMS terms: one task holds them
+        slots, marks = [], []
+        for b in it:
+            column = b.column(0)
+            cuts = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+            slots += np.split(column.flatten().to_numpy().copy(), cuts)
+            marks += b.column(1).to_pylist()
+        order = sorted(range(len(slots)), key=lambda i: (slots[i].tobytes(), marks[i]))  # whatever order they came in
+        m = fit([slots[i] for i in order], np.array([marks[i] for i in order]))
+        at = np.flatnonzero((m.weight != 0) | m.factor.any(1)).astype("i4")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m.bias]), pa.array([at.tobytes()]), pa.array([m.weight[at].tobytes()]),
+             pa.array([m.factor[at].tobytes()])], ["bias", "at", "weight", "factor"])
+
+    # the driver gets the model alone: a number of terms with a factor times (FACTORS + 2) numbers
+    held = training_rows(spark, docs, labels, rows)
+    got = held.coalesce(1).mapInArrow(learn, "bias double, at binary, weight binary, factor binary").toArrow().to_pylist()
+    m = Machine(0.0, np.zeros(1 << BITS, "f4"), np.zeros((1 << BITS, FACTORS), "f4"))
+    for row in got:  # none if the sample has no partition
+        at = np.frombuffer(row["at"], "i4")
+        m.bias = row["bias"]
+        m.weight[at] = np.frombuffer(row["weight"], "f4")
+        m.factor[at] = np.frombuffer(row["factor"], "f4").reshape(-1, FACTORS)
+    return m
 
 
 def toxicity_score(spark: SparkSession, machine: Machine):

@@ -129,10 +129,25 @@ def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
     each = [(i, f"text {i}") for i in ids]
     sizes = []
-    monkeypatch.setattr(toxicity, "fit", lambda rows, marks: sizes.append(len(rows)))
     for more in ([(ids[0], "same")] * 2000, [(ids[0], f"other {k}") for k in range(5000)]):
-        toxicity.train(spark, spark.createDataFrame(each + more, "doc_id long, text string"), labels, rows=1000)
+        docs = spark.createDataFrame(each + more, "doc_id long, text string")
+        sizes.append(toxicity.training_rows(spark, docs, labels, rows=1000).count())
     assert sizes[0] == len(ids) + 1 and 700 < sizes[1] <= 1000
+    # the terms are bounded as well: here about 7 a row
+    monkeypatch.setattr(toxicity, "TRAIN_TERMS", 2000)
+    few = toxicity.training_rows(spark, docs, labels, rows=1000).collect()
+    assert 100 < len(few) < sizes[1] and sum(len(r["terms"]) for r in few) <= 2000
+
+
+def test_score_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    machine = toxicity.Machine(0.3, rng.normal(size=1 << toxicity.BITS), rng.normal(size=(1 << toxicity.BITS, 4)))
+    machine.factor[::3] = 0
+    rows = [np.sort(rng.choice(1 << toxicity.BITS, n, replace=False)).astype("i4") for n in (0, 1, 2, 9, 40)]
+    for got, row in zip(machine.raw(rows), rows):
+        some = max(sum(bool(machine.factor[i].any()) for i in row), 1)
+        pairs = sum(machine.factor[i] @ machine.factor[j] for a, i in enumerate(row) for j in row[a + 1:])
+        assert abs(got - (machine.bias + machine.weight[row].sum() + pairs / some)) < 1e-4
 
 
 def test_toxicity_edges(spark):
