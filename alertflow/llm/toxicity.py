@@ -122,10 +122,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
     for r, mark in zip(rows, labels):
         seen[r] += 1
         toxic[r] += mark
-    used, weighed = seen >= MIN_DOCS, telling(seen, toxic, share)
-    rows = [r[used[r]] for r in rows]
-    m.factor[used] = rng.normal(0, 0.01, (int(used.sum()), factors))
-    gw, gv, rate = np.full(slots, 1e-2, "f4"), np.full(slots, 1e-2, "f4"), 0.1
+    used = seen >= MIN_DOCS
+    terms_ = np.flatnonzero(used)       # numbered densely while fitting
+    weighed, number = telling(seen, toxic, share)[terms_], np.cumsum(used, dtype="i4") - 1
+    rows = [number[r[used[r]]] for r in rows]
+    m = Machine(bias, np.zeros(len(terms_), "f4"), rng.normal(0, 0.01, (len(terms_), factors)).astype("f4"))
+    gw, gv, rate = np.full(len(terms_), 1e-2, "f4"), np.full(len(terms_), 1e-2, "f4"), 0.1
     # each class has half of the weight
     heavy = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     for _ in range(epochs):
@@ -140,18 +142,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
             m.bias -= 0.02 * float(g.mean())
             if not slot.size:
                 continue
-            at, inverse, times = np.unique(slot, return_inverse=True, return_counts=True)
-            step = np.bincount(inverse, g[owner], len(at)).astype("f4") + L2 * m.weight[at]
+            # sums per term of the batch, without sorting: terms are numbered densely
+            at = np.flatnonzero(np.bincount(slot, minlength=len(terms_)))
+            times = np.bincount(slot, minlength=len(terms_))[at]
+            step = np.bincount(slot, g[owner], len(terms_))[at].astype("f4") + L2 * m.weight[at]
             step[~weighed[at]] = 0
             gw[at] += step * step
             m.weight[at] -= rate * step / np.sqrt(gw[at])
-            pull = (g * even)[owner][:, None] * (total[owner] - v)
-            by = np.argsort(inverse, kind="stable")
-            cut = np.searchsorted(inverse[by], np.arange(len(at)))
-            step = np.add.reduceat(pull[by], cut, axis=0) + (FACTOR_L2 * times).astype("f4")[:, None] * m.factor[at]
+            pull = ((g * even)[:, None] * total)[owner] - (g * even)[owner][:, None] * v
+            step = np.stack([np.bincount(slot, column, len(terms_))[at] for column in np.ascontiguousarray(pull.T)], 1)
+            step = step.astype("f4") + (FACTOR_L2 * times).astype("f4")[:, None] * m.factor[at]
             gv[at] += (step * step).mean(1)
             m.factor[at] -= 0.5 * rate * step / np.sqrt(gv[at])[:, None]
-    return m
+    whole = Machine(m.bias, np.zeros(slots, "f4"), np.zeros((slots, factors), "f4"))
+    whole.weight[terms_], whole.factor[terms_] = m.weight, m.factor
+    return whole
 
 
 # --- Spark -----------------------------------------------------------------
