@@ -12,7 +12,7 @@ from ..functions.classify import MIN_CRITICALITY, SEVERITY_MINIMUM, severities_a
 from ..functions.timefmt import format_event_time
 from ..schema import IDENTITY
 from ..sources.codec import wire_json
-from ..sources.store import read_counts, read_store_log
+from ..sources.store import batches_since, read_counts, read_store_log
 from .upsert import latest_wins
 from .validate import MAX_LIMIT, validate_query
 
@@ -116,10 +116,12 @@ def newest_date_bound(counts: DataFrame, min_criticality: int, k: int) -> DataFr
 
 
 def _newest_only(store: DataFrame, counts: DataFrame, min_criticality: int, k: int) -> DataFrame:
-    """``store`` cut to the dates that can hold the ``k`` newest matches.  The bound is
+    """``store`` cut to the dates that can hold the ``k`` newest matches, and to the
+    batches that hold such dates: folders of other batches are not opened.  The bound is
     a subquery: it runs with the query, and nothing runs while this is built."""
-    bound = newest_date_bound(counts, min_criticality, k).scalar()
-    return store.where(F.col("event_date") >= F.coalesce(bound, F.lit("0001-01-01").cast("date")))
+    bound = F.coalesce(newest_date_bound(counts, min_criticality, k).scalar(), F.lit("0001-01-01").cast("date"))
+    return (store.join(batches_since(counts, bound), ["source", "batch_id"], "left_semi")
+            .where(F.col("event_date") >= bound))
 
 
 def query_store_newest_first(spark: SparkSession, root: str, min_criticality: int,

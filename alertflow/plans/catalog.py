@@ -24,9 +24,10 @@ from ..operators.report import (error_summary, heatmap_matrix, heatmap_rows, ing
 from ..operators.upsert import latest_wins
 from ..session import new_work_dir
 from ..sources.codec import decode_events, encode_events
-from ..sources.store import read_counts, read_store, read_store_log
+from ..sources.store import read_counters, read_counts, read_store, read_store_log
 from ..streaming.ingest import (dedup_stream, read_dead_letters, read_event_stream, replay, run_ingest,
                                 write_event_stream)
+from ..streaming.monitor import milestone
 from . import fixtures as fx
 from . import stores
 
@@ -346,6 +347,29 @@ def ingest_new_checkpoint(spark, sf):
     return _store_cols(read_store(spark, _ingest(spark, work, checkpoint="checkpoint-2")))
 
 
+def ingest_two_writers(spark, sf):
+    """S5 + G3: two ingests of the two halves of the files, at once, into one store."""
+    work = new_work_dir(spark, "writers")
+    payloads = fx.sec_payload(spark, sf).select("value")
+    halves = payloads.withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2)))
+    halves.repartition(STREAM_FILES).write.partitionBy("half").text(f"{work}/in")
+    root = f"{work}/store"
+    queries = [run_ingest(spark, read_event_stream(spark, "text", f"{work}/in/half={h}",
+                                                   maxFilesPerTrigger=STREAM_FILES // 2),
+                          root, f"{work}/checkpoint-{h}", trigger={"availableNow": True}) for h in (0, 1)]
+    for q in queries:
+        q.awaitTermination()
+    return _store_cols(read_store(spark, root))
+
+
+def ingest_milestone(spark, sf):
+    """A3 + A4: counters kept beside the batches, summed over an ingest in two runs."""
+    work = new_work_dir(spark, "milestone")
+    _write_payload_files(spark, sf, f"{work}/in")
+    _ingest(spark, work)
+    return milestone(read_counters(spark, _ingest(spark, work)))
+
+
 def replay_dead_letters(spark, sf):
     """Ingest, then replay the dead letters with the documented order
     (running the same replay batch again adds nothing: tests/test_streaming.py)."""
@@ -451,6 +475,8 @@ QUERIES: dict[str, Query] = {
     "missing_from_store": missing_from_store_q,
     "ingest_stream": ingest_stream,
     "ingest_new_checkpoint": ingest_new_checkpoint,
+    "ingest_two_writers": ingest_two_writers,
+    "ingest_milestone": ingest_milestone,
     "published_events": published_events,
     "dead_letters_stored": dead_letters_stored,
     "replay_dead_letters": replay_dead_letters,

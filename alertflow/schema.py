@@ -43,6 +43,7 @@ DEADLETTER_SCHEMA = T.StructType([
     T.StructField("error_codes", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
     T.StructField("redacted", T.BooleanType()),
+    T.StructField("attempts", T.LongType()),
     T.StructField("ingest_ts", T.TimestampType()),
     T.StructField("source", T.StringType()),
     T.StructField("batch_id", T.LongType()),

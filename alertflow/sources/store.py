@@ -4,6 +4,7 @@ Layout under ``root``::
 
     log/source=S/batch_id=N/part-*.parquet      the rows, sorted by date and severity
     counts/source=S/batch_id=N/part-*.parquet   identities per date and severity
+    counters/source=S/batch_id=N/part-*.parquet stored, invalid and malformed rows
 
 ``S`` names one ingest lineage (one checkpoint, or the replays), so batch
 numbers of two writers, or of a writer whose checkpoint was thrown away, never
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,13 @@ COUNTS_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ])
+COUNTERS_SCHEMA = T.StructType([
+    T.StructField("processed", T.LongType()),
+    T.StructField("errors", T.LongType()),
+    T.StructField("malformed", T.LongType()),
+    T.StructField("source", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+])
 
 
 def to_store_rows(stored: DataFrame, source: str, batch_id: int,
@@ -68,8 +77,10 @@ def write_store(rows: DataFrame, root: str, source: str, batch_id: int) -> None:
     """Write one batch of store rows, replacing that batch if it was written before.
 
     ``rebalance`` lets AQE size the files.  The batch's identities per date
-    and severity are counted from the files just written; a batch whose
-    counts are missing is only not used to bound newest-first reads.
+    and severity are counted from the files just written.  The counts are the
+    zone map of newest-first reads, which see a batch once its counts are
+    there, that is, when this function returns; a call that fails has to be
+    made again.
     """
     path = batch_path(root, source, batch_id)
     (rows.select(*_DATA_COLS).hint("rebalance").sortWithinPartitions("event_date", "severity")
@@ -109,14 +120,67 @@ def write_note(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def drop_note(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, False)
+
+
+def create_once(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it is there already.  Of several callers
+    at once one succeeds (local files: exclusive creation; other file systems:
+    their create without overwrite, atomic on HDFS)."""
+    fs, p = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    try:
+        fs.mkdirs(p.getParent())
+        if fs.getScheme() == "file":
+            jvm.java.nio.file.Files.createFile(
+                jvm.java.io.File(p.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(
+                    jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            fs.create(p, False).close()
+        return True
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+TICKETS_KEPT = 32   # older tickets are removed: only the newest one counts
+
+
 def arrival_time(spark: SparkSession, root: str) -> _dt.datetime:
-    """Now, but always later than any time given out for this store before."""
-    path, now = f"{root}/_arrival", _dt.datetime.now(_dt.timezone.utc)
-    last = read_note(spark, path)
-    if last:
-        now = max(now, _dt.datetime.fromisoformat(last) + _dt.timedelta(microseconds=1))
-    write_note(spark, path, now.isoformat())
-    return now
+    """Now, but always later than any time given out for this store before,
+    however many writers ask at once.
+
+    A time is a ticket: an empty file named by its microseconds, made by one
+    writer only, and given out if no later ticket is there yet."""
+    folder, epoch = f"{root}/_tickets", _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
+    while True:
+        there = sorted(int(n) for n in _names(spark, folder) if n.isdigit())
+        now = (_dt.datetime.now(_dt.timezone.utc) - epoch) // _dt.timedelta(microseconds=1)
+        mine = max(now, there[-1] + 1 if there else 0)
+        if create_once(spark, f"{folder}/{mine:020d}") and max(
+                int(n) for n in _names(spark, folder) if n.isdigit()) == mine:
+            for old in there[:-TICKETS_KEPT]:
+                fs, p = _fs(spark, f"{folder}/{old:020d}")
+                fs.delete(p, False)
+            return epoch + _dt.timedelta(microseconds=mine)
+
+
+def claim_batch(spark: SparkSession, root: str, source: str) -> int:
+    """The next batch number of ``source``, for this caller alone."""
+    folder = f"{root}/_claims/{source}"
+    while True:
+        taken = [int(n) for n in _names(spark, folder) if n.isdigit()]
+        mine = max([*taken, *list_batches(spark, root).get(source, [])], default=-1) + 1
+        if create_once(spark, f"{folder}/{mine}"):
+            return mine
 
 
 def list_batches(spark: SparkSession, root: str) -> dict[str, list[int]]:
@@ -153,6 +217,26 @@ def read_counts(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/counts", COUNTS_SCHEMA)
 
 
+def batches_since(counts: DataFrame, bound) -> DataFrame:
+    """``source, batch_id`` of the batches that hold rows of ``bound`` (a date
+    column) or later.
+
+    A semi-join of the log with it prunes batch folders while the query runs:
+    they are partitions of the log.  Spark does so if this frame is small
+    enough for its own broadcast limit, and reads all folders beyond it."""
+    return counts.where(F.col("event_date") >= bound).select("source", "batch_id").distinct()
+
+
+def write_counters(counters: DataFrame, root: str, source: str, batch_id: int) -> None:
+    """One row of counters beside a batch (A3); a batch that runs again replaces its own."""
+    counters.coalesce(1).write.mode("overwrite").parquet(batch_path(root, source, batch_id, "counters"))
+
+
+def read_counters(spark: SparkSession, root: str) -> DataFrame:
+    """``processed, errors, malformed`` per batch, of every lineage since the store began."""
+    return _read(spark, f"{root}/counters", COUNTERS_SCHEMA)
+
+
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """The store as readers see it: latest write per identity.
 

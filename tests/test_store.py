@@ -2,16 +2,18 @@
 
 import datetime as dt
 import random
+import threading
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from alertflow.operators.query import latest_store_events, query_events, query_store_newest_first
 from alertflow.operators.upsert import latest_wins
 from alertflow.plans import fixtures as fx
 from alertflow.schema import STORED_SCHEMA
-from alertflow.sources.store import (_fs, arrival_time, batch_path, list_batches, read_counts,
-                                     read_store, read_store_log, write_note, write_store)
+from alertflow.sources.store import (TICKETS_KEPT, _fs, _names, arrival_time, batch_path, claim_batch, create_once,
+                                     list_batches, read_counts, read_store, read_store_log, write_note, write_store)
 from conftest import SF001
 
 T0 = dt.datetime(2024, 1, 15, 10, 0)
@@ -95,11 +97,81 @@ def test_a_batch_in_flight_is_read_once_it_is_written(spark, tmpdir_work):
 
 def test_arrival_time_never_goes_back(spark, tmpdir_work):
     ahead = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=1)
-    write_note(spark, f"{tmpdir_work}/_arrival", ahead.isoformat())
+    micros = (ahead - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+    assert create_once(spark, f"{tmpdir_work}/_tickets/{micros:020d}")
+    assert not create_once(spark, f"{tmpdir_work}/_tickets/{micros:020d}")
     first, second = arrival_time(spark, tmpdir_work), arrival_time(spark, tmpdir_work)
     assert ahead < first < second
 
 
+def test_writers_at_once_get_different_rising_times(spark, tmpdir_work):
+    got = {n: [] for n in range(2)}
+
+    def ask(n):
+        for _ in range(100):
+            got[n].append(arrival_time(spark, tmpdir_work))
+
+    threads = [threading.Thread(target=ask, args=(n,)) for n in got]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    every = got[0] + got[1]
+    assert len(every) == 200 == len(set(every)) and all(x == sorted(x) for x in got.values())
+    assert len(_names(spark, f"{tmpdir_work}/_tickets")) < 2 * TICKETS_KEPT + 10
+
+
+def test_claims_are_never_shared(spark, tmpdir_work):
+    got = []
+    threads = [threading.Thread(target=lambda: got.extend(claim_batch(spark, tmpdir_work, "replay") for _ in range(20)))
+               for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(got) == list(range(40))
+
+
+def _files_read(plan):
+    """Files that the scans of the log have opened, from the metrics of the plan that ran."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _files_read(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _files_read(plan.plan())
+    if name == "FileSourceScanExec" and "event_message" in plan.output().toString():
+        return plan.metrics().apply("numFiles").value()
+    children = plan.children()
+    return sum(_files_read(children.apply(i)) for i in range(children.length()))
+
+
+def test_newest_first_opens_only_the_batches_of_its_dates(spark, tmpdir_work):
+    """1,000 batches, three of which hold the newest dates."""
+    ids = spark.range(0, 4000, 1, 4)
+    batch = (F.col("id") % 1000).alias("batch_id")
+    new = F.col("id") % 1000 >= 997
+    day = F.when(new, F.lit("2026-03-02")).otherwise(F.lit("2026-01-05")).cast("date")
+    time = day.cast("timestamp") + F.make_dt_interval(secs=F.col("id"))
+    rows = ids.select(time.alias("time"), F.lit(0).cast("short").alias("time_ns_rem"),
+                      F.lit(9).cast("long").alias("criticality"), F.concat(F.lit("m"), "id").alias("event_message"),
+                      F.lit("critical").alias("severity"), day.alias("event_date"),
+                      F.current_timestamp().alias("ingest_ts"), F.lit("s").alias("source"), batch,
+                      F.col("id").alias("ingest_seq"))
+    rows.repartition("batch_id").write.partitionBy("source", "batch_id").parquet(f"{tmpdir_work}/log")
+    (rows.groupBy("event_date", "severity", "source", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+     .coalesce(1).write.partitionBy("source", "batch_id").parquet(f"{tmpdir_work}/counts"))
+    # a date's sure matches are those of its largest batch: four here
+    for read, k in ((lambda k: query_store_newest_first(spark, tmpdir_work, 5, k), 4),
+                    (lambda k: latest_store_events(spark, tmpdir_work, k), 4)):
+        got = read(k)
+        rows_got = got.collect()
+        assert [r["event_message"] for r in rows_got] == ["m3999", "m3998", "m3997", "m2999"]
+        assert _files_read(got._jdf.queryExecution().executedPlan()) == 3
+    # more than the newest date holds: every batch is read, the rows are the same as of a full scan
+    fast = query_store_newest_first(spark, tmpdir_work, 5, 50).collect()
+    assert fast == query_events(read_store_log(spark, tmpdir_work), 5, 50).collect()
+
+
 def test_one_scan_whatever_the_number_of_batches(spark, tmpdir_work):
     rows = fx.store_rows(fx.sec(spark, SF001))
     for b in range(4):

@@ -1,9 +1,15 @@
 """Streaming ingest (G3-G5, A3): at least once, replay-safe, counted."""
 
+import time
+
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from alertflow.plans import fixtures as fx
-from alertflow.sources.store import list_batches, read_store, read_store_log
+from alertflow.sources.store import list_batches, read_counters, read_store, read_store_log
+from alertflow.streaming import ingest
+from alertflow.streaming.monitor import IngestProgress, milestone, stored_totals
 from alertflow.streaming.ingest import read_dead_letters, read_event_stream, replay, run_ingest
 from conftest import SF001
 
@@ -87,6 +93,73 @@ def test_replay_numbers_go_on(spark, tmpdir_work):
     assert [replay(spark, root), replay(spark, root)] == [0, 1]
 
 
+def test_a_replay_takes_new_letters_only(spark, tmpdir_work):
+    _files(spark, tmpdir_work)
+    _run(spark, tmpdir_work)
+    root = f"{tmpdir_work}/store"
+    first, second = replay(spark, root), replay(spark, root)
+    assert second == first + 1 and list_batches(spark, root)["replay"] == [first]
+    # another rule takes the same letters; new letters are taken once
+    third = replay(spark, root, order="validate_first")
+    assert list_batches(spark, root)["replay"] == [first, third]
+    spark.createDataFrame([('{"criticality":0,"timestamp":"2031-01-01T00:00:00Z","eventMessage":"late"}',)],
+                          "value string").write.mode("append").text(f"{tmpdir_work}/in")
+    _run(spark, tmpdir_work)
+    fourth = replay(spark, root)
+    log = read_store_log(spark, root).where(f"source = 'replay' and batch_id = {fourth}").collect()
+    assert [r["event_message"] for r in log] == ["late"]
+
+
+def test_a_batch_that_never_writes_goes_to_the_dead_letters(spark, tmpdir_work, monkeypatch):
+    """Five failures, each stopping the query; the sixth start gives the batch up."""
+    _files(spark, tmpdir_work)
+    root = f"{tmpdir_work}/store"
+
+    def broken(*args, **kwargs):
+        raise OSError("the store is away")
+
+    monkeypatch.setattr(ingest, "write_store", broken)
+
+    def start():
+        stream = read_event_stream(spark, "text", f"{tmpdir_work}/in")
+        return run_ingest(spark, stream, root, f"{tmpdir_work}/ckpt", trigger={"availableNow": True})
+
+    for _ in range(5):
+        with pytest.raises(StreamingQueryException):
+            start().awaitTermination()
+    start().awaitTermination()
+    letters = read_dead_letters(spark, root)
+    assert letters.count() == 1000 and {r[0] for r in letters.select("attempts").distinct().collect()} == {5}
+    lost = letters.where("disposition = 'undelivered'")
+    assert lost.count() > 500 and lost.where("error_codes[0] <> 'max_deliver' or raw is null").count() == 0
+    monkeypatch.undo()
+    replay(spark, root, order="validate_first")  # the store is back
+    assert read_store_log(spark, root).count() == lost.count()
+
+
+def test_counters_survive_a_restart(spark, tmpdir_work):
+    _files(spark, tmpdir_work)
+    _run(spark, tmpdir_work)
+    root = f"{tmpdir_work}/store"
+    once = stored_totals(spark, root)
+    assert sum(once.values()) == 1000
+    spark.read.text(f"{tmpdir_work}/in").write.mode("append").text(f"{tmpdir_work}/in")
+    progress = IngestProgress(start=stored_totals(spark, root))   # as after a restart
+    spark.streams.addListener(progress)
+    try:
+        q = _run(spark, tmpdir_work)
+        for _ in range(100):
+            if progress.totals.get(str(q.id), {}).get("processed", 0) >= 2 * once["processed"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    twice = {k: 2 * v for k, v in once.items()}
+    assert stored_totals(spark, root) == twice == progress.totals[str(q.id)]
+    row = milestone(read_counters(spark, root), 100).first()
+    assert row["milestone"] == twice["processed"] // 100 * 100 == progress.milestones[str(q.id)]
+
+
 def test_masked_letters_are_not_replayed(spark, tmpdir_work):
     _files(spark, tmpdir_work)
     stream = read_event_stream(spark, "text", f"{tmpdir_work}/in")
