@@ -23,15 +23,16 @@ from .common import bounded_sample, stored, tune
 
 K = 10
 QUERY_EVERY = 100
-SAMPLE_PER_PART = 128   # sampled vectors per part; at most MAX_PARTS * this many in all
-PART_ROWS = 1024        # rows per part that the number of parts aims at
-MAX_PARTS = 128         # a fixed bound: the fitted sample stays bounded
+SAMPLE_PER_PART = 128   # sampled vectors per part,
+MAX_SAMPLE = 32_768     # at most so many in all: the documented bound of the fit
+PARTS_PER_ROOT = 1 / 7  # the number of parts grows with the square root of the rows
+MAX_PARTS = 4096        # and the model stays of bounded size
 GRAPH_K = 10
 HIDDEN = 128
 EPOCHS = 30
 TARGET = 0.95
 BLOCK_ROWS = 8192       # index rows searched together
-QUERY_ROWS = 4096       # queries searched together
+QUERY_ROWS = 16_384      # queries searched together
 SEED = 42
 
 
@@ -160,36 +161,45 @@ def fit_router(x: np.ndarray, parts: int, k: int = K, target: float = TARGET, se
 # --- Spark -----------------------------------------------------------------
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` of the rows that take part; one row per id."""
+    """``row, vec_id, v`` of the rows that take part; ``row`` tells rows of one id apart."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = (vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
             .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
             .where(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+
+
+def number_of_parts(rows: int) -> int:
+    """A power of two: two from 200 rows on, then with the square root of the rows."""
+    parts = 1
+    while parts < MAX_PARTS and 2 * parts <= max(rows ** 0.5 * PARTS_PER_ROOT, 2 * (rows >= 200)):
+        parts *= 2
+    return parts
 
 
 def _search(base: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     """The ``k`` nearest of one block for each query, by exact distance in double precision."""
-    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-        {"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    none = pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype(
+        {"query_row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
     if base.empty or asked.empty:
         return none
-    ids, x = base["vec_id"].to_numpy(), np.stack(base["v"].to_numpy())
+    rows, ids, x = base["row"].to_numpy(), base["vec_id"].to_numpy(), np.stack(base["v"].to_numpy())
     norm, out = (x * x).sum(1), []
-    queries = np.stack(asked["v"].to_numpy())
+    queries = np.stack(asked["query_v"].to_numpy())
     for a in range(0, len(queries), 256):
         q = queries[a:a + 256]
         rough = norm[None, :] - 2 * q @ x.T + (q * q).sum(1)[:, None]
         slack = 1e-9 * (norm.max() + (q * q).sum(1))
-        for row, (qid, qv) in enumerate(zip(asked["query_id"].to_numpy()[a:a + 256], q)):
-            rough[row, ids == qid] = np.inf
+        asks = zip(asked["query_row"].to_numpy()[a:a + 256], asked["query_id"].to_numpy()[a:a + 256], q)
+        for row, (own, qid, qv) in enumerate(asks):
+            rough[row, rows == own] = np.inf
             edge = np.partition(rough[row], min(k, len(ids)) - 1)[min(k, len(ids)) - 1]
             near = np.flatnonzero(rough[row] <= edge + slack[row]) if np.isfinite(edge) else np.flatnonzero(
                 np.isfinite(rough[row]))
             d = np.sqrt(((x[near] - qv) ** 2).sum(1))
             best = np.lexsort((ids[near], d))[:k]
-            out.append(pd.DataFrame({"query_id": np.full(len(best), qid), "vec_id": ids[near][best], "score": d[best]}))
+            out.append(pd.DataFrame({"query_row": np.full(len(best), own), "query_id": np.full(len(best), qid), "vec_id": ids[near][best], "score": d[best]}))
     return pd.concat(out) if out else none
 
 
@@ -199,9 +209,10 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, k: int = K, quer
 
     Queries are the ids divisible by ``query_every``; every other row is a
     candidate.  Null, all-zero and non-finite vectors and null ids take no
-    part, nor do vectors of another length than the most common one; an id
-    that repeats counts once, with its smallest vector.  Ties rank by id.  An
-    empty table gives an empty result; extra columns are ignored.
+    part, nor do vectors of another length than the most common one.  Rows that
+    repeat an id are rows of their own: each is a candidate for all others,
+    and each asks if the id does, so their ranks come once per row.  Ties rank
+    by id.  An empty table gives an empty result; extra columns are ignored.
     """
     tune(spark)
     rows = stored(spark, _usable(vectors), "vectors")
@@ -211,26 +222,25 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, k: int = K, quer
         return spark.createDataFrame([], result)
     dim, total = sizes["d"], sizes["n"]
     rows = rows.where(F.size("v") == dim)
-    parts = 1
-    while parts < MAX_PARTS and parts * 2 * PART_ROWS <= total:
-        parts *= 2
-    sample = (bounded_sample(rows, "vec_id", parts * SAMPLE_PER_PART, total, SEED).toArrow()
-              .sort_by("vec_id").column("v").combine_chunks())
+    parts = number_of_parts(total)
+    sample = (bounded_sample(rows, "row", min(parts * SAMPLE_PER_PART, MAX_SAMPLE), total, SEED).toArrow()
+              .sort_by("row").column("v").combine_chunks())
     router = fit_router(sample.flatten().to_numpy().reshape(-1, dim), parts, k, target)
     sent = spark.sparkContext.broadcast(router)  # fixed size: (dim + parts) * HIDDEN numbers
 
     def route(it):
         for b in it:
-            v = b.column(1)
+            v = b.column(2)
             order = np.argsort(-sent.value.logits(v.flatten().to_numpy().reshape(-1, dim)), axis=1, kind="stable")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), v, pa.array(list(order[:, :sent.value.probes].astype("i4")), pa.list_(pa.int32()))],
-                ["vec_id", "v", "parts"])
+                [b.column(0), b.column(1), v,
+                 pa.array(list(order[:, :sent.value.probes].astype("i4")), pa.list_(pa.int32()))],
+                ["row", "vec_id", "v", "parts"])
 
-    routed = stored(spark, rows.mapInArrow(route, "vec_id long, v array<double>, parts array<int>"), "routed")
-    index = routed.select("vec_id", "v", F.col("parts")[0].alias("part"))
+    routed = stored(spark, rows.mapInArrow(route, "row long, vec_id long, v array<double>, parts array<int>"), "routed")
+    index = routed.select("row", "vec_id", "v", F.col("parts")[0].alias("part"))
     asked = routed.where(F.col("vec_id") % query_every == 0).select(
-        F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part"))
+        F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("query_v"), F.explode("parts").alias("part"))
 
     def blocks(df: DataFrame, size: int) -> dict[int, int]:  # at most MAX_PARTS rows
         return {r["part"]: -(-r["n"] // size) for r in df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -241,13 +251,13 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, k: int = K, quer
 
     index_blocks, query_blocks = of(blocks(index, block_rows)), of(blocks(asked, QUERY_ROWS))
     # every block of a part meets every block of its queries
-    index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), index_blocks).cast("int")).withColumn(
+    index = index.withColumn("block", F.pmod(F.xxhash64("row"), index_blocks).cast("int")).withColumn(
         "turn", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), query_blocks).cast("int")).withColumn(
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_row"), query_blocks).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), index_blocks - 1)))
     keys = ["part", "block", "turn"]
     found = (index.groupBy(*keys).cogroup(asked.groupBy(*keys))
-             .applyInPandas(lambda a, b: _search(a, b, k), "query_id long, vec_id long, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+             .applyInPandas(lambda a, b: _search(a, b, k), "query_row long, query_id long, vec_id long, score double"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
     return (found.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from alertflow.llm import packing, toxicity
+from alertflow.llm import neighbours, packing, toxicity
 from alertflow.llm.interleave import interleave, write_shards
 from alertflow.llm.neighbours import balanced_parts, nearest_neighbours
 from alertflow.llm.packing import Encoder, pack, plan_slots, tokenizer_path
@@ -48,10 +48,22 @@ def test_recall_against_brute_force(spark):
     assert _recall(got, ids, x.astype("f4").astype("f8"), 10, 50) >= 0.9
 
 
-def test_registered_search_reaches_the_recall(spark):
-    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF01}/embeddings.parquet' ORDER BY 1").df()
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_search_reaches_the_recall(spark, monkeypatch, sf):
+    """The given tables have more than one part, so graph and classifier decide."""
+    fitted = []
+    monkeypatch.setattr(neighbours, "fit_router", lambda *a, f=neighbours.fit_router: fitted.append(f(*a)) or fitted[-1])
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '/root/testdata/{sf}/embeddings.parquet' ORDER BY 1").df()
     x = np.stack(rows["embedding"]).astype("f8")
-    assert _recall(QUERIES["op2_neighbours"](spark, SF01).collect(), rows["vec_id"].tolist(), x, 10, 100) >= 0.9
+    got = QUERIES["op2_neighbours"](spark, f"/root/testdata/{sf}").collect()
+    assert _recall(got, rows["vec_id"].tolist(), x, 10, 100) >= 0.9
+    assert fitted[0].w2.shape[1] == {"sf0.01": 2, "sf0.1": 4}[sf]
+    print(sf, "parts", fitted[0].w2.shape[1], "probes", fitted[0].probes)
+
+
+def test_parts_grow_with_the_rows():
+    sizes = [neighbours.number_of_parts(n) for n in (0, 100, 200, 2000, 51_282, 10 ** 8, 10 ** 12)]
+    assert sizes == [1, 1, 2, 4, 32, 1024, 4096]
 
 
 def test_vectors_that_take_no_part(spark):
@@ -60,7 +72,11 @@ def test_vectors_that_take_no_part(spark):
             (6, [1.0, None]), (7, [inf, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (2, [1.0, 0.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in nearest_neighbours(spark, df).orderBy("rank").collect()]
-    assert got == [(0, 1, 2, 0.0), (0, 2, 1, 2 ** 0.5)]
+    assert got == [(0, 1, 2, 0.0), (0, 2, 2, 0.0), (0, 3, 1, 2 ** 0.5)]
+    # a query whose id repeats: the other row is a candidate, and asks as well
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, nearest_neighbours(spark, twice).collect())) == [
+        (0, 1, 1, 1.0), (0, 1, 1, 1.0), (0, 2, 0, 2.0), (0, 2, 0, 2.0)]
     assert nearest_neighbours(spark, df.where("false")).count() == 0
     assert nearest_neighbours(spark, df.where("vec_id = 0")).count() == 0
 
