@@ -74,12 +74,24 @@ def gram_hashes(text: str | None, gone: set[int]) -> list[tuple[int, int, int, i
     return out
 
 
+_CRC: dict[str, int] = {}
+REMEMBER = 200_000   # words whose checksum a Python worker remembers
+
+
+def _crc(word: str) -> int:
+    value = crc32(word.encode("utf-8", "surrogatepass"))
+    if len(_CRC) < REMEMBER:
+        _CRC[word] = value
+    return value
+
+
 def _chosen(words: list[str]):
     """Winnowing: a smallest gram of every ``LONG_WORDS`` words, with its place."""
     width = LONG_WORDS - GRAM + 1
     if len(words) < LONG_WORDS:
         return
-    each = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], "u8")
+    get = _CRC.get
+    each = np.array([_crc(w) if (c := get(w)) is None else c for w in words], "u8")
     n = len(words) - GRAM + 1
     grams = np.zeros(n, "u8")
     for k in range(GRAM):
@@ -87,12 +99,14 @@ def _chosen(words: list[str]):
     grams ^= grams >> np.uint64(29)
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
     places = (np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(1))
-    last, values = -1, grams.tolist()
-    # of equal grams the one already chosen serves as long as it is in the window
-    for i, place in enumerate(places.tolist()):
-        if place == last or last >= i and values[last] == values[place]:
+    # one step per stretch of windows with the same smallest gram
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    last, value = -1, None
+    for end, place in zip([*first[1:].tolist(), len(places)], places[first].tolist()):
+        # of equal grams the one already chosen serves as long as it is in the window
+        if place == last or value == grams[place] and last + 1 >= end:
             continue
-        last = place
+        last, value = place, grams[place]
         h = blake2b("\n".join(words[last:last + GRAM]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
         yield last, (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True))
 
@@ -118,14 +132,6 @@ def without(text: str | None, gone: set[int], words: set[int]) -> tuple[int, int
     return len(parts), cut, "".join(kept)
 
 
-def repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = RUN,
-                       min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row_key, spans``: (first sentence, sentences) of later occurrences,
-    per document that has any."""
-    return _later(spark, _narrow(docs).withColumn("spans", F.lit(None)), lambda t, _: run_hashes(t, run, min_words),
-                  "sentence-spans")
-
-
 def _later(spark: SparkSession, rows: DataFrame, hashes, name: str) -> DataFrame:
     """Later occurrences of what ``hashes(text, spans)`` gives."""
     def scan(it):
@@ -151,24 +157,46 @@ def _narrow(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"))
 
 
+def _copies_apart(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row of each (id, text), and the rows that repeat one (None without any).
+
+    The keys that repeat are counted before any shuffle; only rows that hold
+    one are stored, so that each can be told from the others."""
+    key = ["no_id", "id", "row_key"]
+    named = rows.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    several = stored(spark, named.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key),
+                     "repeated-rows")
+    if several.isEmpty():
+        return rows, None
+    held = stored(spark, named.join(several, key, "left_semi").withColumn("row", F.monotonically_increasing_id()),
+                  "rows-that-repeat")
+    first = held.groupBy(*key).agg(F.min("row").alias("row"))
+    alone = named.join(several, key, "left_anti")
+    one, others = held.join(first, [*key, "row"], "left_semi"), held.join(first, [*key, "row"], "left_anti")
+    return alone.select(*rows.columns).unionByName(one.select(*rows.columns)), others.select(*rows.columns)
+
+
 def remove_repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = RUN,
                               min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, n_sentences, n_removed, kept`` per row of ``docs``; ``kept`` is the
     text left, ``n_removed`` the sentences that went whole or in part.
 
-    Null and empty texts have no sentences; texts too short for a run stay.  Rows that repeat both id and text are one document and
-    get the same result; null ids count as the last documents.  An empty
-    table gives an empty result; extra columns are ignored.
+    Null and empty texts have no sentences; texts too short for a run stay.  Of
+    rows that repeat both id and text (null ids too) one is the document and
+    the others are its later copies; null ids count as the last documents.  An
+    empty table gives an empty result; extra columns are ignored.
     """
     tune(spark)
-    later = stored(spark, repeated_sentences(spark, docs, run, min_words), "later-spans")
+    docs, copies = _copies_apart(spark, _narrow(docs))
+    later = stored(spark, _later(spark, docs.withColumn("spans", F.lit(None)),
+                                 lambda t, _: run_hashes(t, run, min_words), "sentence-spans"), "later-spans")
 
     def joined(d: DataFrame, p: DataFrame, column: str) -> DataFrame:
         p = p.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias(column))
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))
         return d.join(p, same, "left").drop("_id", "_key")
 
-    whole = joined(_narrow(docs), later, "spans")
+    whole = joined(docs, later, "spans")
     grams = stored(spark, _later(spark, whole, lambda t, s: gram_hashes(t, _gone(s)), "sentence-grams"), "later-grams")
 
     def keep(it):
@@ -179,5 +207,18 @@ def remove_repeated_sentences(spark: SparkSession, docs: DataFrame, run: int = R
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              ["doc_id", "n_sentences", "n_removed", "kept"])
 
-    return (joined(whole, grams, "grams").select("doc_id", "text", "spans", "grams")
-            .mapInArrow(keep, "doc_id long, n_sentences long, n_removed long, kept string"))
+    def keep_copy(it):  # every run and gram of a copy is a later occurrence
+        for ids, texts in batches(it, "doc_id", "text"):
+            out = []
+            for d, t in zip(ids, texts):
+                gone = {i for a, n, *_ in run_hashes(t, run, min_words) for i in range(a, a + n)}
+                words = {i for a, n, *_ in gram_hashes(t, gone) for i in range(a, a + n)}
+                out.append((d, *without(t, gone, words)))
+            cols = list(zip(*out)) or [[]] * 4
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                             ["doc_id", "n_sentences", "n_removed", "kept"])
+
+    result = "doc_id long, n_sentences long, n_removed long, kept string"
+    done = joined(whole, grams, "grams").select("doc_id", "text", "spans", "grams").mapInArrow(keep, result)
+    return done if copies is None else done.unionByName(copies.select("doc_id", "text").mapInArrow(keep_copy, result))

@@ -229,6 +229,21 @@ def test_no_shared_passage_of_fifty_words_stays(spark):
     assert got[24]["kept"] == texts[24] and got[26]["kept"] == texts[26] and len(got[25]["kept"]) < 500
 
 
+def test_one_of_equal_rows_stays(spark):
+    """Null ids, and rows that repeat id and text: one is the document, the others are its copies."""
+    r = random.Random(3)
+    say = lambda n: " ".join(f"q{r.randrange(10**6)}" for _ in range(n)) + "."
+    nulls, twice = " ".join(say(12) for _ in range(5)), say(120)
+    rows = [(None, nulls)] * 3 + [(4, twice)] * 4 + [(5, "short."), (5, "short.")] + [(6, f"{say(9)} {say(9)}")]
+    got = remove_repeated_sentences(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = {}
+    for x in got:
+        kept.setdefault(x["doc_id"], []).append((x["kept"], x["n_removed"]))
+    assert sorted(kept[None]) == [("", 5), ("", 5), (nulls, 0)]
+    assert sorted(kept[4]) == [("", 1)] * 3 + [(twice, 0)]
+    assert kept[5] == [("short.", 0)] * 2 and kept[6][0][1] == 0 and len(got) == len(rows)
+
+
 def test_sentence_edges(spark):
     docs = edge_docs(spark)
     assert remove_repeated_sentences(spark, docs).count() == docs.count()
