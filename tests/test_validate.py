@@ -47,12 +47,12 @@ def test_order_validate_first_is_the_code_order(spark):
 def test_order_sanitize_first_is_the_documented_order(spark):
     # 1200 bytes that collapse to 799
     rows = [(0, TS, "m"), (11, TS, "m"), (5, TS, "    "), (5, TS, "a  " * 400),
-            (5, TS, "  multiple   spaces  ")]
+            (5, TS, "\n disk \t  nearly    full ")]
     got = _process(spark, rows, SANITIZE_FIRST)
     assert [g[0] for g in got] == [STORED, STORED, INVALID, STORED, STORED]
     assert (got[0][1], got[0][3]) == (1, "info")
     assert (got[1][1], got[1][3]) == (10, "critical")
-    assert got[4][2] == "multiple spaces"
+    assert got[4][2] == "disk nearly full"
 
 
 def test_stored_rows_get_identity(spark):
