@@ -9,6 +9,11 @@ span raises a score.  Positions are code points, end exclusive.
 The patterns below find the same matches as the plain ones of the contract
 but never scan a run of characters twice: possessive runs, and a start only
 where a run starts (or where the previous match ended).
+
+A text is cut into pieces of some ``PIECE`` characters where no match can go
+on, and each piece is searched and masked on its own, so the work grows with
+the text and not with the square of its spans.  A stretch that offers no such
+place (digits, capitals and blanks only, say) is one piece whatever its length.
 """
 
 from __future__ import annotations
@@ -32,6 +37,11 @@ IBAN_LENGTHS = {n: codes.split() for n, codes in (
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
+# At least PIECE characters, up to the next character that no pattern takes, or the
+# blank after a small letter (no pattern takes both); then what is left of the text.
+PIECE = 4096
+PIECES = rf"(?s).{{{PIECE}}}.*?(?=[^A-Za-z0-9._%+@\x20()-]|(?<=[a-z])\x20)|.+"
+
 # kind: (pattern, a character the text must hold, score without context, context words)
 KINDS = {
     "email": (EMAIL, "@", 0.9, "mail|contact|write"),
@@ -94,11 +104,13 @@ def account_number(head: Column, run: Column) -> Column:
                       F.get(F.reverse(parts), F.lit(0)))
 
 
-SPAN = "struct<start: int, kind_no: int, stop: int, found: string>"
+SPAN = "struct<start: int, kind_no: int, stop: int, score: double>"
 
 
-def find(kind: str, text: Column) -> Column:
-    """Valid spans of one kind, in text order.
+def find(kind: str, text: Column, before: Column, after: Column) -> Column:
+    """Valid spans of one kind in a piece of text, in its order; added kinds only
+    with a score of ``MIN_SCORE`` or more.  ``before`` and ``after`` are the
+    characters around the piece.
 
     The pieces between matches give the positions: a match starts after all
     pieces and matches before it.  Only the head of an account number is
@@ -117,42 +129,56 @@ def find(kind: str, text: Column) -> Column:
                                            p["found"].alias("found")))
     steps = F.filter(steps, lambda s: s["size"].isNotNull())
     no = list(KINDS).index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    place = "struct<start: int, stop: int, found: string>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{place}>").alias("spans"))
 
     def step(acc: Column, s: Column) -> Column:
         at = acc["at"] + s["gap"]
         stop = at + F.length(s["found"])
-        span = F.struct(at.alias("start"), F.lit(no).alias("kind_no"), stop.alias("stop"), s["found"].alias("found"))
+        span = F.struct(at.alias("start"), stop.alias("stop"), s["found"].alias("found"))
         fits = s["found"].isNotNull() & (at >= acc["free"])  # a head inside an account number is none
         return F.struct((at + s["size"]).alias("at"), F.when(fits, stop).otherwise(acc["free"]).alias("free"),
                         F.when(fits, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     spans = F.aggregate(steps, start, step, lambda acc: acc["spans"])
     spans = F.filter(spans, lambda s: _valid(kind, s["found"]))
-    none = F.array().cast(f"array<{SPAN}>")
+    around = F.concat(before, text, after)
+    spans = F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(no).alias("kind_no"), s["stop"].alias("stop"),
+        score(kind, around, s["start"] + F.length(before), s["stop"] + F.length(before)).alias("score")))
+    if kind not in BASE:
+        spans = F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
     there = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]{2}|[0-9][ -][0-9]")
-    return F.when(there, spans).otherwise(none)
+    return F.when(there, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def score(kind: str, text: Column, span: Column) -> Column:
+def score(kind: str, text: Column, start: Column, stop: Column) -> Column:
     """The kind's score, higher when one of its context words is near."""
     _, _, alone, context = KINDS[kind]
-    first = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    near = F.concat_ws(" ", text.substr(first + 1, span["start"] - first),
-                       text.substr(span["stop"] + 1, F.lit(CONTEXT_CHARS)))
+    first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+    near = F.concat_ws(" ", text.substr(first + 1, start - first), text.substr(stop + 1, F.lit(CONTEXT_CHARS)))
     return F.least(F.lit(1.0), F.lit(alone) + F.when(F.lower(near).rlike(rf"\b(?:{context})"), CONTEXT_BONUS).otherwise(0.0))
 
 
-def with_spans(docs: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add one array of spans per kind, named ``prefix + kind``; added kinds
-    only with a score of ``MIN_SCORE`` or more."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumns({f"{prefix}{k}": find(k, body) for k in KINDS})
-
-    def sure(kind: str):
-        return lambda s: score(kind, body, s) >= MIN_SCORE
-
-    return out.withColumns({f"{prefix}{k}": F.filter(f"{prefix}{k}", sure(k)) for k in KINDS if k not in BASE})
+def with_spans(docs: DataFrame, text: str, column: str) -> DataFrame:
+    """Add the pieces of the text, in order: ``at`` (characters before it),
+    ``body`` and ``spans``, whose positions count from the piece, by start, then
+    kind.  Together the bodies are the text; a null or empty one has no piece."""
+    cut = docs.withColumn(column, F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")),
+                                                       F.lit(PIECES), F.lit(0)))
+    pieces = F.col(column)
+    at = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(
+        acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    none = F.lit("")
+    # a piece but the last has more characters than the context
+    around = F.transform(pieces, lambda p, i: F.struct(
+        p.alias("body"), F.coalesce(F.right(F.get(pieces, i - 1), F.lit(CONTEXT_CHARS)), none).alias("before"),
+        F.coalesce(F.get(pieces, i + 1).substr(1, CONTEXT_CHARS), none).alias("after")))
+    parts = cut.withColumn(column, F.zip_with(around, F.slice(at, F.lit(1), F.size(pieces)), lambda p, n: F.struct(
+        n.alias("at"), p["body"].alias("body"), p["before"].alias("before"), p["after"].alias("after"))))
+    return parts.withColumn(column, F.transform(column, lambda p: F.struct(
+        p["at"].alias("at"), p["body"].alias("body"),
+        F.array_sort(F.concat(*[find(k, p["body"], p["before"], p["after"]) for k in KINDS])).alias("spans"))))
 
 
 def _names() -> Column:
@@ -160,8 +186,8 @@ def _names() -> Column:
 
 
 def span_text(spans: Column) -> Column:
-    """``kind:start:end`` by start, then kind, comma-joined."""
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
+    """``kind:start:end``, comma-joined in the given order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.element_at(_names(), s["kind_no"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
@@ -172,25 +198,22 @@ def personal_data(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans; null ids and repeated rows each give a
     row; an empty table gives an empty result; extra columns are ignored.
     """
-    p = "pii_"
-    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", p)
-    base = F.concat(*[F.col(p + k) for k in BASE])
-    every = F.concat(*[F.col(p + k) for k in KINDS])
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-
-    def scored(kind: str):
-        return lambda s: F.struct(s["start"], s["kind_no"], score(kind, body, s).alias("score"))
-
-    scores = F.concat(*[F.transform(p + k, scored(k)) for k in KINDS])
+    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "pieces")
+    spans = F.flatten(F.transform("pieces", lambda p: F.transform(p["spans"], lambda s: F.struct(
+        (p["at"] + s["start"]).alias("start"), s["kind_no"].alias("kind_no"),
+        (p["at"] + s["stop"]).alias("stop"), s["score"].alias("score")))))
+    found = found.select("doc_id", spans.alias("spans"))
+    base = F.filter("spans", lambda s: s["kind_no"] < len(BASE))
     return found.select(
-        "doc_id", *[F.size(p + k).cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(every).alias("spans"),
-        F.array_join(F.transform(F.array_sort(scores), lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
+        "doc_id", *[F.size(F.filter("spans", lambda s: s["kind_no"] == n)).cast("long").alias(f"n_{k}")  # noqa: B023
+                    for n, k in enumerate(BASE)],
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; spans that
-    overlap become one."""
+    """A piece with every span (sorted) replaced by its kind in brackets; spans
+    that overlap become one."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -200,19 +223,20 @@ def masked(text: Column, spans: Column) -> Column:
                      ).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(
+    return F.aggregate(spans, start, step, lambda acc: F.concat(
         acc["out"], text.substr(acc["at"] + 1, F.length(text))))
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text`` (null stays null) and
     ``n_chars`` set to the new length where that column exists."""
-    p = "pii_"
-    while any(c.lower().startswith(p) for c in docs.columns):
+    p = "pii_pieces"
+    while any(c.lower() == p for c in docs.columns):
         p = "_" + p
     found = with_spans(docs, "text", p)
-    every = F.concat(*[F.col(p + k) for k in KINDS])
-    out = found.withColumn("text", F.when(F.size(every) > 0, masked(F.col("text"), every)).otherwise(F.col("text")))
+    whole = F.array_join(F.transform(p, lambda x: F.when(F.size(x["spans"]) > 0, masked(x["body"], x["spans"])
+                                                         ).otherwise(x["body"])), "")
+    out = found.withColumn("text", F.when(F.exists(p, lambda x: F.size(x["spans"]) > 0), whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
     return out.select(*[f"`{c}`" for c in docs.columns])

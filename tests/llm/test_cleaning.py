@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
 
 from alertflow.llm.decontaminate import contamination, drop_contaminated
 from alertflow.llm.oracle import ORACLE
+from alertflow.llm import pii
 from alertflow.llm.pii import mask_personal_data, personal_data
 from alertflow.llm.queries import QUERIES
 from alertflow.llm.sentences import remove_repeated_sentences, split_sentences
@@ -305,6 +307,42 @@ def test_account_number_before_capitals_and_digits(spark):
     assert masked[0]["text"] == "IBAN [IBAN] BIC COBADEFFXXX" and masked[1]["text"] == "Konto [IBAN] In Berlin"
 
 
+def test_pieces_change_nothing(spark, monkeypatch):
+    """Spans, scores and masked texts of texts cut into many pieces and of whole ones."""
+    r = random.Random(5)
+    parts = ["word ", "Word", "\n", "; ", " ", "-", "+", "(", "1", "22 ", "a@b.c", "x.y@z-w.co.uk ", "1.2.3.4", "A ", "B",
+             "4111 1111-1111 1111", "+1 (509) 555-6973", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000 ",
+             "123-45-6789", "iban ", "ssn ", "card", "é", "😀"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 300))) for _ in range(60)]
+    texts += ["".join(r.choice(parts) for _ in range(6000)), None, "", "1.2.3.4 " * 1500, "A1 " * 4000]
+    docs = _docs(spark, texts)
+
+    def results():
+        found = {x["doc_id"]: x for x in personal_data(docs).collect()}
+        return found, {x["doc_id"]: x["text"] for x in mask_personal_data(docs).collect()}
+
+    with_pieces = results()
+    for i, x in with_pieces[0].items():
+        assert ([x["n_email"], x["n_ip"], x["n_card"], x["n_phone"]], x["base_sha256"]) == _base(texts[i] or "")
+    for pattern in (r"(?s).+", pii.PIECES.replace(str(pii.PIECE), "60")):  # context is 40 characters
+        monkeypatch.setattr(pii, "PIECES", pattern)
+        assert results() == with_pieces
+
+
+def test_time_grows_with_the_spans(spark):
+    """64,000 addresses in one text against the same text over 64 rows."""
+    lines = [f"user{i}@host{i % 97}.example.org 10.0.{i % 250}.7; " for i in range(64000)]
+
+    def seconds(texts):
+        docs = _docs(spark, texts).coalesce(1)
+        start = time.perf_counter()
+        assert sum(x["n_email"] for x in personal_data(docs).collect()) == sum(t.count("@") for t in texts)
+        return time.perf_counter() - start
+
+    seconds(["".join(lines[:2000])])  # compiled
+    assert seconds(["".join(lines)]) < 2 * seconds(["".join(lines[k::64]) for k in range(64)]) + 2
+
+
 def test_masking(spark):
     docs = edge_docs(spark)
     same = mask_personal_data(docs)
