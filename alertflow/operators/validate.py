@@ -89,11 +89,33 @@ def _parse_int(text: str) -> int:
         raise ValueError(text)
     if isinstance(s, int):
         return s
-    if not isinstance(s, str) or not re.fullmatch(r"[+-]?[0-9]+", s):
+    if not isinstance(s, str) or not re.fullmatch(r"[+-]?[0-9]+", s) or not -(1 << 63) <= int(s) < 1 << 63:
         raise ValueError(text)
     return int(s)
 
 
+def request_arguments(criticality="criticality", limit="limit") -> Column:
+    """The checks of V2 and V3 on a table of requests: two text columns to a struct
+    ``min_criticality, row_limit, error``.
+
+    ``error`` is the text a caller is shown (null for a good request, whose two
+    numbers are set): both arguments present, then integers of 64 bits, then in
+    range, the criticality before the limit.
+    """
+    texts = [F.col(c) if isinstance(c, str) else c for c in (criticality, limit)]
+    n, k = [F.when(t.rlike(r"^[+-]?[0-9]+\z"), t.try_cast("bigint")) for t in texts]
+    missing = F.coalesce(texts[0], F.lit("")) == ""
+    missing = missing | (F.coalesce(texts[1], F.lit("")) == "")
+    in_range = n.between(MIN_CRITICALITY, MAX_CRITICALITY) & k.between(MIN_LIMIT, MAX_LIMIT)
+    error = (F.when(missing, F.lit(MISSING_PUBLIC_MESSAGE))
+             .when(n.isNull(), F.lit(NOT_INTEGER_PUBLIC_MESSAGE.format("criticality")))
+             .when(k.isNull(), F.lit(NOT_INTEGER_PUBLIC_MESSAGE.format("limit")))
+             .when(~in_range, F.lit(RANGE_PUBLIC_MESSAGE)))
+    good = error.isNull()
+    return F.struct(F.when(good, n).alias("min_criticality"), F.when(good, k).alias("row_limit"),
+                    error.alias("error"))
+
+
 def parse_query_args(args: Mapping[str, object], missing_as_zero: bool = False) -> tuple[int, int]:
     """Two query parameters from text (V3): ``criticality`` and ``limit``.
 

@@ -22,11 +22,12 @@ from ..operators.query import (count_events, query_events, query_events_sql,
 from ..operators.report import (error_summary, heatmap_matrix, heatmap_rows, ingest_counters,
                                 missing_from_store)
 from ..operators.upsert import latest_wins
+from ..operators.validate import request_arguments
 from ..session import new_work_dir
 from ..sources.codec import decode_events, encode_events
 from ..sources.store import read_counters, read_counts, read_store, read_store_log
-from ..streaming.ingest import (dedup_stream, read_dead_letters, read_event_stream, replay, run_ingest,
-                                write_event_stream)
+from ..streaming.ingest import (dedup_stream, latest_stream, read_dead_letters, read_event_stream, replay,
+                                run_ingest, write_event_stream)
 from ..streaming.monitor import milestone
 from . import fixtures as fx
 from . import stores
@@ -254,6 +255,11 @@ def sanitize_first(spark, sf):
     return p.select("event_id", "disposition", "criticality", "severity", "event_message")
 
 
+def request_checks(spark, sf):
+    """V2 + V3: the argument checks over a table of requests."""
+    return fx.requests(spark, sf).select("event_id", request_arguments().alias("r")).select("event_id", "r.*")
+
+
 # --- reports ---------------------------------------------------------------
 
 def severity_rollup_q(spark, sf):
@@ -411,30 +417,51 @@ DEDUP_SLICE_DAYS = 10
 def dedup_stream_q(spark, sf):
     """Redelivered and stale copies dropped inside a watermark (first copy wins).
 
-    The originals come in slices of ten days, one file and micro-batch each;
-    copies come one slice later than their originals, inside the watermark.
+    The originals come in slices of ten days, a micro-batch each; copies come one
+    slice later than their originals, inside the watermark.
     """
     work = new_work_dir(spark, "dedup")
     rows = fx.store_rows(fx.sec_redelivered(spark, sf))
     day = F.datediff("event_date", F.lit(fx.FIRST_DAY).cast("date"))
     copies = F.when(F.col("ingest_seq") >= fx.REDELIVER_SEQ, 1).otherwise(0)
-    rows = rows.withColumn("slice", F.floor(day / DEDUP_SLICE_DAYS) + copies).persist()
-    last = rows.agg(F.max("slice")).first()[0]
-    for n in range(int(last or 0) + 1):  # files are read oldest first
-        rows.where(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(f"{work}/in")
+    rows = rows.withColumn("slice", F.floor(day / DEDUP_SLICE_DAYS) + copies)
+    rows.write.partitionBy("slice").parquet(f"{work}/slices")  # once, in as many tasks as the rows ask for
     schema = rows.drop("slice").schema
-    rows.unpersist()
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
-    q = (dedup_stream(stream, f"{2 * DEDUP_SLICE_DAYS + 5} days").select("severity", "time", "time_ns_rem")
+    slices = spark.read.schema(rows.schema).parquet(f"{work}/slices")
+    for n in sorted(r[0] for r in slices.select("slice").distinct().collect()):
+        # the stream goes on from its checkpoint with the files of one more slice
+        slices.where(F.col("slice") == n).drop("slice").write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{work}/in")
+        (dedup_stream(stream, f"{2 * DEDUP_SLICE_DAYS + 5} days").select("severity", "time", "time_ns_rem")
          .writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint")
-         .trigger(availableNow=True).start(f"{work}/out"))
-    q.awaitTermination()
+         .trigger(availableNow=True).start(f"{work}/out").awaitTermination())
     out = spark.read.schema("severity string, time timestamp, time_ns_rem smallint") \
         .parquet(f"{work}/out")
     return out.select("severity", _ntz("time").alias("time"),
                       F.col("time_ns_rem").cast("bigint").alias("time_ns_rem"))
 
 
+LATEST_DELAY = "3660 days"   # the files come in no order of time
+
+
+def latest_stream_hot_identity(spark, sf):
+    """G8 with the rule of U1, a third of all rows on one identity: two micro-batches
+    of files whose copies are in no order; the latest batch's row of an identity counts."""
+    work = new_work_dir(spark, "latest")
+    rows = fx.store_rows(fx.sec_hot(spark, sf)).drop("event_date")
+    rows.repartition(STREAM_FILES).write.parquet(f"{work}/in")
+    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STREAM_FILES // 2)
+              .parquet(f"{work}/in"))
+
+    def write(df, batch_id):
+        df.write.mode("overwrite").parquet(f"{work}/out/n={batch_id}")
+
+    (latest_stream(stream, LATEST_DELAY).writeStream.outputMode("update").foreachBatch(write)
+     .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    out = spark.read.schema(rows.schema.add("n", "long")).parquet(f"{work}/out")
+    return _store_cols(latest_wins(out, order=["n"]))
+
+
 QUERIES: dict[str, Query] = {
     "reader_query": reader_query,
     "reader_query_wide": reader_query_wide,
@@ -481,4 +508,6 @@ QUERIES: dict[str, Query] = {
     "dead_letters_stored": dead_letters_stored,
     "replay_dead_letters": replay_dead_letters,
     "dedup_stream": dedup_stream_q,
+    "latest_stream_hot_identity": latest_stream_hot_identity,
+    "request_checks": request_checks,
 }

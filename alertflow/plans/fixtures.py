@@ -163,6 +163,24 @@ def sec_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", s.alias("s"))
 
 
+REQUEST_MOD = 12  # request argument class
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two request arguments as text per event, by ``event_id % 12``: 0 no
+    criticality, 1 empty limit, 2 criticality in words, 3 limit with a blank,
+    4 criticality 0, 5 limit 1001, 6 criticality with a sign, 7 and 8 a number
+    beyond 64 bits, 9 criticality 11, 10 limit 0; others good."""
+    s = sec(spark, sf_dir)
+    k = F.col("event_id") % REQUEST_MOD
+    criticality = (F.when(k == 0, F.lit(None).cast("string")).when(k == 2, "high").when(k == 4, "0")
+                   .when(k == 6, "+7").when(k == 7, "9223372036854775808").when(k == 9, "11")
+                   .otherwise((F.pmod("criticality", F.lit(10)) + 1).cast("string")))
+    limit = (F.when(k == 1, "").when(k == 3, " 10").when(k == 5, "1001").when(k == 8, "99999999999999999999")
+             .when(k == 10, "0").otherwise((F.col("event_id") % 1000 + 1).cast("string")))
+    return s.select("event_id", criticality.alias("criticality"), limit.alias("limit"))
+
+
 def sec_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with a mix of Unicode white space and look-alikes between words."""
     e = read_table(spark, sf_dir, "events")

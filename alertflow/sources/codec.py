@@ -27,11 +27,18 @@ def _exact_variant(obj: Column, key: str) -> Column:
     return F.try_variant_get(obj, f"$.v.{key}", "variant")
 
 
-def _folded_lookup(entries: Column, key: str) -> Column:
-    """The last entry whose key equals ``key`` ignoring case (the wire decoder
-    matches keys that way when the exact spelling is absent)."""
-    hits = F.filter(entries, lambda e: F.lower(e["key"]) == key.lower())
-    return F.try_element_at(hits, F.lit(-1))["value"]
+# A key of the wire in any spelling, with its colon.
+KEY_MENTION = '(?iu)"(?:' + "|".join(key for key, _ in KEY_TYPES) + r')"\s*:'
+
+
+def _spelled(e: Column, key: str, ignore_key_case: bool) -> Column:
+    """True if an entry's key is ``key``; case is folded as the wire decoder does
+    (the long s is an s)."""
+    return F.lower(F.translate(e["key"], "\u017f", "s")) == key.lower() if ignore_key_case else e["key"] == key
+
+
+def _is_type(e: Column, type_name: str) -> Column:
+    return F.schema_of_variant(e["value"]) == type_name
 
 
 def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
@@ -46,10 +53,11 @@ def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
     value must be an object or null: once the text is known to parse, its
     first non-blank character tells.  ``raw`` keeps the
     text, ``ingest_seq`` the arrival position when the input has none.
-    Keys match ignoring case when the exact key is absent
-    (``ignore_key_case=False`` for strict matching).  Requires
-    ``spark.sql.variant.allowDuplicateKeys=true`` (set here), so a duplicate
-    key reads as its last value rather than failing the parse.
+    Keys match ignoring case (``ignore_key_case=False`` for strict matching).
+    A key that comes several times, in one spelling or several, is checked each
+    time and reads as the last that is not null: such payloads, and those with
+    a key missing or escaped, are parsed a third time into their entries in
+    order.  Requires ``spark.sql.variant.allowDuplicateKeys=true`` (set here).
     """
     ensure_conf(df.sparkSession)
     v = F.col(value_col).cast("string")
@@ -62,22 +70,31 @@ def decode_events(df: DataFrame, value_col: str = "value", keep: bool = True,
     obj = F.col("_obj")
     exact = {key: _exact_variant(obj, key) for key, _ in KEY_TYPES}
     parsed = parsed.withColumns({f"_var_{key}": col for key, col in exact.items()})
-    if ignore_key_case:
-        # the object's entries, built only for rows missing an exact key
-        missing = None
-        for key, _ in KEY_TYPES:
-            m = F.col(f"_var_{key}").isNull()
-            missing = m if missing is None else missing | m
-        parsed = parsed.withColumn("_entries", F.when(missing, F.map_entries(
-            F.try_variant_get(obj, "$.v", "map<string,variant>"))))
-        parsed = parsed.withColumns({
-            f"_var_{key}": F.coalesce(F.col(f"_var_{key}"),
-                                      _folded_lookup(F.col("_entries"), key))
-            for key, _ in KEY_TYPES})
+    # the object's entries in order, only for rows where a key is not there exactly once
+    unclear = (F.regexp_count("raw", F.lit(KEY_MENTION)) > len(KEY_TYPES)) | F.contains("raw", F.lit("\\u"))
+    for key, _ in KEY_TYPES:
+        unclear = unclear | F.col(f"_var_{key}").isNull()
+    parsed = parsed.withColumn("_entries", F.when(obj.isNotNull() & unclear, F.map_entries(
+        F.from_json("raw", "map<string,variant>"))))
+    entries = F.col("_entries")
+
+    def last(key: str, type_name: str) -> Column:
+        hits = F.filter(entries, lambda e: _spelled(e, key, ignore_key_case) & _is_type(e, type_name))
+        return F.try_element_at(hits, F.lit(-1))["value"]
+
+    def fits(e: Column) -> Column:
+        ok = F.lit(True)
+        for key, type_name in KEY_TYPES:
+            ok = ok & (~_spelled(e, key, ignore_key_case) | _is_type(e, type_name) | _is_type(e, "VOID"))
+        return ok
+
+    parsed = parsed.withColumn("_entries_ok", F.coalesce(F.forall("_entries", fits), F.lit(True)))
+    parsed = parsed.withColumns({f"_var_{key}": F.when(entries.isNotNull(), last(key, type_name))
+                                 .otherwise(F.col(f"_var_{key}")) for key, type_name in KEY_TYPES})
     # the payload parsed, so its first non-blank character tells an object
     # from the other JSON values ('n' is the literal null)
     first_char = F.substring(F.expr("trim(LEADING ' \\t\\n\\r' FROM raw)"), 1, 1)
-    types_ok = first_char.isin("{", "n")
+    types_ok = first_char.isin("{", "n") & F.col("_entries_ok")
     for key, type_name in KEY_TYPES:
         t = F.schema_of_variant(F.col(f"_var_{key}"))
         types_ok = types_ok & (t.isNull() | t.isin(type_name, "VOID"))

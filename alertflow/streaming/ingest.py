@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.redact import redact
 from ..operators.process import SANITIZE_FIRST, STORED, VALIDATE_FIRST, process, route
 from ..operators.report import ingest_counter_columns, ingest_counters
-from ..schema import DEADLETTER_SCHEMA, IDENTITY
+from ..schema import ARRIVAL_ORDER, DEADLETTER_SCHEMA, IDENTITY
 from ..sources.codec import decode_events, encode_events
 from ..sources.store import (REPLAY, STREAM, arrival_time, batch_path, claim_batch, drop_note, read_note,
                              to_store_rows, write_counters, write_note, write_store)
@@ -249,6 +249,23 @@ def replay(spark: SparkSession, root: str, order: str = SANITIZE_FIRST,
     return batch_id
 
 
+def latest_stream(df: DataFrame, delay: str = "10 minutes", identity=IDENTITY, order=None) -> DataFrame:
+    """The last copy of every identity on a stream (G8 with the rule of U1).
+
+    The greatest by arrival order is an aggregate, so each map task sends one
+    row per identity and the state holds one, however many copies an identity
+    has.  Run it in ``update`` mode: a micro-batch gives the identities whose
+    last copy may have changed, and the row of the latest batch counts.  The
+    state of an identity goes once its time is older than the watermark;
+    copies that come later than that are dropped.
+    """
+    order = list(order or [c for c in ARRIVAL_ORDER if c in df.columns])
+    rest = [c for c in df.columns if c not in order and c not in identity]
+    last = F.max(F.struct(*order, *rest)).alias("last")
+    return (df.withWatermark("time", delay).groupBy(*identity).agg(last)
+            .select(*[c if c in identity else F.col(f"last.{c}").alias(c) for c in df.columns]))
+
+
 def dedup_stream(df: DataFrame, delay: str = "10 minutes",
                  identity=IDENTITY) -> DataFrame:
     """Drop redelivered copies inside a watermark (G8, optional).

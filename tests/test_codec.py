@@ -28,6 +28,15 @@ CASES = [
     ("{'criticality':7}", True, None),
     ('{"criticality":1,"criticality":2}', False, (2, "", "")),
     ('{"criticality":3,"other":[1,2]}', False, (3, "", "")),
+    ('{"criticality":5,"criticality":null}', False, (5, "", "")),
+    ('{"criticality":"5","criticality":6}', True, None),
+    ('{"eventMessage":"a","criticality":6,"timestamp":"t","eventmessage":"b"}', False, (6, "t", "b")),
+    ('{"EventMessage":"a","criticality":6,"timestamp":"t","eventMessage":"b"}', False, (6, "t", "b")),
+    ('{"criticality":6,"timestamp":"t","eventMessage":"b","CRITICALITY":[6]}', True, None),
+    ('{"eventMessage":"b","event\\u004dessage":"c","timestamp":"t","criticality":1}', False, (1, "t", "c")),
+    ('{"eventMessage":"b","eventMe\u017f\u017fage":"c","timestamp":"t","criticality":1}', False, (1, "t", "c")),
+    ('{"eventMessage":"say \\"criticality\\": \\u0041","x":{"criticality":"no"},"criticality":1}', False,
+     (1, "", 'say "criticality": A')),
     ('{"a":1}]', True, None),
     ("NaN", True, None),
     ('{"criticality":07}', True, None),
