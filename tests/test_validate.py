@@ -3,7 +3,8 @@
 import pytest
 
 from alertflow.operators.process import INVALID, SANITIZE_FIRST, STORED, process
-from alertflow.operators.validate import InvalidQuery, error_codes, parse_query_args, validate_query
+from alertflow.operators.validate import (InvalidQuery, error_codes, parse_query_args, request_arguments,
+                                          validate_query)
 
 TS = "2024-01-15T10:30:00Z"
 
@@ -93,3 +94,15 @@ def test_public_messages():
 def test_validate_query_checks_criticality_first():
     with pytest.raises(InvalidQuery, match="min_criticality"):
         validate_query(0, 0)
+
+
+def test_requests_on_a_table_equal_the_single_check(spark):
+    texts = [None, "", "0", "1", "5", "10", "11", "+7", "-3", " 5", "5 ", "5\n", "1001", "1000", "x", "5.0", "٣",
+             "9223372036854775807", "9223372036854775808", "007"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "criticality string, limit string")
+    for r in df.select("*", request_arguments().alias("r")).collect():
+        try:
+            want = (*parse_query_args({"criticality": r["criticality"], "limit": r["limit"]}), None)
+        except InvalidQuery as e:
+            want = (None, None, e.public_message)
+        assert tuple(r["r"]) == want, r
