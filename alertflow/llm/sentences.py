@@ -30,24 +30,28 @@ RUN = 2          # sentences per span, at least
 MIN_WORDS = 16   # a span of fewer words is no passage, so it goes on
 LONG_WORDS = 50  # a span of so many words is complete, even one long sentence
 GRAM = 25        # words compared inside a passage
-# A sentence ends at a line break, or at . ! ? before a blank; its blanks stay with it.
-_ENDS = re.compile(r"(?<=[.!?])\s+(?=\S)|\s*\n\s*(?=\S)")
+# A sentence ends at a line break, or at . ! ? before a blank; its blanks stay with
+# it.  One set of first characters, so that the search skips to them.
+_ENDS = re.compile(r"[.!?\n](?:(?<=\n)|\s)\s*+(?=\S)")
 
 
 def split_sentences(text: str | None) -> list[str]:
     """Sentences with their trailing blanks; joined they are the text."""
+    if not text:
+        return []
     out, at = [], 0
-    for m in _ENDS.finditer(text or ""):
+    for m in _ENDS.finditer(text, 0, len(text.rstrip())):  # no end in trailing blanks
         out.append(text[at:m.end()])
         at = m.end()
-    return out + ([text[at:]] if text and at < len(text) else [])
+    return [*out, text[at:]]
 
 
 def run_hashes(text: str | None, run: int, min_words: int,
                long_words: int = LONG_WORDS) -> list[tuple[int, int, int, int]]:
     """(first sentence, sentences, two halves of the 128-bit hash) of every run."""
-    parts = [" ".join(s.split()) for s in split_sentences(text)]
-    words = np.cumsum([0] + [len(p.split()) for p in parts])
+    split = [s.split() for s in split_sentences(text)]
+    parts = [" ".join(p) for p in split]
+    words = np.cumsum([0] + [len(p) for p in split])
     # where a run from i may end: enough sentences and words, or very many words
     enough = np.maximum(np.arange(len(parts)) + run, np.searchsorted(words, words[:-1] + min_words))
     ends = np.minimum(enough, np.searchsorted(words, words[:-1] + long_words))
@@ -76,6 +80,7 @@ def gram_hashes(text: str | None, gone: set[int]) -> list[tuple[int, int, int, i
 
 _CRC: dict[str, int] = {}
 REMEMBER = 200_000   # words whose checksum a Python worker remembers
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def _crc(word: str) -> int:
@@ -85,6 +90,32 @@ def _crc(word: str) -> int:
     return value
 
 
+def _rolled(values: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash of every ``size`` values in a row, by doubling."""
+    done, have = None, 0            # hashes of the ``have`` values before a power of two
+    power, step, factor = values, 1, _FACTOR
+    while True:
+        if size & step:
+            n = len(values) - have - step + 1
+            done = power if done is None else done[:n] * np.uint64(factor) + power[have:have + n]
+            have += step
+        if have == size:
+            return done
+        power = power[:-step] * np.uint64(factor) + power[step:]
+        step, factor = 2 * step, factor * factor % 2 ** 64
+
+
+def _last_smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest value (the last of equals) in every window, by doubling."""
+    low, at, have = values, np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        later = low[step:] <= low[:-step]
+        low, at = np.where(later, low[step:], low[:-step]), np.where(later, at[step:], at[:-step])
+        have += step
+    return at
+
+
 def _chosen(words: list[str]):
     """Winnowing: a smallest gram of every ``LONG_WORDS`` words, with its place."""
     width = LONG_WORDS - GRAM + 1
@@ -93,12 +124,9 @@ def _chosen(words: list[str]):
     get = _CRC.get
     each = np.array([_crc(w) if (c := get(w)) is None else c for w in words], "u8")
     n = len(words) - GRAM + 1
-    grams = np.zeros(n, "u8")
-    for k in range(GRAM):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + each[k:k + n]
+    grams = _rolled(each, GRAM)
     grams ^= grams >> np.uint64(29)
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    places = (np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(1))
+    places = _last_smallest(grams, width)
     # one step per stretch of windows with the same smallest gram
     first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
     last, value = -1, None
@@ -118,11 +146,13 @@ def _gone(spans) -> set[int]:
 def without(text: str | None, gone: set[int], words: set[int]) -> tuple[int, int, str]:
     """Sentences, those that went whole or in part, and the text left."""
     parts, at, cut, kept = split_sentences(text), 0, 0, []
+    if not gone and not words:
+        return len(parts), 0, text or ""
     for i, part in enumerate(parts):
         n = len(part.split()) if words else 0
         if i in gone:
             cut += 1
-        elif words and any(k in words for k in range(at, at + n)):
+        elif words and not words.isdisjoint(range(at, at + n)):
             starts = [m.start() for m in re.finditer(r"\S+", part)] + [len(part)]
             kept.append(part[:starts[0]] + "".join(part[starts[k]:starts[k + 1]] for k in range(n) if at + k not in words))
             cut += 1
