@@ -87,8 +87,40 @@ def heatmap_matrix(store: DataFrame, bucket: str | None = None,
     return store.groupBy(*keys).agg(*[F.count_if(c == k).alias(f"c{k}") for k in LEVELS])
 
 
-def missing_from_store(source: DataFrame, store: DataFrame,
-                       identity: Sequence[str] = IDENTITY) -> DataFrame:
+def _bit(keys: Sequence[str], bits: int):
+    """Place of an identity's bit among ``bits``."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(bits))
+
+
+def identity_bitmap(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """``bucket, bitmap``: one bit per identity of ``rows`` in a bitmap of ``bits`` bits.
+
+    A sort aggregate with a map-side part: a map task sends one 4 KiB bitmap
+    per bucket of 32,768 bits, so at most ``bits`` / 8 bytes whatever its rows.
+    Copies set the same bit.
+    """
+    place = _bit(keys, bits)
+    return (rows.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")))
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """The rows whose bit is set: all rows of the bitmap's identities and, by
+    chance, a share of others (identities in the bitmap / ``bits``).
+
+    The bitmap is broadcast: its size has a fixed bound (``identity_bitmap``).
+    """
+    place = _bit(keys, bits)
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    small = F.broadcast(bitmap.withColumnRenamed("bucket", "_bucket"))
+    return (rows.join(small, F.bitmap_bucket_number(place) == F.col("_bucket"))
+            .where(F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1)
+            .select(*[rows[c] for c in rows.columns]))
+
+
+def missing_from_store(source: DataFrame, store: DataFrame, identity: Sequence[str] = IDENTITY,
+                       prefilter_bits: int | None = None) -> DataFrame:
     """Source events whose identity never reached the store.
 
     A left-anti join on the identity and, where both sides have it, the date
@@ -96,8 +128,23 @@ def missing_from_store(source: DataFrame, store: DataFrame,
     store side is reduced to its distinct identities before the join, so
     copies of a hot identity shrink on the map side; AQE splits a skewed
     source key.  Every missing source row is returned, copies included.
+
+    ``prefilter_bits`` (2**26 is an 8 MiB bitmap) drops, before any shuffle,
+    the store rows that no source row can match: a bitmap of the source's
+    identities is tested in the scan of the store, and the candidates are then
+    joined exactly, so the rows are the same.  It pays where the source is a
+    small part of the store (a day against years); the source is read twice.
+    A bitmap too small for the source lets more store rows through, nothing
+    else.  Null keys match nothing, with and without it.  Keys of different types
+    on the two sides are refused with it.
     """
     keys = list(identity)
     if "event_date" in source.columns and "event_date" in store.columns and "event_date" not in keys:
         keys.append("event_date")
-    return source.join(store.select(*keys).distinct(), on=keys, how="left_anti")
+    known = store.select(*keys)
+    if prefilter_bits:
+        unlike = sorted({k for k, _ in set(source.select(*keys).dtypes) ^ set(known.dtypes)})
+        if unlike:  # hashes depend on the type
+            raise ValueError(f"prefilter_bits needs keys of the same type on both sides: {unlike}")
+        known = maybe_in(known, identity_bitmap(source, keys, prefilter_bits), keys, prefilter_bits)
+    return source.join(known.distinct(), on=keys, how="left_anti")

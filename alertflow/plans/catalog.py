@@ -310,6 +310,14 @@ def missing_from_store_q(spark, sf):
     return _store_cols(missing_from_store(source, store))
 
 
+def missing_from_store_prefiltered(spark, sf):
+    """J1 with the bitmap of the source's identities tested in the store's scan:
+    what the payload store lacks of the events, as ``missing_from_store``."""
+    source = read_store(spark, stores.sec_store(spark, sf))
+    store = read_store_log(spark, stores.payload_store(spark, sf))
+    return _store_cols(missing_from_store(source, store, prefilter_bits=2 ** 26))
+
+
 def heatmap_reader(spark, sf):
     """H1 on the reader's result (what the terminal client draws): the
     flagship query's rows with their level marks and band."""
@@ -500,6 +508,7 @@ QUERIES: dict[str, Query] = {
     "redacted": redacted,
     "redacted_columns": redacted_columns,
     "missing_from_store": missing_from_store_q,
+    "missing_from_store_prefiltered": missing_from_store_prefiltered,
     "ingest_stream": ingest_stream,
     "ingest_new_checkpoint": ingest_new_checkpoint,
     "ingest_two_writers": ingest_two_writers,

@@ -4,11 +4,13 @@ import datetime as dt
 import random
 import threading
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from alertflow.operators.query import latest_store_events, query_events, query_store_newest_first
+from alertflow.operators.report import missing_from_store
 from alertflow.operators.upsert import latest_wins
 from alertflow.plans import fixtures as fx
 from alertflow.schema import STORED_SCHEMA
@@ -216,3 +218,48 @@ def test_store_equals_brute_force_latest_wins(spark, ops):
                  for r in read_store(spark, root).collect())
     assert got == want
     assert count_events(read_store_log(spark, root)).first()["n"] == len(want)
+
+
+def _rows_shuffled(plan):
+    """Rows that the exchanges of the plan that ran have written."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _rows_shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _rows_shuffled(plan.plan())
+    here = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return here + sum(_rows_shuffled(children.apply(i)) for i in range(children.length()))
+
+
+def test_prefilter_shuffles_only_the_store_rows_that_can_match(spark):
+    """300 source rows, nearly all stored, against a store of 60,000 rows; the
+    same rows with a bitmap far too small, an empty source or store, and null keys."""
+    def events(ids, *more):
+        return spark.createDataFrame([(i, i % 7, f"m{i}") for i in [*ids, *more]], "time long, time_ns_rem int, event_message string") \
+            .withColumn("severity", F.when(F.col("time") % 2 == 0, "critical").otherwise("warning"))
+
+    store = spark.range(0, 60_000, 1, 4).selectExpr(
+        "id AS time", "cast(id % 7 AS int) AS time_ns_rem", "if(id % 2 = 0, 'critical', 'warning') AS severity")
+    # copies, two missing events, one of them twice, and a null key
+    source = events(range(5, 300), 7, 7, 60_001, 60_001, 60_009).unionByName(
+        events([11]).withColumn("severity", F.lit(None).cast("string")))
+    want = sorted(map(str, missing_from_store(source, store).collect()))
+    assert len(want) == 4
+    for bits in (2 ** 26, 64):
+        assert sorted(map(str, missing_from_store(source, store, prefilter_bits=bits).collect())) == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:  # join by shuffle, as with tables of size
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        shuffled = []
+        for given in ({}, {"prefilter_bits": 2 ** 26}):
+            ran = missing_from_store(source, store, **given)
+            assert sorted(map(str, ran.collect())) == want
+            shuffled.append(_rows_shuffled(ran._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled[0] >= 60_000 and shuffled[1] < 3_000
+    assert missing_from_store(source.limit(0), store, prefilter_bits=2 ** 26).count() == 0
+    assert missing_from_store(source, store.limit(0), prefilter_bits=2 ** 26).count() == source.count()
+    with pytest.raises(ValueError):
+        missing_from_store(source.withColumn("time", F.col("time").cast("int")), store, prefilter_bits=2 ** 26)
