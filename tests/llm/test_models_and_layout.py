@@ -202,6 +202,36 @@ def test_shards_match_the_mixture(spark, tmpdir_work):
     assert spark.read.parquet(f"{tmpdir_work}/shards").groupBy("shard").count().count() == 24
 
 
+def test_shards_equal_brute_force(spark):
+    """Rank by seeded key inside each source, order by fractional rank, cut evenly; a
+    source with half of the rows, one of one row, a null source, repeated rows."""
+    from pyspark.sql import functions as F
+    r = random.Random(9)
+    rows = [(i, "é" * r.randint(0, 30) if i % 9 else None, r.choice(["a", "a", "a", "b", "ü", None])) for i in range(700)]
+    rows += [rows[3]] * 4 + [(9_000, "alone", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    keyed = docs.select("doc_id", "text", "source", F.xxhash64(
+        F.lit(42), "doc_id", F.crc32(raw), (F.octet_length(raw) + 8).cast("long")).alias("key")).collect()
+    by_source = {}
+    for x in keyed:
+        text = (x["text"] or "").encode()
+        source = b"" if x["source"] is None else b"=" + x["source"].encode()
+        by_source.setdefault(source, []).append(
+            (x["key"] & (2**63 - 1), x["doc_id"], x["source"], len(text) + 8, zlib.crc32(text)))
+    placed = sorted(((2 * k - 1) / (2.0 * len(group)), source, row) for source, group in by_source.items()
+                    for k, row in enumerate(sorted(group, key=lambda g: g[:2]), 1))
+    want, filled = [], [0] * 24
+    for at, (_, _, (_, doc_id, source, size, crc)) in enumerate(placed):
+        shard = at * 24 // len(placed)
+        want.append((doc_id, source or "", size, crc, shard, filled[shard]))
+        filled[shard] += 1
+    for bucket_rows in (16, 4_096):  # many buckets, and one
+        got = interleave(spark, docs, 24, bucket_rows=bucket_rows).collect()
+        assert sorted((x["doc_id"], x["source"] or "", x["size"], x["text_crc32"], x["shard"], x["slot"])
+                      for x in got) == sorted(want)
+
+
 def test_sharding_edges(spark):
     docs = edge_docs(spark)
     rows = interleave(spark, docs, 5, bucket_rows=2).collect()
